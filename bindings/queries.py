@@ -37,9 +37,10 @@ def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
     return build
 
 
-def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    """Float results to six decimals, since engines sum in different orders."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    """Floats to six decimals, since engines sum in different orders; mean
+    fold changes to ten, as their exact values can end in a five at the seventh."""
+    return df.withColumns({c: F.round(c, 10 if c.endswith(("log2fc", "mean_lfc")) else 6) for c in cols})
 
 
 def joined(col: Column | str, sep: str = ",") -> Column:
@@ -92,7 +93,7 @@ def scan_csv_compounds(t: Tables) -> DataFrame:
 @query
 def sql_over_de(t: Tables) -> DataFrame:
     text = """
-        SELECT drug, cell_line, round(avg(log2FoldChange), 6) AS mean_lfc, count(*) AS n_rows
+        SELECT drug, cell_line, round(avg(log2FoldChange), 10) AS mean_lfc, count(*) AS n_rows
         FROM {parquet} WHERE padj < 0.05 GROUP BY drug, cell_line
     """
     return D.sql_over_de(t.spark, text, D.scan_de(t.spark, t.de_store()))
@@ -252,7 +253,7 @@ def list_vocab(t: Tables) -> DataFrame:
 
 def wide(t: Tables) -> DataFrame:
     return A.wide_scores(A.signature_scores(t.de(), t.signatures()), SIGNATURES).select(
-        "drug", "cell_line", F.round("economy_log2fc", 6).alias("economy_log2fc")
+        "drug", "cell_line", F.round("economy_log2fc", 10).alias("economy_log2fc")
     )
 
 
@@ -277,7 +278,7 @@ def merge_signatures_outer(t: Tables) -> DataFrame:
     tables = [
         scores.where(F.col("signature") == s).select(
             "drug", "cell_line",
-            F.round("log2fc", 6).alias(f"{s}_log2fc"),
+            F.round("log2fc", 10).alias(f"{s}_log2fc"),
             F.col("padj").alias(f"{s}_padj"),
             F.round("pct_change", 6).alias(f"{s}_pct_change"),
             "n_genes",
@@ -343,7 +344,7 @@ def members(t: Tables) -> DataFrame:
 
 @query
 def set_membership(t: Tables) -> DataFrame:
-    return members(t).select(*TREATMENT, "pathway", "gene", "size")
+    return E.public(members(t)).select(*TREATMENT, "pathway", "gene", "size")
 
 
 @query
@@ -473,38 +474,41 @@ def sample_rows(t: Tables) -> DataFrame:
 
 @query
 def ranked_genes(t: Tables) -> DataFrame:
-    return rounded(ranked(t).select(*TREATMENT, "gene", "metric", "position", "n_genes"), "metric")
+    return rounded(E.public(ranked(t)).select(*TREATMENT, "gene", "metric", "position", "n_genes"), "metric")
 
 
 @query
 def enrichment_score(t: Tables) -> DataFrame:
-    return rounded(E.enrichment_score(members(t)), "es")
+    return rounded(E.public(E.enrichment_score(members(t))), "es")
 
 
 @query
 def leading_edge(t: Tables) -> DataFrame:
-    return E.leading_edge(members(t))
+    return E.public(E.leading_edge(members(t)))
+
+
+def annotated(t: Tables) -> DataFrame:
+    return E.with_sets(ranked(t), t.sets(), PARAMS.min_size, PARAMS.max_size)
 
 
 @query
 def null_scores(t: Tables) -> DataFrame:
-    nulls = E.null_scores(ranked(t), members(t), PARAMS.permutations, PARAMS.seed)
-    return rounded(nulls, "null_es")
+    return rounded(E.public(E.null_scores(annotated(t), PARAMS.permutations, PARAMS.seed)), "null_es")
 
 
 def tails(t: Tables) -> DataFrame:
-    nulls = E.null_scores(ranked(t), members(t), PARAMS.permutations, PARAMS.seed)
+    nulls = E.null_scores(annotated(t), PARAMS.permutations, PARAMS.seed)
     return E.null_tails_from_rows(E.score_sets(E.scored_members(members(t))), nulls)
 
 
 @query
 def nes_pvalue(t: Tables) -> DataFrame:
-    return rounded(E.nes_pvalue(tails(t)).select(*TREATMENT, "pathway", "nes", "pvalue"), "nes", "pvalue")
+    return rounded(E.public(E.nes_pvalue(tails(t))).select(*TREATMENT, "pathway", "nes", "pvalue"), "nes", "pvalue")
 
 
 @query
 def fdr_qvalue(t: Tables) -> DataFrame:
-    return rounded(E.fdr_qvalue(E.nes_pvalue(tails(t))).select(*TREATMENT, "pathway", "nes", "fdr"), "nes", "fdr")
+    return rounded(E.public(E.fdr_qvalue(E.nes_pvalue(tails(t)))).select(*TREATMENT, "pathway", "nes", "fdr"), "nes", "fdr")
 
 
 @query
@@ -518,11 +522,16 @@ def prerank_scale(t: Tables) -> DataFrame:
     return results(enrich.prerank(t.de(), t.sets(), ROW_ORDER, PARAMS))
 
 
+@query
+def prerank_relational(t: Tables) -> DataFrame:
+    return results(enrich.prerank_relational(t.de(), t.sets(), ROW_ORDER, PARAMS))
+
+
 @query
 def null_tail_counts(t: Tables) -> DataFrame:
     """The grouped-map null alone: null size and tail counts per set."""
-    found = null_tails(ranked(t), E.scored_members(members(t)), PARAMS.permutations, PARAMS.seed)
-    return found.select(*TREATMENT, "pathway", "null_n", "null_extreme", "pool_n", "pool_extreme")
+    found = null_tails(E.scored_members(annotated(t)), PARAMS.permutations, PARAMS.seed)
+    return E.public(found).select(*TREATMENT, "pathway", "null_n", "null_extreme", "pool_n", "pool_extreme")
 
 
 # Set operations

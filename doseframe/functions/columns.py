@@ -48,6 +48,16 @@ def matches(col: Column, pattern: str, literal: bool = False) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals; exact ties go to the even digit, as in C and Python.
+
+    A double is an exact tie only when 2**(digits + 1) times it is odd; all
+    other values are formatted from their decimal digits directly.
+    """
+    tie = F.pmod(value * F.lit(2.0 ** (digits + 1)), F.lit(2.0)) == 1
+    return F.format_string(f"%.{digits}f", F.when(tie, F.bround(value, digits)).otherwise(value))
+
+
 def is_ensembl(gene: Column | str) -> Column:
     return F.coalesce(F.startswith(F.col(gene) if isinstance(gene, str) else gene, F.lit("ENSG")), F.lit(False))
 

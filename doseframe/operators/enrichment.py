@@ -3,7 +3,8 @@
 A treatment is first reduced to one row per gene by an aggregate with a
 map-side step. From there on a treatment is as large as the set of gene
 symbols, however many fact rows it had, and every window below runs inside the
-one hash partitioning by treatment.
+one hash partitioning by treatment. Operators here take and give frames keyed
+by ``KEY``; ``public`` turns a result into ordinary treatment columns.
 """
 
 from __future__ import annotations
@@ -15,32 +16,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from doseframe.functions.columns import gene_code, permutation_key, rank_metric
+from doseframe.functions.frames import spread
 from doseframe.operators.filters import drop_unusable_genes
-from doseframe.schema import TREATMENT
 
 # Running sums are compared after rounding, so that equal peaks and troughs do
 # not depend on the last digit of a float sum.
 DIGITS = 10
 
-SET_KEY = [*TREATMENT, "pathway"]
+# Inside this module the dose is a string: Spark normalises double keys anew in
+# each operator, which hides that rows are already partitioned by treatment.
+KEY = ["cell_line", "drug", "dose"]
+SETS = [*KEY, "pathway"]
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Replace the dose number by its text, which parses back to the same number."""
+    return df.withColumn("dose", (F.col("concentration") + F.lit(0.0)).cast("string")).drop("concentration")
+
+
+def public(df: DataFrame) -> DataFrame:
+    """Back to the treatment columns all other operators use."""
+    return df.withColumn("concentration", F.col("dose").cast("double")).drop("dose")
 
 
 def best_rows(de: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     """One row per treatment and upper-cased gene symbol: the first in the declared row order."""
     first = F.min(F.struct(*order_cols, "log2FoldChange", "padj")).alias("_first")
     return (
-        drop_unusable_genes(de)
-        .groupBy(*TREATMENT, F.upper("gene_name").alias("gene"))
+        keyed(drop_unusable_genes(de))
+        .groupBy(*KEY, F.upper("gene_name").alias("gene"))
         .agg(first)
-        .select(*TREATMENT, "gene", "_first.log2FoldChange", "_first.padj")
+        .select(*KEY, "gene", "_first.log2FoldChange", "_first.padj")
     )
 
 
 def rank_rows(best: DataFrame) -> DataFrame:
     """Position (from 0, highest metric first) and gene count within each treatment."""
-    per_treatment = Window.partitionBy(*TREATMENT)
-    scored = best.select(*TREATMENT, "gene", rank_metric(F.col("log2FoldChange"), F.col("padj")).alias("metric"))
-    return scored.withColumns(
+    per_treatment = Window.partitionBy(*KEY)
+    scored = best.select(*KEY, "gene", rank_metric(F.col("log2FoldChange"), F.col("padj")).alias("metric"))
+    return spread(scored, *KEY).withColumns(
         {
             "position": F.row_number().over(per_treatment.orderBy(F.col("metric").desc(), "gene")) - 1,
             "n_genes": F.count(F.lit(1)).over(per_treatment),
@@ -52,11 +66,20 @@ def ranked_genes(de: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     return rank_rows(best_rows(de, order_cols))
 
 
+def with_sets(ranked: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500) -> DataFrame:
+    """All ranked genes, once per set they are in; ``kept`` marks sets whose overlap has an allowed size."""
+    library = sets.select("pathway", F.upper("gene").alias("gene")).distinct()
+    size = F.count("pathway").over(Window.partitionBy(*SETS))
+    return (
+        ranked.join(library, "gene", "left")
+        .withColumn("size", size)
+        .withColumn("kept", F.col("pathway").isNotNull() & F.col("size").between(min_size, max_size))
+    )
+
+
 def set_membership(ranked: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500) -> DataFrame:
     """Ranked genes with each set they are in, for sets whose overlap with the ranking has an allowed size."""
-    library = sets.select("pathway", F.upper("gene").alias("gene")).distinct()
-    size = F.count(F.lit(1)).over(Window.partitionBy(*SET_KEY))
-    return ranked.join(library, "gene").withColumn("size", size).where(F.col("size").between(min_size, max_size))
+    return with_sets(ranked, sets, min_size, max_size).where("kept").drop("kept")
 
 
 def _running_sums(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,8 +113,8 @@ def _peak_or_trough(high: Column, low: Column) -> Column:
 
 def scored_members(members: DataFrame) -> DataFrame:
     """Set members with their set's enrichment score and whether they are in its leading edge."""
-    group = Window.partitionBy(*SET_KEY)
-    sums = _running_sums(members, SET_KEY).withColumns(
+    group = Window.partitionBy(*SETS)
+    sums = _running_sums(members, SETS).withColumns(
         {
             "_high": F.max(F.struct("above", (-F.col("position")).alias("p"))).over(group),
             "_low": F.min(F.struct("below", F.col("position").alias("p"))).over(group),
@@ -105,7 +128,7 @@ def scored_members(members: DataFrame) -> DataFrame:
 def score_sets(scored: DataFrame) -> DataFrame:
     """Enrichment score, size and leading edge per treatment and set."""
     edge = F.array_sort(F.collect_list(F.when(F.col("in_edge"), F.struct("position", "gene"))))
-    return scored.groupBy(*SET_KEY).agg(
+    return scored.groupBy(*SETS).agg(
         F.first("size").alias("size"),
         F.first("es").alias("es"),
         F.array_join(F.transform(edge, lambda g: g.gene), ";").alias("leading_edge"),
@@ -113,11 +136,11 @@ def score_sets(scored: DataFrame) -> DataFrame:
 
 
 def enrichment_score(members: DataFrame) -> DataFrame:
-    return score_sets(scored_members(members)).select(*SET_KEY, "size", "es")
+    return score_sets(scored_members(members)).select(*SETS, "size", "es")
 
 
 def leading_edge(members: DataFrame) -> DataFrame:
-    return score_sets(scored_members(members)).select(*SET_KEY, "leading_edge")
+    return score_sets(scored_members(members)).select(*SETS, "leading_edge")
 
 
 def permutation_base(seed: int) -> int:
@@ -125,29 +148,37 @@ def permutation_base(seed: int) -> int:
     return seed * 100_000
 
 
-def null_scores(ranked: DataFrame, members: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
-    """Score of every set under each gene permutation, as rows.
+def null_scores(annotated: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
+    """Score of every kept set under each gene permutation, as rows.
 
-    This form writes treatments x permutations x genes rows and suits few
-    permutations; ``nulls.null_tails`` is the form for many.
+    Takes the rows of ``with_sets``. This form makes treatments x permutations
+    x genes rows and suits few permutations; ``nulls.null_tails`` is the form
+    for many. Rows never leave their treatment's partition: the weights by
+    position join as one array per treatment.
     """
+    genes = annotated.groupBy(*KEY, "gene", "position", "metric", "n_genes").agg(
+        F.collect_list(F.when(F.col("kept"), F.col("pathway"))).alias("_pathways")
+    )
+    by_position = F.array_sort(F.collect_list(F.struct("position", "metric")))
+    weights = genes.groupBy(*KEY).agg(F.transform(by_position, lambda g: g.metric).alias("_weights"))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation")
     number = F.col("permutation") + F.lit(permutation_base(seed)).cast("bigint")
-    shuffled_by = Window.partitionBy(*TREATMENT, "permutation").orderBy("_key", "gene")
+    shuffled_by = Window.partitionBy(*KEY, "permutation").orderBy("_key", "gene")
     shuffled = (
-        ranked.select(*TREATMENT, "gene", gene_code("gene").alias("_code"), numbers)
+        genes.select(*KEY, "gene", "n_genes", "_pathways", gene_code("gene").alias("_code"), numbers)
         .withColumn("_key", permutation_key(F.col("_code"), number))
-        # The rows have just multiplied: spread them by treatment and permutation.
-        .repartition(*TREATMENT, "permutation")
         .withColumn("position", F.row_number().over(shuffled_by) - 1)
-        .select(*TREATMENT, "gene", "permutation", "position")
+        .where(F.size("_pathways") > 0)
     )
-    weights = ranked.select(*TREATMENT, "position", "metric")
-    hits = (
-        shuffled.join(members.select(*SET_KEY, "gene", "n_genes"), [*TREATMENT, "gene"])
-        .join(weights, [*TREATMENT, "position"])
+    hits = shuffled.join(weights, KEY).select(
+        *KEY,
+        "permutation",
+        "position",
+        "n_genes",
+        F.col("_weights")[F.col("position")].alias("metric"),
+        F.explode("_pathways").alias("pathway"),
     )
-    keys = [*SET_KEY, "permutation"]
+    keys = [*SETS, "permutation"]
     return (
         _running_sums(hits, keys)
         .groupBy(*keys)
@@ -166,8 +197,8 @@ def null_tails_from_rows(scores: DataFrame, nulls: DataFrame) -> DataFrame:
     read once and tails are cumulative counts, not a join of scores with nulls.
     """
     observed = scores.withColumns({"value": F.col("es"), "is_null": F.lit(0)})
-    permuted = nulls.select(*SET_KEY, F.col("null_es").alias("value"), F.lit(1).alias("is_null"))
-    per_set = Window.partitionBy(*SET_KEY)
+    permuted = nulls.select(*SETS, F.col("null_es").alias("value"), F.lit(1).alias("is_null"))
+    per_set = Window.partitionBy(*SETS)
     null, value, es = F.col("is_null") == 1, F.col("value"), F.col("_es")
     same = null & ((value >= 0) == (es >= 0))
     summarised = (
@@ -189,7 +220,7 @@ def null_tails_from_rows(scores: DataFrame, nulls: DataFrame) -> DataFrame:
         .withColumn("null_mean", F.when(value >= 0, F.col("_up")).otherwise(F.col("_down")))
         .withColumn("_nes", normalised(value, F.col("null_mean")))
     )
-    sign = Window.partitionBy(*TREATMENT, F.col("_nes") >= 0)
+    sign = Window.partitionBy(*KEY, F.col("_nes") >= 0)
     tail = sign.orderBy(F.abs("_nes").desc())
     pooled = summarised.withColumns({"pool_n": F.sum("is_null").over(sign), "pool_extreme": F.sum("is_null").over(tail)})
     counts = ["null_mean", "null_n", "null_extreme", "pool_n", "pool_extreme"]
@@ -209,7 +240,7 @@ def nes_pvalue(tails: DataFrame) -> DataFrame:
 
 def fdr_qvalue(scored: DataFrame) -> DataFrame:
     """Share of the pooled null in the tail over the share of observed scores in it, at most 1."""
-    sign = Window.partitionBy(*TREATMENT, F.col("nes") >= 0)
+    sign = Window.partitionBy(*KEY, F.col("nes") >= 0)
     observed_share = F.try_divide(F.count("nes").over(sign.orderBy(F.abs("nes").desc())), F.count("nes").over(sign))
     null_share = F.try_divide(F.col("pool_extreme"), F.col("pool_n"))
     q = F.least(F.lit(1.0), null_share / F.col("_observed_share"))
@@ -221,4 +252,4 @@ def fdr_qvalue(scored: DataFrame) -> DataFrame:
 
 
 def significance(tails: DataFrame) -> DataFrame:
-    return fdr_qvalue(nes_pvalue(tails)).select(*SET_KEY, "size", "es", "nes", "pvalue", "fdr", "leading_edge")
+    return fdr_qvalue(nes_pvalue(tails)).select(*SETS, "size", "es", "nes", "pvalue", "fdr", "leading_edge")

@@ -1,9 +1,9 @@
 """Permutation nulls for many permutations: one grouped map per treatment.
 
-Spark brings each treatment's ranked genes and set members together; inside
-the group numpy scores blocks of permutations and returns only tail counts, so
-null scores are never shuffled. The permutations are those of
-``enrichment.null_scores``, number for number.
+Spark ranks, joins the sets and scores them; inside the group numpy scores
+blocks of permutations and returns only tail counts, so null scores are never
+shuffled. The permutations are those of ``enrichment.null_scores``, number for
+number.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from doseframe.functions.columns import MIX_A, MIX_B, MIX_PRIME, MIX_STEP, gene_code
-from doseframe.operators.enrichment import DIGITS, SET_KEY, permutation_base
-from doseframe.schema import TREATMENT
+from doseframe.operators.enrichment import DIGITS, KEY, SETS, permutation_base
 
-TAILS = (
-    "cell_line string, drug string, concentration double, pathway string, null_mean double, "
-    "null_n bigint, null_extreme bigint, pool_n bigint, pool_extreme bigint"
+SCORED = (
+    "cell_line string, drug string, dose string, pathway string, size bigint, es double, leading_edge string, "
+    "null_mean double, null_n bigint, null_extreme bigint, pool_n bigint, pool_extreme bigint"
 )
 
 
@@ -73,36 +72,38 @@ def tail_counts(es: np.ndarray, nulls: np.ndarray) -> pd.DataFrame:
     )
 
 
-def null_tails(ranked: DataFrame, scored: DataFrame, permutations: int = 1000, seed: int = 42, block: int = 64) -> DataFrame:
-    """Null tail counts of each set, from ranked genes and scored set members.
+def null_tails(scored: DataFrame, permutations: int = 1000, seed: int = 42, block: int = 64) -> DataFrame:
+    """Score, leading edge and null tail counts of each kept set.
 
-    One group is one treatment, at most one row per gene symbol.
+    Takes ``enrichment.scored_members`` of all ranked genes. One group is one
+    treatment: a row per gene symbol and set, however many fact rows it had.
     """
     base = permutation_base(seed)
-    names = [f.split()[0] for f in TAILS.split(", ")]
+    names = [f.split()[0] for f in SCORED.split(", ")]
 
-    def score_group(genes: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+    def score_group(rows: pd.DataFrame) -> pd.DataFrame:
+        genes = rows.drop_duplicates("position").sort_values("gene")
+        weights = genes.sort_values("position")["metric"].abs().to_numpy()
+        codes = genes["code"].to_numpy(np.int64)
+        name_order = np.empty(len(genes), np.int64)
+        name_order[genes["position"].to_numpy()] = np.arange(len(genes))
+        hits = rows[rows["kept"] & rows["es"].notna()].sort_values("position")
         if hits.empty:
             return pd.DataFrame(columns=names)
-        weights = genes.sort_values("position")["metric"].abs().to_numpy()
-        named = genes.sort_values("gene")
-        codes = named["code"].to_numpy(np.int64)
-        row_of = np.empty(len(named), np.int64)
-        row_of[named["position"].to_numpy()] = np.arange(len(named))
-        sets = [(key, row_of[g["position"].to_numpy()], g["es"].iloc[0]) for key, g in hits.groupby("pathway")]
-        nulls = np.empty((len(sets), permutations))
+        sets = hits.groupby("pathway")
+        places = [name_order[g.to_numpy()] for _, g in sets["position"]]
+        nulls = np.empty((len(places), permutations))
         for start in range(0, permutations, block):
             numbers = base + np.arange(start, min(start + block, permutations), dtype=np.int64)
             shuffled = permuted_positions(codes, numbers)
-            for i, (_, rows, _) in enumerate(sets):
-                nulls[i, start : start + len(numbers)] = scores_at(shuffled[:, rows], weights)
-        counts = tail_counts(np.array([s[2] for s in sets], float), nulls)
-        treatment = {c: hits[c].iloc[0] for c in TREATMENT}
-        return counts.assign(pathway=[s[0] for s in sets], **treatment)[names]
-
-    # New column identities on both sides, which share their lineage.
-    left = [*TREATMENT, "gene", "code", "position", "metric"]
-    right = [*SET_KEY, "position", "es"]
-    genes = ranked.withColumn("code", gene_code("gene")).select(*left).toDF(*left)
-    hits = scored.where("es IS NOT NULL").select(*right).toDF(*right)
-    return genes.groupBy(*TREATMENT).cogroup(hits.groupBy(*TREATMENT)).applyInPandas(score_group, TAILS)
+            for i, place in enumerate(places):
+                nulls[i, start : start + len(numbers)] = scores_at(shuffled[:, place], weights)
+        observed = sets[[*KEY, "size", "es"]].first().reset_index()
+        edges = hits[hits["in_edge"]].groupby("pathway")["gene"].agg(";".join)
+        observed["leading_edge"] = observed["pathway"].map(edges).fillna("")
+        counts = tail_counts(observed["es"].to_numpy(), nulls)
+        return pd.concat([observed, counts], axis=1)[names]
+
+    columns = [*SETS, "gene", "position", "metric", "size", "kept", "es", "in_edge"]
+    rows = scored.select(*columns, gene_code("gene").alias("code"))
+    return rows.groupBy(*KEY).applyInPandas(score_group, SCORED)

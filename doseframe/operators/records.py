@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doseframe.functions.columns import fixed
 from doseframe.operators.filters import substring_matches
 from doseframe.operators.pathways import significant_pathways, top_activated, top_repressed
 from doseframe.schema import TREATMENT
@@ -178,7 +179,7 @@ def experiment_report(enrichment: DataFrame, treatments: DataFrame, threshold: f
     joined = treatments.join(count, TREATMENT, "left").join(up, TREATMENT, "left").join(down, TREATMENT, "left")
 
     def bullet(p: Column) -> Column:
-        return F.format_string("- %s: NES=%.2f, FDR=%.3f", p.pathway, p.nes, p.fdr)
+        return F.concat(F.lit("- "), p.pathway, F.lit(": NES="), fixed(p.nes, 2), F.lit(", FDR="), fixed(p.fdr, 3))
 
     def section(col: str) -> Column:
         return F.when(F.size(col) > 0, F.transform(col, bullet)).otherwise(F.array(F.lit("(none)")))

@@ -29,13 +29,12 @@ class Prerank:
 
 
 def prerank_ranked(ranked: DataFrame, sets: DataFrame, params: Prerank = Prerank()) -> DataFrame:
-    scored = E.scored_members(E.set_membership(ranked, sets, params.min_size, params.max_size))
-    tails = null_tails(ranked, scored, params.permutations, params.seed)
-    return E.significance(E.score_sets(scored).join(tails, E.SET_KEY, "left"))
+    scored = E.scored_members(E.with_sets(ranked, sets, params.min_size, params.max_size))
+    return E.public(E.significance(null_tails(scored, params.permutations, params.seed)))
 
 
 def prerank(de: DataFrame, sets: DataFrame, order_cols: Sequence[str], params: Prerank = Prerank()) -> DataFrame:
-    """Enrichment of every treatment in ``de``."""
+    """Enrichment of every treatment in ``de``: one shuffle by gene, one by treatment."""
     return prerank_ranked(E.ranked_genes(de, order_cols), sets, params)
 
 
@@ -43,10 +42,10 @@ def prerank_relational(
     de: DataFrame, sets: DataFrame, order_cols: Sequence[str], params: Prerank = Prerank()
 ) -> DataFrame:
     """The same results without Python, for few permutations."""
-    ranked = E.ranked_genes(de, order_cols)
-    members = E.set_membership(ranked, sets, params.min_size, params.max_size)
-    nulls = E.null_scores(ranked, members, params.permutations, params.seed)
-    return E.significance(E.null_tails_from_rows(E.score_sets(E.scored_members(members)), nulls))
+    annotated = E.with_sets(E.ranked_genes(de, order_cols), sets, params.min_size, params.max_size)
+    scores = E.score_sets(E.scored_members(annotated.where("kept")))
+    nulls = E.null_scores(annotated, params.permutations, params.seed)
+    return E.public(E.significance(E.null_tails_from_rows(scores, nulls)))
 
 
 def enrich_cell_line(
@@ -86,5 +85,5 @@ def index_and_enrich(
     reduced.select(*TREATMENT, "gene", "file_num", "_first.log2FoldChange", "_first.padj").write.parquet(path)
     genes = de.sparkSession.read.parquet(path)
     index = genes.groupBy(*TREATMENT).agg(F.min("file_num").alias("file_num"))
-    ranked = E.rank_rows(genes.where("gene IS NOT NULL AND log2FoldChange IS NOT NULL AND padj IS NOT NULL"))
-    return index, prerank_ranked(ranked, sets, params)
+    usable_genes = genes.where("gene IS NOT NULL AND log2FoldChange IS NOT NULL AND padj IS NOT NULL")
+    return index, prerank_ranked(E.rank_rows(E.keyed(usable_genes)), sets, params)
