@@ -49,13 +49,22 @@ def matches(col: Column, pattern: str, literal: bool = False) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Text with ``digits`` decimals; exact ties go to the even digit, as in C and Python.
+    """Text with ``digits`` decimals, rounded from the exact binary value as C and Python do.
 
-    A double is an exact tie only when 2**(digits + 1) times it is odd; all
-    other values are formatted from their decimal digits directly.
+    ``value * 10**digits`` is split into a rounded product and its exact error,
+    which decides what looks like a tie; a true tie goes to the even digit.
     """
-    tie = F.pmod(value * F.lit(2.0 ** (digits + 1)), F.lit(2.0)) == 1
-    return F.format_string(f"%.{digits}f", F.when(tie, F.bround(value, digits)).otherwise(value))
+    scale = F.lit(10.0**digits)
+    size = F.abs(value)
+    lifted = size * F.lit(134217729.0)
+    high = lifted - (lifted - size)
+    low = size - high
+    product = size * scale
+    error = (high * scale - product) + low * scale
+    whole = F.floor(product).cast("double")
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    return F.format_string(f"%.{digits}f", F.signum(value) * (whole + up.cast("double")) / scale)
 
 
 def is_ensembl(gene: Column | str) -> Column:
