@@ -11,17 +11,28 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doseframe.operators import episodes, questions
 from doseframe.operators.aggregates import treatment_index
 from doseframe.operators.joins import heldout_guard
 from doseframe.plans.enrich import Prerank, prerank
-from doseframe.schema import TREATMENT
+from doseframe.schema import DE_SCHEMA, TREATMENT
 from doseframe.session import scratch_path
-from doseframe.sources.de import write_de
+from doseframe.sources.de import scan_de, write_de
 from doseframe.sources.results import read_enrichment, write_enrichment
 
 ROW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+FACTS_SCHEMA = T.StructType(
+    [
+        *DE_SCHEMA.fields,
+        T.StructField("l_orderkey", T.LongType()),
+        T.StructField("l_linenumber", T.IntegerType()),
+        T.StructField("l_partkey", T.LongType()),
+        T.StructField("l_suppkey", T.LongType()),
+        T.StructField("l_extendedprice", T.DoubleType()),
+    ]
+)
 FILES = 16
 PARAMS = Prerank(permutations=20)
 SIGNATURES = ["economy", "large", "medium", "promo", "small", "standard"]
@@ -57,19 +68,19 @@ class Tables:
 
     def de_from(self, lines: DataFrame) -> DataFrame:
         """Facts from (a stream of) line items."""
+        # The facts come first in every join, so that only a dimension is ever broadcast.
+        suppliers = self.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+        nations = self.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("drug"))
         orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         customers = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("cell_line"))
-        suppliers = (
-            self.raw("supplier")
-            .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("drug"))
-        )
         mark = F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17
         spread = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 10000 + 1
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         return (
-            lines.join(suppliers, "l_suppkey")
-            .join(orders.join(customers, "o_custkey"), "l_orderkey")
+            lines.join(orders, "l_orderkey")
+            .join(customers, "o_custkey")
+            .join(suppliers, "l_suppkey")
+            .join(nations, "s_nationkey")
             .select(
                 gene_of("l_partkey").alias("gene_name"),
                 ((cents % 2001 - 1000).cast("double") / F.lit(250.0)).alias("log2FoldChange"),
@@ -86,18 +97,18 @@ class Tables:
             )
         )
 
-    def de(self) -> DataFrame:
-        return self.de_from(self.raw("lineitem"))
-
     def de_store(self) -> str:
         """Facts as numbered files; a missing padj is stored as NaN."""
 
         def write(path: str) -> None:
-            stored = self.de().withColumn("padj", F.coalesce("padj", F.lit(float("nan"))))
-            write_de(stored, path, FILES)
+            derived = self.de_from(self.raw("lineitem"))
+            write_de(derived.withColumn("padj", F.coalesce("padj", F.lit(float("nan")))), path, FILES)
 
         return self.written("de", write)
 
+    def de(self) -> DataFrame:
+        return scan_de(self.spark, self.de_store(), FACTS_SCHEMA)
+
     # Metadata
 
     def drugs(self) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from doseframe.functions.columns import gene_code, permutation_key, rank_metric
 from doseframe.functions.frames import spread
@@ -82,13 +82,22 @@ def set_membership(ranked: DataFrame, sets: DataFrame, min_size: int = 15, max_s
     return with_sets(ranked, sets, min_size, max_size).where("kept").drop("kept")
 
 
+def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, WindowSpec]:
+    """A window over ``keys`` that sorts by a hash of them first.
+
+    Sorting compares one number instead of several strings; the keys
+    themselves follow, so equal hashes do no harm.
+    """
+    return df.withColumn("_g", F.xxhash64(*keys)), Window.partitionBy("_g", *keys)
+
+
 def _running_sums(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Running sum right after (``above``) and right before (``below``) each hit.
 
     Between hits the sum only falls, so its extremes are found at hits alone.
     Both are null when all hits weigh nothing or every gene is a hit.
     """
-    group = Window.partitionBy(*keys)
+    hits, group = _grouped(hits, keys)
     ordered = group.orderBy("position")
     weighed = hits.withColumn("_w", F.abs("metric")).withColumns(
         {
@@ -101,8 +110,8 @@ def _running_sums(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     missed = F.try_divide(F.col("position") - F.col("_before"), F.col("n_genes") - F.col("_hits"))
     return weighed.withColumns(
         {
-            "above": F.round(F.try_divide(F.col("_upto"), F.col("_total")) - missed, DIGITS),
-            "below": F.round(F.try_divide(F.col("_upto") - F.col("_w"), F.col("_total")) - missed, DIGITS),
+            "above": F.try_divide(F.col("_upto"), F.col("_total")) - missed,
+            "below": F.try_divide(F.col("_upto") - F.col("_w"), F.col("_total")) - missed,
         }
     )
 
@@ -113,13 +122,10 @@ def _peak_or_trough(high: Column, low: Column) -> Column:
 
 def scored_members(members: DataFrame) -> DataFrame:
     """Set members with their set's enrichment score and whether they are in its leading edge."""
-    group = Window.partitionBy(*SETS)
-    sums = _running_sums(members, SETS).withColumns(
-        {
-            "_high": F.max(F.struct("above", (-F.col("position")).alias("p"))).over(group),
-            "_low": F.min(F.struct("below", F.col("position").alias("p"))).over(group),
-        }
-    )
+    group = Window.partitionBy("_g", *SETS)
+    high = F.struct(F.round("above", DIGITS).alias("above"), (-F.col("position")).alias("p"))
+    low = F.struct(F.round("below", DIGITS).alias("below"), F.col("position").alias("p"))
+    sums = _running_sums(members, SETS).withColumns({"_high": F.max(high).over(group), "_low": F.min(low).over(group)})
     es = _peak_or_trough(F.col("_high.above"), F.col("_low.below"))
     in_edge = F.when(es > 0, F.col("position") <= -F.col("_high.p")).when(es < 0, F.col("position") >= F.col("_low.p"))
     return sums.select(*members.columns, es.alias("es"), F.coalesce(in_edge, F.lit(False)).alias("in_edge"))
@@ -163,11 +169,11 @@ def null_scores(annotated: DataFrame, permutations: int, seed: int = 42) -> Data
     weights = genes.groupBy(*KEY).agg(F.transform(by_position, lambda g: g.metric).alias("_weights"))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation")
     number = F.col("permutation") + F.lit(permutation_base(seed)).cast("bigint")
-    shuffled_by = Window.partitionBy(*KEY, "permutation").orderBy("_key", "gene")
+    repeated = genes.select(*KEY, "gene", "n_genes", "_pathways", gene_code("gene").alias("_code"), numbers)
+    repeated, group = _grouped(repeated, [*KEY, "permutation"])
     shuffled = (
-        genes.select(*KEY, "gene", "n_genes", "_pathways", gene_code("gene").alias("_code"), numbers)
-        .withColumn("_key", permutation_key(F.col("_code"), number))
-        .withColumn("position", F.row_number().over(shuffled_by) - 1)
+        repeated.withColumn("_key", permutation_key(F.col("_code"), number))
+        .withColumn("position", F.row_number().over(group.orderBy("_key", "gene")) - 1)
         .where(F.size("_pathways") > 0)
     )
     hits = shuffled.join(weights, KEY).select(
@@ -182,7 +188,7 @@ def null_scores(annotated: DataFrame, permutations: int, seed: int = 42) -> Data
     return (
         _running_sums(hits, keys)
         .groupBy(*keys)
-        .agg(_peak_or_trough(F.max("above"), F.min("below")).alias("null_es"))
+        .agg(_peak_or_trough(F.round(F.max("above"), DIGITS), F.round(F.min("below"), DIGITS)).alias("null_es"))
     )
 
 

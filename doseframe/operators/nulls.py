@@ -40,8 +40,8 @@ def scores_at(positions: np.ndarray, weights: np.ndarray) -> np.ndarray:
     upto = np.cumsum(w, axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         missed = (positions - np.arange(k)) / np.float64(n - k)
-        high = np.round(upto / upto[:, -1:] - missed, DIGITS).max(axis=1)
-        low = np.round((upto - w) / upto[:, -1:] - missed, DIGITS).min(axis=1)
+        high = np.round((upto / upto[:, -1:] - missed).max(axis=1), DIGITS)
+        low = np.round(((upto - w) / upto[:, -1:] - missed).min(axis=1), DIGITS)
     scores = np.where(high >= -low, high, low)
     return np.where(np.isfinite(scores), scores, np.nan)
 
