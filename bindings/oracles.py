@@ -481,11 +481,11 @@ BODIES = {
         FROM cells GROUP BY cell_name""",
     "experiment_report": f"""
         SELECT {TRT}, coalesce(n, 0) AS significant_count,
-               concat_ws(chr(10), '# Experiment Results: ' || drug || ' @ ' || concentration::VARCHAR || 'uM in ' || cell_line,
-                 '## Cell Line Context', '- Organ: ' || organ, '- Driver mutations: ' || coalesce(muts, 'None annotated'),
-                 '## Drug Context', '- Mechanism: ' || moa_fine, '- Targets: ' || CASE WHEN targets = 'None' THEN 'Unknown' ELSE targets END,
-                 '## Pathway Activities', 'Significant pathways (FDR < {THRESHOLD}): ' || coalesce(n, 0),
-                 '### Top Activated Pathways (positive NES):', coalesce(u.lines, '(none)'),
+               concat_ws(chr(10), '# Experiment Results: ' || drug || ' @ ' || concentration::VARCHAR || 'uM in ' || cell_line, '',
+                 '## Cell Line Context', '- Organ: ' || organ, '- Driver mutations: ' || coalesce(muts, 'None annotated'), '',
+                 '## Drug Context', '- Mechanism: ' || moa_fine, '- Targets: ' || CASE WHEN targets = 'None' THEN 'Unknown' ELSE targets END, '',
+                 '## Pathway Activities', 'Significant pathways (FDR < {THRESHOLD}): ' || coalesce(n, 0), '',
+                 '### Top Activated Pathways (positive NES):', coalesce(u.lines, '(none)'), '',
                  '### Top Repressed Pathways (negative NES):', coalesce(d.lines, '(none)')) AS report
         FROM index_ JOIN drugs USING (drug)
         JOIN (SELECT cell_name AS cell_line, arg_min(Organ, ord) AS organ, string_agg(gene, ', ' ORDER BY ord) FILTER (gene IS NOT NULL) AS muts

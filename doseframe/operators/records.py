@@ -11,6 +11,41 @@ from doseframe.operators.pathways import significant_pathways, top_activated, to
 from doseframe.schema import TREATMENT
 
 
+# The lines of the text cards.
+DRUG_LINES = [
+    "# %s",
+    "- Mechanism (broad): %s",
+    "- Mechanism (fine): %s",
+    "- Targets: %s",
+    "- Human approved: %s",
+    "- Clinical trials: %s",
+]
+DRUG_CID_LINE = "- PubChem CID: %d"
+CELL_LINE_LINES = ["# %s", "- Organ/tissue: %s", "- Driver mutations (%d):"]
+NO_MUTATIONS_LINE = "  (no annotated driver mutations)"
+EXPERIMENT_LINES = [
+    "# Experiment Results: %s @ %suM in %s",
+    "",
+    "## Cell Line Context",
+    "- Organ: %s",
+    "- Driver mutations: %s",
+    "",
+    "## Drug Context",
+    "- Mechanism: %s",
+    "- Targets: %s",
+    "",
+    "## Pathway Activities",
+    "Significant pathways (FDR < %s): %d",
+    "",
+    "### Top Activated Pathways (positive NES):",
+]
+REPRESSED_LINES = ["", "### Top Repressed Pathways (negative NES):"]
+PATHWAY_LINE = "- %s: NES=%s, FDR=%s"
+NO_PATHWAY_LINE = "(none)"
+UNKNOWN, UNANNOTATED = "Unknown", "None annotated"
+NOT_FOUND, WILDTYPE = "NOT FOUND", "wildtype"
+
+
 def _yes(col: str) -> Column:
     return F.coalesce(F.lower(F.col(f"`{col}`")) == "yes", F.lit(False))
 
@@ -91,8 +126,8 @@ def mutation_status(requested: DataFrame, cells: DataFrame, gene: str, order_col
         )
     )
     status = (
-        F.when(F.col("_n").isNull(), F.lit("NOT FOUND"))
-        .when(F.col("_n") == 0, F.lit("wildtype"))
+        F.when(F.col("_n").isNull(), F.lit(NOT_FOUND))
+        .when(F.col("_n") == 0, F.lit(WILDTYPE))
         .otherwise(F.coalesce("_effect", F.lit("")))
     )
     return requested.join(found, "requested", "left").select("requested", status.alias("status"))
@@ -106,7 +141,7 @@ def drug_lookup_status(requested: DataFrame, drugs: DataFrame, order_col: str) -
         .groupBy("requested")
         .agg(F.min_by("moa-fine", F.col(order_col)).alias("_moa"), F.count(F.lit(1)).alias("_n"))
     )
-    status = F.when(F.col("_n").isNull(), F.lit("NOT FOUND")).otherwise(F.col("_moa"))
+    status = F.when(F.col("_n").isNull(), F.lit(NOT_FOUND)).otherwise(F.col("_moa"))
     return requested.join(found, "requested", "left").select("requested", status.alias("status"))
 
 
@@ -115,23 +150,22 @@ def _yes_no(flag: str) -> Column:
 
 
 def _targets(col: Column) -> Column:
-    return F.coalesce(F.when(F.size(col) > 0, F.array_join(col, ", ")), F.lit("Unknown"))
+    return F.coalesce(F.when(F.size(col) > 0, F.array_join(col, ", ")), F.lit(UNKNOWN))
 
 
 def drug_report(drugs: DataFrame) -> DataFrame:
     """Text card per parsed drug."""
-    cid = F.when(F.col("pubchem_cid") != 0, F.concat(F.lit("- PubChem CID: "), F.col("pubchem_cid").cast("string")))
-    lines = F.concat_ws(
-        "\n",
-        F.concat(F.lit("# "), "drug"),
-        F.concat(F.lit("- Mechanism (broad): "), "moa_broad"),
-        F.concat(F.lit("- Mechanism (fine): "), "moa_fine"),
-        F.concat(F.lit("- Targets: "), _targets(F.col("targets"))),
-        F.concat(F.lit("- Human approved: "), _yes_no("human_approved")),
-        F.concat(F.lit("- Clinical trials: "), _yes_no("clinical_trials")),
-        cid,
+    card = F.format_string(
+        "\n".join(DRUG_LINES),
+        "drug",
+        "moa_broad",
+        "moa_fine",
+        _targets(F.col("targets")),
+        _yes_no("human_approved"),
+        _yes_no("clinical_trials"),
     )
-    return drugs.select("drug", lines.alias("report"))
+    cid = F.when(F.col("pubchem_cid") != 0, F.format_string(DRUG_CID_LINE, "pubchem_cid"))
+    return drugs.select("drug", F.concat_ws("\n", card, cid).alias("report"))
 
 
 def _mutation_line(m: Column) -> Column:
@@ -142,10 +176,10 @@ def _mutation_line(m: Column) -> Column:
         m.gene_symbol,
         F.coalesce(effect, F.lit("")),
         F.lit(": "),
-        F.coalesce(m.var_type, F.lit("Unknown")),
+        F.coalesce(m.var_type, F.lit(UNKNOWN)),
         F.coalesce(mechanism, F.lit("")),
         F.lit(" ("),
-        F.coalesce(m.gene_type, F.lit("Unknown")),
+        F.coalesce(m.gene_type, F.lit(UNKNOWN)),
         F.lit(")"),
     )
 
@@ -153,14 +187,11 @@ def _mutation_line(m: Column) -> Column:
 def cell_line_report(nested: DataFrame) -> DataFrame:
     """Text card per nested cell line."""
     count = F.size("driver_mutations")
-    head = F.array(
-        F.concat(F.lit("# "), "cell_line"),
-        F.concat(F.lit("- Organ/tissue: "), "organ"),
-        F.concat(F.lit("- Driver mutations ("), count.cast("string"), F.lit("):")),
+    head = F.format_string("\n".join(CELL_LINE_LINES), "cell_line", "organ", count)
+    body = F.when(count == 0, F.lit(NO_MUTATIONS_LINE)).otherwise(
+        F.array_join(F.transform("driver_mutations", _mutation_line), "\n")
     )
-    none = F.array(F.lit("  (no annotated driver mutations)"))
-    body = F.when(count == 0, none).otherwise(F.transform("driver_mutations", _mutation_line))
-    return nested.select("cell_line", F.array_join(F.concat(head, body), "\n").alias("report"))
+    return nested.select("cell_line", F.concat_ws("\n", head, body).alias("report"))
 
 
 def experiment_report(enrichment: DataFrame, treatments: DataFrame, threshold: float = 0.05, top: int = 5) -> DataFrame:
@@ -179,31 +210,27 @@ def experiment_report(enrichment: DataFrame, treatments: DataFrame, threshold: f
     joined = treatments.join(count, TREATMENT, "left").join(up, TREATMENT, "left").join(down, TREATMENT, "left")
 
     def bullet(p: Column) -> Column:
-        return F.concat(F.lit("- "), p.pathway, F.lit(": NES="), fixed(p.nes, 2), F.lit(", FDR="), fixed(p.fdr, 3))
+        return F.format_string(PATHWAY_LINE, p.pathway, fixed(p.nes, 2), fixed(p.fdr, 3))
 
     def section(col: str) -> Column:
-        return F.when(F.size(col) > 0, F.transform(col, bullet)).otherwise(F.array(F.lit("(none)")))
+        return F.when(F.size(col) > 0, F.array_join(F.transform(col, bullet), "\n")).otherwise(F.lit(NO_PATHWAY_LINE))
 
     genes = F.array_join(F.transform("cell_line_info.driver_mutations", lambda m: m.gene_symbol), ", ")
-    text = F.concat(
-        F.array(
-            F.format_string("# Experiment Results: %s @ %suM in %s", "drug", F.col("concentration").cast("string"), "cell_line"),
-            F.lit("## Cell Line Context"),
-            F.concat(F.lit("- Organ: "), "cell_line_info.organ"),
-            F.concat(F.lit("- Driver mutations: "), F.when(F.length(genes) > 0, genes).otherwise("None annotated")),
-            F.lit("## Drug Context"),
-            F.concat(F.lit("- Mechanism: "), "drug_info.moa_fine"),
-            F.concat(F.lit("- Targets: "), _targets(F.col("drug_info.targets"))),
-            F.lit("## Pathway Activities"),
-            F.format_string("Significant pathways (FDR < %s): %d", F.lit(str(threshold)), F.col("significant_count")),
-            F.lit("### Top Activated Pathways (positive NES):"),
-        ),
-        section("top_activated"),
-        F.array(F.lit("### Top Repressed Pathways (negative NES):")),
-        section("top_repressed"),
+    head = F.format_string(
+        "\n".join(EXPERIMENT_LINES),
+        "drug",
+        F.col("concentration").cast("string"),
+        "cell_line",
+        "cell_line_info.organ",
+        F.when(F.length(genes) > 0, genes).otherwise(UNANNOTATED),
+        "drug_info.moa_fine",
+        _targets(F.col("drug_info.targets")),
+        F.lit(str(threshold)),
+        F.col("significant_count"),
     )
+    text = F.concat_ws("\n", head, section("top_activated"), F.lit("\n".join(REPRESSED_LINES)), section("top_repressed"))
     return joined.withColumn("significant_count", F.coalesce("_n", F.lit(0)).cast("bigint")).select(
         *TREATMENT,
         F.struct("significant_count", "top_activated", "top_repressed").alias("observation"),
-        F.array_join(text, "\n").alias("report"),
+        text.alias("report"),
     )
