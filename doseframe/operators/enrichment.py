@@ -203,7 +203,8 @@ def null_tails_from_rows(scores: DataFrame, nulls: DataFrame) -> DataFrame:
     read once and tails are cumulative counts, not a join of scores with nulls.
     """
     observed = scores.withColumns({"value": F.col("es"), "is_null": F.lit(0)})
-    permuted = nulls.select(*SETS, F.col("null_es").alias("value"), F.lit(1).alias("is_null"))
+    # A shuffle of the reduced rows, so that one task does not hold the sorts of both halves of the job.
+    permuted = spread(nulls.select(*SETS, F.col("null_es").alias("value"), F.lit(1).alias("is_null")), *KEY)
     per_set = Window.partitionBy(*SETS)
     null, value, es = F.col("is_null") == 1, F.col("value"), F.col("_es")
     same = null & ((value >= 0) == (es >= 0))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doseframe.schema import INDEX_SCHEMA, TREATMENT
 from doseframe.streaming.protocol import REPLAY_SCHEMA, EpisodeProtocol
@@ -56,7 +57,8 @@ def stream_first_seen(de: DataFrame, out: str, checkpoint: str) -> None:
 
 def read_first_seen(spark: SparkSession, out: str) -> DataFrame:
     """The index as of the last batch."""
-    versions = spark.read.schema(INDEX_SCHEMA.add("batch", "long")).parquet(out)
+    numbered = T.StructType([*INDEX_SCHEMA.fields, T.StructField("batch", T.LongType())])
+    versions = spark.read.schema(numbered).parquet(out)
     last = versions.agg(F.max("batch")).scalar()
     return versions.where(F.col("batch") == last).drop("batch")
 
