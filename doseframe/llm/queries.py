@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.llm import decontaminate as dec
-from doseframe.llm import secrets, warc
-from doseframe.llm.common import fresh_path
+from doseframe.llm import langid, order_minhash, secrets, warc
+from doseframe.llm.common import bucket5, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -58,3 +58,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(docs).select(
         "doc_id", *[count(k) for k in secrets.KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans")
     )
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit_language_model(docs.where(bucket5(F.col("doc_id")) != 0))
+    found = langid.identify_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (bucket5(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_next(table(spark, sf_dir, "documents"))
