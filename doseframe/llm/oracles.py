@@ -3,3 +3,74 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op1_decontamination"] = r"""
+WITH words AS (
+    SELECT doc_id, row_number() OVER () AS r,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), items AS (
+    SELECT item_id::VARCHAR AS item,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark WHERE item_id IS NOT NULL
+), sizes AS (
+    SELECT item, w, least(len(w), 13) AS n FROM items WHERE len(w) > 0
+), windows AS (
+    SELECT item, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT item, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM sizes)
+), lengths AS (
+    SELECT DISTINCT n FROM windows
+), hits AS (
+    SELECT r, i, d.n, item FROM (
+        SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+        FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n)
+    ) d JOIN windows USING (win) WHERE d.n = windows.n
+), covered AS (
+    SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r
+), named AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLES["op5_warc"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (
+    SELECT h, max(page_id) AS top FROM p GROUP BY h
+)
+SELECT page_id, n::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to,
+    NULL::VARCHAR AS problem
+FROM p JOIN m USING (h)
+"""
+
+ORACLES["op10_line_dedup"] = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), h AS (
+    SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS hs FROM d
+), c AS (
+    SELECT *, list_filter(range(1, len(hs) + 1), lambda i:
+        ((hs[i] + CASE WHEN i > 1 THEN 31 * hs[i - 1] ELSE 0 END + CASE WHEN i > 2 THEN 961 * hs[i - 2] ELSE 0 END) % 65521) % 4 = 0
+        OR i = len(hs)) AS ends
+    FROM h
+), e AS (
+    SELECT doc_id, t, k, ls, unnest(range(1, len(ends) + 1)) AS pos, ends FROM c
+), chunks AS (
+    SELECT doc_id, t, k, pos,
+        array_to_string(ls[(CASE WHEN pos > 1 THEN ends[pos - 1] ELSE 0 END) + 1 : ends[pos]], chr(10)) AS body,
+        ends[pos] - (CASE WHEN pos > 1 THEN ends[pos - 1] ELSE 0 END) AS n
+    FROM e
+), ranked AS (
+    SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id NULLS FIRST, k, pos) > 1 AS gone FROM chunks
+)
+SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE sum(n)::BIGINT END AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed,
+    sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id, k, t
+"""
