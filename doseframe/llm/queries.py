@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.llm import decontaminate as dec
-from doseframe.llm import bpe, langid, line_dedup, order_minhash, secrets, warc
+from doseframe.llm import bpe, langid, line_dedup, ngram_join, order_minhash, secrets, warc
 from doseframe.llm.common import bucket5, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,12 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_next(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
