@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.llm import decontaminate as dec
-from doseframe.llm import bpe, langid, line_dedup, ngram_join, order_minhash, secrets, warc
+from doseframe.llm import bpe, langid, line_dedup, ngram_join, order_minhash, secrets, toxicity, warc
 from doseframe.llm.common import bucket5, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    labels = table(spark, sf_dir, "labels").where(bucket5(F.col("doc_id")) != 0)
+    return toxicity.fit_toxicity(docs, labels)
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score_toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return found.select(
+        "doc_id", (bucket5(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
