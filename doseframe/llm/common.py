@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ from pyspark.sql import types as T
 #: Bytes of text that one call of a row function gets at most, beside one row of any length.
 SLICE_BYTES = 8 << 20
 
+#: Bits of a filter, at most.
+FILTER_BITS = 1 << 26
+
 #: Bytes of letters and digits: a-z, 0-9 and every byte of a character beyond ASCII. All other bytes become blanks, A-Z become a-z.
 ALNUM_TABLE = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -126,6 +130,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Bits:
+    """A filter of 64-bit hashes: those put in always pass, few others do."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __contains__(self, value: int) -> bool:
+        at = value & (len(self.words) * 64 - 1)
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        at = values & np.uint64(len(self.words) * 64 - 1)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def filter_of(rows: DataFrame, column: str) -> Bits:
+    """Built by a combined aggregate; at most FILTER_BITS / 64 rows come to the driver."""
+    n = rows.count()
+    bits = min(FILTER_BITS, 1 << max(10, (16 * n - 1).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    places = rows.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("b"))
+    words = np.zeros(bits // 64, np.uint64)
+    for r in places.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        words[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
+    return Bits(words)
+
+
 def bucket5(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5: 0 marks the held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

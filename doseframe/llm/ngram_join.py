@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doseframe.llm.common import add_columns, raw_texts, slices, stored, without, words_blank
+from doseframe.llm.common import add_columns, filter_of, raw_texts, slices, stored, without, words_blank
 from doseframe.llm.components import components
 from doseframe.llm.shingles import WordHashes, mixed, rolled, signed
 
@@ -50,8 +50,6 @@ CLASS_RATIO = 1.4
 #: Nodes and bytes of shingles in a block.
 BLOCK_NODES = 1024
 BLOCK_BYTES = 8 << 20
-#: Bits of the filter that spares sets without ties the shuffle, at most.
-FILTER_BITS = 1 << 26
 FRAGMENTS = 8
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -119,29 +117,6 @@ def signatures(shingles: np.ndarray, classes: Classes) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-class Bits:
-    """A filter of node hashes: those put in always pass."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def __contains__(self, node: int) -> bool:
-        at = node & (len(self.words) * 64 - 1)
-        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
-
-
-def filter_of(nodes: DataFrame, column: str) -> Bits:
-    """Built by a combined aggregate; at most FILTER_BITS / 64 rows come to the driver."""
-    n = nodes.count()
-    bits = min(FILTER_BITS, 1 << max(10, (16 * n - 1).bit_length()))
-    at = F.col(column).bitwiseAND(F.lit(bits - 1))
-    rows = nodes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("b"))
-    words = np.zeros(bits // 64, np.uint64)
-    for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        words[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
-    return Bits(words)
-
-
 def segment_rows(docs: DataFrame, text: str, shingle: int, threshold: int) -> DataFrame:
     """(sig, node) of every distinct set in a task."""
 

@@ -74,3 +74,47 @@ SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE sum(n)::BIGINT END AS n_lines, coale
     sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM ranked GROUP BY doc_id, k, t
 """
+
+ORACLES["op3_phrases"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), repeated AS (
+    SELECT r, i FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)
+), gone AS (
+    SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM repeated
+), words AS (
+    SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+    SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS body FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLES["op9_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS grams
+    FROM d
+), g AS (
+    SELECT r, unnest(grams) AS gram FROM s
+), shared AS (
+    SELECT a.r AS x, b.r AS y, count(*) AS n FROM g a JOIN g b USING (gram) WHERE a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+    SELECT x, y FROM shared JOIN s p ON p.r = x JOIN s q ON q.r = y WHERE 100 * n >= 90 * (len(p.grams) + len(q.grams) - n)
+), reach AS (
+    SELECT r AS x, r AS y FROM s UNION SELECT x, l.y FROM reach JOIN (SELECT x AS m, y FROM links) l ON reach.y = l.m
+), named AS (
+    SELECT x, min(doc_id) AS component_id FROM reach JOIN s ON s.r = reach.y GROUP BY x
+), degrees AS (
+    SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, component_id, coalesce(n, 0)::BIGINT AS n_links
+FROM s JOIN named ON named.x = s.r LEFT JOIN degrees ON degrees.x = s.r
+"""

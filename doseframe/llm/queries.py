@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.llm import decontaminate as dec
-from doseframe.llm import bpe, langid, line_dedup, ngram_join, order_minhash, secrets, toxicity, warc
+from doseframe.llm import bpe, langid, line_dedup, ngram_join, order_minhash, phrases, secrets, toxicity, warc
 from doseframe.llm.common import bucket5, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
@@ -115,3 +121,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, on all documents. The module lies at the repository's top and imports from here."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
