@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from bindings.tables import BUDGET, CELL_LINES, FILES, PARAMS, SIGNATURES, THRESHOLD
+from bindings.tables import BUDGET, CELL_LINES, LEAST_FILES, PARAMS, ROWS_IN_FILE, SIGNATURES, THRESHOLD
 from doseframe.functions.columns import MIX_A, MIX_B, MIX_PRIME, MIX_STEP
 from doseframe.operators.enrichment import permutation_base
 from doseframe.operators.episodes import default_turns
@@ -33,7 +33,9 @@ VIEWS = {
                     ELSE ((l_orderkey * 7919 + l_linenumber * 104729) % 10000 + 1)::DOUBLE / 10000.0::DOUBLE END AS padj,
                l_quantity AS baseMean, n_name AS drug,
                CASE WHEN l_linestatus = 'F' THEN 0.05::DOUBLE ELSE 5.0::DOUBLE END AS concentration,
-               c_mktsegment AS cell_line, (l_orderkey % {FILES})::INTEGER AS file_num,
+               c_mktsegment AS cell_line,
+               ((('0x' || substr(md5(c_mktsegment || '/' || n_name), 1, 6))::BIGINT + l_linenumber % 2)
+                % (SELECT greatest({LEAST_FILES}, count(*) // {ROWS_IN_FILE}) FROM lineitem))::INTEGER AS file_num,
                {ROW_ORDER}
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
@@ -54,7 +56,7 @@ VIEWS = {
                CASE WHEN n % 2 = 0 THEN 'Oncogene' ELSE 'Suppressor' END AS gene_type, min(c_custkey) AS ord
         FROM (SELECT c_mktsegment AS cell_name, lower(c_mktsegment) AS Organ, c_custkey % 20 AS n, c_custkey,
                      CASE WHEN c_custkey % 7 <> 0 THEN n_name END AS gene, 'p.G' || (c_custkey % 20) || 'V' AS effect
-              FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0)
+              FROM customer JOIN nation ON c_nationkey = n_nationkey)
         GROUP BY cell_name, Organ, gene, effect, n""",
     "samples": """
         SELECT 'smp_' || o_orderkey AS sample, n_name AS drug,
@@ -64,7 +66,7 @@ VIEWS = {
         SELECT 'type:' || p_type AS pathway, upper({gene('p_partkey')}) AS gene FROM part
         UNION ALL SELECT 'brand:' || p_brand, upper({gene('p_partkey')}) FROM part""",
     "signatures": f"SELECT lower(p_type) AS signature, {gene('p_partkey')} AS gene FROM part",
-    "external": "SELECT replace(upper(p_name), ' ', '-') AS external_name FROM part WHERE p_partkey % 2 = 0",
+    "external": "SELECT replace(upper(p_name), ' ', '-') || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-EXT' END AS external_name FROM part",
     "index_": f"SELECT {TRT}, min(file_num) AS file_num FROM de GROUP BY {TRT}",
     "scores": """
         SELECT d.drug, d.cell_line, s.signature, avg(log2FoldChange) AS log2fc, min(padj) AS padj, count(*) AS n_genes,
@@ -306,7 +308,7 @@ BODIES = {
     "write_enrichment": RESULT,
     "read_enrichment": f"{RESULT} WHERE drug = 'NATION_3'",
     "write_scores": wide(SIGNATURES),
-    "write_index": f"SELECT {TRT}, file_num FROM index_",
+    "write_index": f"SELECT DISTINCT {TRT}, file_num FROM de",
     "fetch_de": f"SELECT {DE_COLS} FROM de WHERE drug = 'NATION_3' AND abs(concentration - 0.05) < 0.001 AND cell_line = 'BUILDING'",
     "conc_tolerance": f"SELECT {DE_COLS} FROM de WHERE abs(concentration - 0.0504) < 0.001",
     "genes_in_list": f"SELECT {DE_COLS} FROM de WHERE gene_name IN (SELECT gene FROM signatures WHERE signature = 'promo')",
@@ -353,10 +355,12 @@ BODIES = {
         SELECT s.*, c.cell_name, c.gene AS Driver_Gene_Symbol, c.effect AS Driver_ProtEffect_or_CdnaEffect, c.Organ
         FROM ({ECONOMY}) s LEFT JOIN cells c ON s.cell_line = c.cell_name""",
     "join_cell_meta_first": f"SELECT s.*, c.cell_name, c.Organ, c.Driver_Gene_Symbol FROM ({ECONOMY}) s LEFT JOIN ({FIRST_CELL}) c ON s.cell_line = c.cell_name",
-    "merge_signatures_outer": wide(SIGNATURES, """(
+    "merge_signatures_outer": wide([*SIGNATURES, "rare"], f"""(
         SELECT d.drug, d.cell_line, s.signature, avg(log2FoldChange) AS log2fc, min(padj) AS padj, count(*) AS n_genes,
                (pow(2.0, avg(log2FoldChange)) - 1) * 100 AS pct_change
-        FROM de d JOIN signatures s ON d.gene_name = s.gene WHERE padj < 0.05 GROUP BY d.drug, d.cell_line, s.signature)"""),
+        FROM de d JOIN (SELECT signature, gene FROM signatures
+                        UNION ALL SELECT 'rare', {gene('p_partkey')} FROM (SELECT min(p_partkey) AS p_partkey FROM part)) s
+        ON d.gene_name = s.gene GROUP BY d.drug, d.cell_line, s.signature)"""),
     "indexed_fetch": f"SELECT {DE_COLS} FROM de WHERE drug = 'NATION_3' AND cell_line = 'BUILDING'",
     "assemble_treatments": f"""
         SELECT {TRT}, moa_fine, replace(targets, ', ', ',') AS targets, organ, n_mutations
@@ -376,8 +380,8 @@ BODIES = {
         SELECT lower(p_type) AS signature, count(*) FILTER (p_partkey % 3 <> 0) AS n_found, count(*) AS n_total FROM part GROUP BY 1""",
     "treatment_grid": """
         SELECT drug, n_potential, coalesce(n, 0) AS n_present, n_potential - coalesce(n, 0) AS n_missing
-        FROM drugs LEFT JOIN (SELECT drug, count(DISTINCT cell_line) AS n FROM de WHERE padj < 0.001 AND cell_line IN (SELECT cell_name FROM cells) GROUP BY drug) USING (drug),
-             (SELECT count(DISTINCT cell_name) AS n_potential FROM cells)""",
+        FROM drugs LEFT JOIN (SELECT drug, count(DISTINCT cell_line) AS n FROM de WHERE cell_line IN (SELECT cell_name FROM cells) GROUP BY drug) USING (drug),
+             (SELECT count(DISTINCT cell_name) + 1 AS n_potential FROM cells)""",
     "signature_scores": f"SELECT drug, cell_line, signature, n_genes, {rnd('log2fc', 'padj', 'pct_change')} FROM scores",
     "pathway_activity": """
         SELECT d.drug, d.cell_line, d.concentration, s.signature, round(avg(log2FoldChange), 10) + 0.0 AS log2fc, round(min(padj), 6) AS padj,
@@ -441,7 +445,7 @@ BODIES = {
     "intersection_counts": """
         SELECT (SELECT count(DISTINCT drug) FROM drugs) AS n_left, (SELECT count(DISTINCT gene) FROM cells WHERE gene = 'NATION_3') AS n_right,
                (SELECT count(DISTINCT drug) FROM drugs WHERE drug IN (SELECT gene FROM cells WHERE gene = 'NATION_3')) AS n_both""",
-    "remaining_files": "SELECT DISTINCT file_num FROM de WHERE file_num NOT IN (SELECT file_num FROM index_)",
+    "remaining_files": "SELECT DISTINCT file_num FROM de WHERE file_num % 2 = 1",
     "all_signature_genes": "SELECT DISTINCT gene FROM signatures",
     "parse_drugs": """
         SELECT drug, CASE WHEN targets <> 'None' THEN replace(targets, ', ', ',') END AS targets, moa_broad, moa_fine, human_approved,
@@ -528,7 +532,7 @@ BODIES = {
         SELECT round(avg(s_process), 6) AS mean_s_process, round(avg(s_progress), 6) AS mean_s_progress, round(avg(s_episode), 6) AS mean_s_episode,
                count(*) AS total_episodes, sum(experiments_run)::BIGINT AS total_experiments FROM escores""",
     "stream_signature_filter": f"""
-        SELECT {DE_COLS}, 'promo' AS signature FROM de WHERE gene_name IN (SELECT gene FROM signatures WHERE signature = 'promo')""",
+        SELECT {DE_COLS}, signature FROM de JOIN signatures ON gene_name = gene""",
     "stream_first_seen": f"SELECT {TRT}, file_num FROM index_",
     "stream_replay": "SELECT episode, event_id, action, accepted, reason, step, experiments_run, done FROM replay",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindings.tables import BUDGET, PARAMS, ROW_ORDER, SIGNATURES, THRESHOLD, Tables
+from bindings.tables import BUDGET, PARAMS, ROW_ORDER, SIGNATURES, THRESHOLD, Tables, gene_of
 from doseframe.functions import columns as C
 from doseframe.operators import aggregates as A
 from doseframe.operators import enrichment as E
@@ -274,7 +274,9 @@ def join_cell_meta_first(t: Tables) -> DataFrame:
 
 @query
 def merge_signatures_outer(t: Tables) -> DataFrame:
-    scores = A.signature_scores(t.de().where("padj < 0.05"), t.signatures())
+    # A signature of one gene has no score for many pairs, so the merge has gaps to fill.
+    rare = t.raw("part").agg(F.min("p_partkey").alias("p_partkey")).select(F.lit("rare").alias("signature"), gene_of("p_partkey").alias("gene"))
+    scores = A.signature_scores(t.de(), t.signatures().unionByName(rare))
     tables = [
         scores.where(F.col("signature") == s).select(
             "drug", "cell_line",
@@ -283,18 +285,15 @@ def merge_signatures_outer(t: Tables) -> DataFrame:
             F.round("pct_change", 6).alias(f"{s}_pct_change"),
             "n_genes",
         )
-        for s in SIGNATURES
+        for s in [*SIGNATURES, "rare"]
     ]
     return J.merge_signatures_outer(tables)
 
 
 @query
 def indexed_fetch(t: Tables) -> DataFrame:
-    index = A.treatment_index(D.scan_de(t.spark, t.de_store()))
-    # A treatment spreads over all files here, so list every file it occurs in.
-    occurs = D.scan_de(t.spark, t.de_store()).select(*TREATMENT, "file_num").distinct()
-    keys = index.where("drug = 'NATION_3' AND cell_line = 'BUILDING'")
-    return J.indexed_fetch(t.spark, t.de_store(), occurs, keys).select(*DE_COLUMNS)
+    keys = t.places().where("drug = 'NATION_3' AND cell_line = 'BUILDING'")
+    return J.indexed_fetch(t.spark, t.de_store(), t.places(), keys).select(*DE_COLUMNS)
 
 
 @query
@@ -335,7 +334,7 @@ def heldout_guard(t: Tables) -> DataFrame:
 
 
 def ranked(t: Tables) -> DataFrame:
-    return E.ranked_genes(t.de(), ROW_ORDER)
+    return E.ranked_genes(t.de(), "row_key")
 
 
 def members(t: Tables) -> DataFrame:
@@ -358,8 +357,9 @@ def signature_coverage(t: Tables) -> DataFrame:
 
 @query
 def treatment_grid(t: Tables) -> DataFrame:
-    lines = t.cells().select(F.col("cell_name").alias("cell_line"))
-    return J.treatment_grid(t.de().where("padj < 0.001"), t.drugs(), lines)
+    # One line more than was ever tested.
+    lines = t.cells().select(F.col("cell_name").alias("cell_line")).union(t.spark.range(1).select(F.lit("UNLISTED")))
+    return J.treatment_grid(t.de(), t.drugs(), lines)
 
 
 # Aggregations
@@ -389,7 +389,7 @@ def treatment_index(t: Tables) -> DataFrame:
 
 @query
 def index_and_enrich(t: Tables) -> DataFrame:
-    index, found = enrich.index_and_enrich(t.de(), t.sets(), ROW_ORDER, PARAMS)
+    index, found = enrich.index_and_enrich(t.de(), t.sets(), "row_key", scratch_path(t.spark, "genes"), PARAMS)
     counts = found.groupBy(*TREATMENT).agg(
         F.count(F.lit(1)).alias("n_pathways"),
         F.count_if(F.col("fdr") < THRESHOLD).alias("n_significant"),
@@ -514,17 +514,17 @@ def fdr_qvalue(t: Tables) -> DataFrame:
 @query
 def enrich_cell_line(t: Tables) -> DataFrame:
     cached = t.enrichment().where("concentration = 5.0")
-    return results(enrich.enrich_cell_line(t.de(), t.sets(), ROW_ORDER, "BUILDING", cached=cached, params=PARAMS))
+    return results(enrich.enrich_cell_line(t.de(), t.sets(), "row_key", "BUILDING", cached=cached, params=PARAMS))
 
 
 @query
 def prerank_scale(t: Tables) -> DataFrame:
-    return results(enrich.prerank(t.de(), t.sets(), ROW_ORDER, PARAMS))
+    return results(enrich.prerank(t.de(), t.sets(), "row_key", PARAMS))
 
 
 @query
 def prerank_relational(t: Tables) -> DataFrame:
-    return results(enrich.prerank_relational(t.de(), t.sets(), ROW_ORDER, PARAMS))
+    return results(enrich.prerank_relational(t.de(), t.sets(), "row_key", PARAMS))
 
 
 @query
@@ -557,7 +557,10 @@ def intersection_counts(t: Tables) -> DataFrame:
 
 @query
 def remaining_files(t: Tables) -> DataFrame:
-    return U.remaining_files(t.de(), t.index())
+    """After a run that indexed the files with even numbers."""
+    path = scratch_path(t.spark, "partial-index")
+    O.write_index(t.de().where("file_num % 2 = 0"), path)
+    return U.remaining_files(t.de(), O.read_index(t.spark, path))
 
 
 @query
@@ -744,7 +747,7 @@ def stream(t: Tables, name: str) -> DataFrame:
 def stream_signature_filter(t: Tables) -> DataFrame:
     out, checkpoint = scratch_path(t.spark, "stream-filter"), scratch_path(t.spark, "stream-filter-checkpoint")
     jobs.stream_signature_filter(
-        t.de_from(stream(t, "lineitem")).select(*DE_COLUMNS), t.signatures().where("signature = 'promo'"), out, checkpoint
+        t.de_from(stream(t, "lineitem")).select(*DE_COLUMNS), t.signatures(), out, checkpoint
     )
     return t.spark.read.parquet(out)
 

@@ -20,7 +20,7 @@ from doseframe.plans.enrich import Prerank, prerank
 from doseframe.schema import DE_SCHEMA, TREATMENT
 from doseframe.session import scratch_path
 from doseframe.sources.de import scan_de, write_de
-from doseframe.sources.results import read_enrichment, write_enrichment
+from doseframe.sources.results import read_enrichment, read_index, write_enrichment, write_index
 
 ROW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 FACTS_SCHEMA = T.StructType(
@@ -31,9 +31,11 @@ FACTS_SCHEMA = T.StructType(
         T.StructField("l_partkey", T.LongType()),
         T.StructField("l_suppkey", T.LongType()),
         T.StructField("l_extendedprice", T.DoubleType()),
+        T.StructField("row_key", T.DecimalType(38, 0)),
     ]
 )
-FILES = 16
+LEAST_FILES = 16
+ROWS_IN_FILE = 100_000
 PARAMS = Prerank(permutations=20)
 SIGNATURES = ["economy", "large", "medium", "promo", "small", "standard"]
 CELL_LINES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "UNLISTED"]
@@ -48,6 +50,18 @@ def gene_of(part_key: str) -> Column:
     return F.when(F.col(part_key) % 3 == 0, ensembl).otherwise(F.concat(F.lit("g"), F.col(part_key).cast("string")))
 
 
+def file_number(cell_line: str, drug: str, files: int) -> Column:
+    """A cell line and drug lie in two neighbouring files, by line number."""
+    start = F.conv(F.substring(F.md5(F.concat_ws("/", cell_line, drug).cast("binary")), 1, 6), 16, 10).cast("bigint")
+    return ((start + F.col("l_linenumber") % 2) % files).cast("int")
+
+
+def row_key(cents: Column) -> Column:
+    """The row order as one number."""
+    digits = [F.lpad(c.cast("string"), n, "0") for c, n in ((F.col("l_orderkey"), 12), (F.col("l_linenumber"), 1), (F.col("l_partkey"), 9), (F.col("l_suppkey"), 7), (cents, 9))]
+    return F.concat(*digits).cast("decimal(38,0)")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -66,6 +80,10 @@ class Tables:
 
     # Facts
 
+    def files(self) -> int:
+        """The number of fact files follows the number of rows."""
+        return max(LEAST_FILES, self.raw("lineitem").count() // ROWS_IN_FILE)
+
     def de_from(self, lines: DataFrame) -> DataFrame:
         """Facts from (a stream of) line items."""
         # The facts come first in every join, so that only a dimension is ever broadcast.
@@ -92,8 +110,9 @@ class Tables:
                 "drug",
                 F.when(F.col("l_linestatus") == "F", F.lit(0.05)).otherwise(F.lit(5.0)).alias("concentration"),
                 "cell_line",
-                (F.col("l_orderkey") % FILES).cast("int").alias("file_num"),
+                file_number("cell_line", "drug", self.files()).alias("file_num"),
                 *ROW_ORDER,
+                row_key(cents).alias("row_key"),
             )
         )
 
@@ -102,7 +121,7 @@ class Tables:
 
         def write(path: str) -> None:
             derived = self.de_from(self.raw("lineitem"))
-            write_de(derived.withColumn("padj", F.coalesce("padj", F.lit(float("nan")))), path, FILES)
+            write_de(derived.withColumn("padj", F.coalesce("padj", F.lit(float("nan")))), path, self.files())
 
         return self.written("de", write)
 
@@ -150,7 +169,6 @@ class Tables:
         n = F.col("c_custkey") % 20
         row = (
             self.raw("customer")
-            .where("c_acctbal < 0")
             .join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 F.col("c_mktsegment").alias("cell_name"),
@@ -244,8 +262,10 @@ class Tables:
         )
 
     def external_names(self) -> DataFrame:
-        return self.raw("part").where("p_partkey % 2 = 0").select(
-            F.translate(F.upper("p_name"), " ", "-").alias("external_name")
+        """Names of an outside table: half of them agree with ours once normalised, the others carry a suffix."""
+        name = F.translate(F.upper("p_name"), " ", "-")
+        return self.raw("part").select(
+            F.when(F.col("p_partkey") % 2 == 0, name).otherwise(F.concat(name, F.lit("-EXT"))).alias("external_name")
         )
 
     def response(self) -> DataFrame:
@@ -256,11 +276,18 @@ class Tables:
 
     # Results
 
+    def index_path(self) -> str:
+        return self.written("index", lambda path: write_index(self.de(), path))
+
+    def places(self) -> DataFrame:
+        """The stored index: every file of every treatment."""
+        return read_index(self.spark, self.index_path())
+
     def index(self) -> DataFrame:
-        return treatment_index(self.de())
+        return treatment_index(self.places())
 
     def enrichment_path(self) -> str:
-        return self.written("enrichment", lambda path: write_enrichment(prerank(self.de(), self.sets(), ROW_ORDER, PARAMS), path))
+        return self.written("enrichment", lambda path: write_enrichment(prerank(self.de(), self.sets(), "row_key", PARAMS), path))
 
     def enrichment(self) -> DataFrame:
         """Results of all treatments, computed once and read from storage."""

@@ -39,14 +39,17 @@ def public(df: DataFrame) -> DataFrame:
     return df.withColumn("concentration", F.col("dose").cast("double")).drop("dose")
 
 
-def best_rows(de: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """One row per treatment and upper-cased gene symbol: the first in the declared row order."""
-    first = F.min(F.struct(*order_cols, "log2FoldChange", "padj")).alias("_first")
+def best_rows(de: DataFrame, row_key: str) -> DataFrame:
+    """One row per treatment and upper-cased gene symbol: that with the lowest ``row_key``.
+
+    The key is a number, unique for a gene of a treatment (for example file and
+    row number in one). Numbers and doubles have buffers of fixed width, so both
+    sides of the shuffle aggregate by hash and no fact is sorted.
+    """
     return (
         keyed(drop_unusable_genes(de))
         .groupBy(*KEY, F.upper("gene_name").alias("gene"))
-        .agg(first)
-        .select(*KEY, "gene", "_first.log2FoldChange", "_first.padj")
+        .agg(F.min_by("log2FoldChange", row_key).alias("log2FoldChange"), F.min_by("padj", row_key).alias("padj"))
     )
 
 
@@ -62,8 +65,8 @@ def rank_rows(best: DataFrame) -> DataFrame:
     )
 
 
-def ranked_genes(de: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    return rank_rows(best_rows(de, order_cols))
+def ranked_genes(de: DataFrame, row_key: str) -> DataFrame:
+    return rank_rows(best_rows(de, row_key))
 
 
 def with_sets(ranked: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500) -> DataFrame:

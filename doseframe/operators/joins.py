@@ -60,20 +60,18 @@ def indexed_fetch(
     index: DataFrame,
     keys: DataFrame,
     schema: T.StructType = DE_SCHEMA,
-    max_listed_files: int = 2000,
 ) -> DataFrame:
     """Rows of the requested treatments, read from the files the index names.
 
-    Only file numbers come to the driver, at most ``max_listed_files`` of
-    them; beyond that the scan is not narrowed and the join alone selects.
+    ``index`` has every file of a treatment (``write_index``). The scan is always
+    narrowed to the named files, since only a list known to the planner keeps
+    the others closed; the list is at most as long as the table's list of files,
+    which the driver holds anyway.
     """
     wanted = keys.select(*TREATMENT).distinct()
     files = index.join(wanted, TREATMENT, "left_semi").select("file_num").distinct()
-    numbers = [r[0] for r in files.limit(max_listed_files + 1).collect()]
-    rows = scan_de(spark, path, schema)
-    if len(numbers) <= max_listed_files:
-        rows = rows.where(F.col("file_num").isin(numbers))
-    return rows.join(wanted, TREATMENT, "left_semi")
+    numbers = [r["file_num"] for r in files.collect()]
+    return scan_de(spark, path, schema).where(F.col("file_num").isin(numbers)).join(wanted, TREATMENT, "left_semi")
 
 
 def assemble_treatments(keys: DataFrame, drugs: DataFrame, cell_lines: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def tail_counts(es: np.ndarray, nulls: np.ndarray) -> pd.DataFrame:
 
 
 def null_tails(scored: DataFrame, permutations: int = 1000, seed: int = 42, block: int = 64) -> DataFrame:
-    """Score, leading edge and null tail counts of each kept set.
+    """Score, leading edge and null tail counts of each kept set; counts are null where the score is.
 
     Takes ``enrichment.scored_members`` of all ranked genes. One group is one
     treatment: a row per gene symbol and set, however many fact rows it had.
@@ -87,7 +87,7 @@ def null_tails(scored: DataFrame, permutations: int = 1000, seed: int = 42, bloc
         codes = genes["code"].to_numpy(np.int64)
         name_order = np.empty(len(genes), np.int64)
         name_order[genes["position"].to_numpy()] = np.arange(len(genes))
-        hits = rows[rows["kept"] & rows["es"].notna()].sort_values("position")
+        hits = rows[rows["kept"]].sort_values("position")
         if hits.empty:
             return pd.DataFrame(columns=names)
         sets = hits.groupby("pathway")
@@ -101,7 +101,9 @@ def null_tails(scored: DataFrame, permutations: int = 1000, seed: int = 42, bloc
         observed = sets[[*KEY, "size", "es"]].first().reset_index()
         edges = hits[hits["in_edge"]].groupby("pathway")["gene"].agg(";".join)
         observed["leading_edge"] = observed["pathway"].map(edges).fillna("")
-        counts = tail_counts(observed["es"].to_numpy(), nulls)
+        counts = tail_counts(observed["es"].to_numpy(np.float64), nulls)
+        # A set without a score stays, without statistics; its null scores count for the others.
+        counts = counts.astype({c: "Int64" for c in counts.columns if c != "null_mean"}).where(observed["es"].notna(), None)
         return pd.concat([observed, counts], axis=1)[names]
 
     columns = [*SETS, "gene", "position", "metric", "size", "kept", "es", "in_edge"]

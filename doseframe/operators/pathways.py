@@ -66,13 +66,9 @@ def top_genes(de: DataFrame, n: int = 10) -> DataFrame:
         "log2FoldChange IS NOT NULL"
     )
 
-    def side(label: str, order: Column) -> DataFrame:
-        place = Window.partitionBy(*TREATMENT).orderBy(order, "gene_name", "padj")
-        return (
-            genes.select(*TREATMENT, "gene_name", "log2FoldChange", "padj")
-            .withColumn("rank", F.row_number().over(place))
-            .where(F.col("rank") <= n)
-            .withColumn("side", F.lit(label))
-        )
-
-    return side("up", F.col("log2FoldChange").desc()).unionByName(side("down", F.col("log2FoldChange").asc()))
+    # Each row stands for both sides, so facts are read once; the rank limit is applied before the shuffle.
+    sides = F.explode(F.array(F.lit("up"), F.lit("down"))).alias("side")
+    signed = genes.select(*TREATMENT, "gene_name", "log2FoldChange", "padj", sides)
+    height = F.when(F.col("side") == "up", -F.col("log2FoldChange")).otherwise(F.col("log2FoldChange"))
+    place = Window.partitionBy(*TREATMENT, "side").orderBy(height, "gene_name", "padj")
+    return signed.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= n)

@@ -33,7 +33,7 @@ def intersection_counts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def remaining_files(all_files: DataFrame, index: DataFrame) -> DataFrame:
-    """File numbers no index entry points to."""
+    """File numbers that an index of all files (``write_index``) does not name yet."""
     return all_files.select("file_num").subtract(index.select("file_num"))
 
 

@@ -15,7 +15,6 @@ from doseframe.operators.joins import skip_cached
 from doseframe.operators.nulls import null_tails
 from doseframe.operators.sets import union_results
 from doseframe.schema import TREATMENT
-from doseframe.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -33,16 +32,16 @@ def prerank_ranked(ranked: DataFrame, sets: DataFrame, params: Prerank = Prerank
     return E.public(E.significance(null_tails(scored, params.permutations, params.seed)))
 
 
-def prerank(de: DataFrame, sets: DataFrame, order_cols: Sequence[str], params: Prerank = Prerank()) -> DataFrame:
+def prerank(de: DataFrame, sets: DataFrame, row_key: str, params: Prerank = Prerank()) -> DataFrame:
     """Enrichment of every treatment in ``de``: one shuffle by gene, one by treatment."""
-    return prerank_ranked(E.ranked_genes(de, order_cols), sets, params)
+    return prerank_ranked(E.ranked_genes(de, row_key), sets, params)
 
 
 def prerank_relational(
-    de: DataFrame, sets: DataFrame, order_cols: Sequence[str], params: Prerank = Prerank()
+    de: DataFrame, sets: DataFrame, row_key: str, params: Prerank = Prerank()
 ) -> DataFrame:
     """The same results without Python, for few permutations."""
-    annotated = E.with_sets(E.ranked_genes(de, order_cols), sets, params.min_size, params.max_size)
+    annotated = E.with_sets(E.ranked_genes(de, row_key), sets, params.min_size, params.max_size)
     scores = E.score_sets(E.scored_members(annotated.where("kept")))
     nulls = E.null_scores(annotated, params.permutations, params.seed)
     return E.public(E.significance(E.null_tails_from_rows(scores, nulls)))
@@ -51,7 +50,7 @@ def prerank_relational(
 def enrich_cell_line(
     de: DataFrame,
     sets: DataFrame,
-    order_cols: Sequence[str],
+    row_key: str,
     cell_line: str,
     drugs: Sequence[str] | None = None,
     cached: DataFrame | None = None,
@@ -63,26 +62,28 @@ def enrich_cell_line(
         wanted = wanted & F.col("drug").isin(list(drugs))
     todo = de.where(wanted)
     if cached is None:
-        return prerank(todo, sets, order_cols, params)
+        return prerank(todo, sets, row_key, params)
     stored = cached.where(wanted)
-    return union_results([stored, prerank(skip_cached(todo, stored), sets, order_cols, params)])
+    return union_results([stored, prerank(skip_cached(todo, stored), sets, row_key, params)])
 
 
 def index_and_enrich(
-    de: DataFrame, sets: DataFrame, order_cols: Sequence[str], params: Prerank = Prerank()
+    de: DataFrame, sets: DataFrame, row_key: str, path: str, params: Prerank = Prerank()
 ) -> tuple[DataFrame, DataFrame]:
     """Treatment index and enrichment from one pass over the facts.
 
     The pass reduces the facts to one row per treatment and gene, which is
-    written once to shared storage; index and ranking both start from it.
+    written to ``path``, a new folder in shared storage that the caller owns;
+    index and ranking both start from it.
     """
     usable = has_stats() & ~is_ensembl("gene_name")
-    first = F.struct(*order_cols, "log2FoldChange", "padj")
+    key = F.when(usable, F.col(row_key))
     reduced = de.groupBy(*TREATMENT, F.upper("gene_name").alias("gene")).agg(
-        F.min(F.when(usable, first)).alias("_first"), F.min("file_num").alias("file_num")
+        F.min_by("log2FoldChange", key).alias("log2FoldChange"),
+        F.min_by("padj", key).alias("padj"),
+        F.min("file_num").alias("file_num"),
     )
-    path = scratch_path(de.sparkSession, "genes")
-    reduced.select(*TREATMENT, "gene", "file_num", "_first.log2FoldChange", "_first.padj").write.parquet(path)
+    reduced.write.parquet(path)
     genes = de.sparkSession.read.parquet(path)
     index = genes.groupBy(*TREATMENT).agg(F.min("file_num").alias("file_num"))
     usable_genes = genes.where("gene IS NOT NULL AND log2FoldChange IS NOT NULL AND padj IS NOT NULL")

@@ -13,8 +13,8 @@ from doseframe.schema import DE_SCHEMA, DE_STATS
 
 
 def file_number() -> Column:
-    """Number in the file's name (``part-00003-...`` is 3); prunes files when filtered."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^\D*(\d+)", 1).cast("int")
+    """Number in the file's name (``part-00003-...`` is 3), null if there is none; prunes files when filtered."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^\D*(\d+)", 1).try_cast("int")
 
 
 def scan_de(

@@ -10,13 +10,24 @@ from doseframe.schema import ENRICHMENT_SCHEMA, INDEX_SCHEMA, TREATMENT
 
 
 def write_enrichment(df: DataFrame, path: str) -> None:
-    """Replace exactly the treatments in ``df``; other treatments stay as they are."""
+    """Replace exactly the treatments in ``df``; other treatments stay as they are.
+
+    There is one folder per cell line, with rows sorted by drug. Cell lines in
+    ``df`` are rewritten with their other treatments, the rest is not touched;
+    the old folders are replaced when all new files are complete.
+    """
+    new = df.select(*ENRICHMENT_SCHEMA.fieldNames())
+    old = read_enrichment(df.sparkSession, path)
+    kept = old.join(new.select("cell_line").distinct(), "cell_line", "left_semi").join(
+        new.select(*TREATMENT).distinct(), TREATMENT, "left_anti"
+    )
     (
-        df.select(*ENRICHMENT_SCHEMA.fieldNames())
-        .repartition(*TREATMENT)
+        new.unionByName(kept)
+        .repartition("cell_line", "drug")
+        .sortWithinPartitions("cell_line", "drug", "concentration")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*TREATMENT)
+        .partitionBy("cell_line")
         .parquet(path)
     )
 
@@ -24,7 +35,7 @@ def write_enrichment(df: DataFrame, path: str) -> None:
 def read_enrichment(spark: SparkSession, path: str) -> DataFrame:
     """Stored results; an empty table when nothing was written yet.
 
-    Filters on the treatment columns prune directories.
+    A filter on the cell line prunes folders, one on the drug row groups.
     """
     try:
         return spark.read.schema(ENRICHMENT_SCHEMA).parquet(path)
@@ -39,8 +50,8 @@ def write_scores(df: DataFrame, path: str) -> None:
 
 
 def write_index(entries: DataFrame, path: str) -> None:
-    """One row per treatment with its lowest file number."""
-    index = entries.groupBy(*TREATMENT).agg(F.min("file_num").cast("int").alias("file_num"))
+    """One row per treatment and file that holds some of it."""
+    index = entries.select(*TREATMENT, F.col("file_num").cast("int").alias("file_num")).distinct()
     index.write.mode("overwrite").parquet(path)
 
 

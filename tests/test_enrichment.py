@@ -78,7 +78,7 @@ def brute_ranking(facts):
 
 
 def test_ranking(facts):
-    got = E.public(E.ranked_genes(facts, ["ord"])).toPandas()
+    got = E.public(E.ranked_genes(facts, "ord")).toPandas()
     for key, want in brute_ranking(facts).items():
         mine = got[(got.cell_line == key[0]) & (got.drug == key[1]) & (got.concentration == key[2])].sort_values("position")
         assert list(mine.gene) == list(want.gene)
@@ -128,7 +128,7 @@ def brute(facts, sets, params):
 
 @pytest.mark.parametrize("run", [prerank, prerank_relational])
 def test_prerank_equals_brute_force(facts, sets, run):
-    got = {(r.cell_line, r.drug, r.concentration, r.pathway): (r.nes, r.pvalue, r.fdr) for r in run(facts, sets, ["ord"], PARAMS).collect()}
+    got = {(r.cell_line, r.drug, r.concentration, r.pathway): (r.nes, r.pvalue, r.fdr) for r in run(facts, sets, "ord", PARAMS).collect()}
     want = brute(facts, sets, PARAMS)
     assert set(got) == set(want) and len(got) > 5
     for key, values in want.items():
@@ -187,26 +187,26 @@ def results(df):
 
 
 def test_cached_results_are_reused(facts, sets):
-    everything = prerank(facts, sets, ["ord"], PARAMS)
+    everything = prerank(facts, sets, "ord", PARAMS)
     cached = everything.where("concentration = 5.0").withColumn("leading_edge", F.lit("stored"))
-    got = enrich_cell_line(facts, sets, ["ord"], "c1", cached=cached, params=PARAMS)
+    got = enrich_cell_line(facts, sets, "ord", "c1", cached=cached, params=PARAMS)
     assert keys(got) == {("c1", "d1", 0.05), ("c1", "d1", 5.0)}
     assert {r.leading_edge for r in got.where("concentration = 5.0").collect()} == {"stored"}
     assert results(got.where("concentration = 0.05")) == results(everything.where("concentration = 0.05"))
-    assert enrich_cell_line(facts, sets, ["ord"], "c1", drugs=["nope"], params=PARAMS).count() == 0
+    assert enrich_cell_line(facts, sets, "ord", "c1", drugs=["nope"], params=PARAMS).count() == 0
 
 
-def test_index_and_enrich_equals_both_jobs(facts, sets):
-    index, found = index_and_enrich(facts, sets, ["ord"], PARAMS)
+def test_index_and_enrich_equals_both_jobs(facts, sets, tmp_path):
+    index, found = index_and_enrich(facts, sets, "ord", str(tmp_path / "genes"), PARAMS)
     assert {(r.cell_line, r.drug, r.concentration, r.file_num) for r in index.collect()} == {
         ("c1", "d1", 0.05, 0), ("c1", "d1", 5.0, 0), ("c2", "d2", 5.0, 0)
     }
-    assert results(found) == results(prerank(facts, sets, ["ord"], PARAMS))
+    assert results(found) == results(prerank(facts, sets, "ord", PARAMS))
 
 
-def test_index_keeps_treatments_without_usable_genes(spark, sets):
+def test_index_keeps_treatments_without_usable_genes(spark, sets, tmp_path):
     rows = [("ENSG1", 1.0, 0.1, "d", 0.05, "c", 1, 7), ("ENSG1", 1.0, 0.1, "d", 0.1, "c", 2, 8)]
-    index, found = index_and_enrich(spark.createDataFrame(rows, DE), sets, ["ord"], PARAMS)
+    index, found = index_and_enrich(spark.createDataFrame(rows, DE), sets, "ord", str(tmp_path / "genes"), PARAMS)
     # Two doses that share a label stay apart.
     assert {(r.concentration, r.file_num) for r in index.collect()} == {(0.05, 7), (0.1, 8)}
     assert found.count() == 0
@@ -214,7 +214,32 @@ def test_index_keeps_treatments_without_usable_genes(spark, sets):
 
 def test_enrichment_shuffles_twice(facts, sets):
     """One shuffle of facts by gene, one by treatment; the rest of the job stays in place."""
-    scored = N.null_tails(E.scored_members(E.with_sets(E.ranked_genes(facts, ["ord"]), F.broadcast(sets), 3, 12)), 5)
+    scored = N.null_tails(E.scored_members(E.with_sets(E.ranked_genes(facts, "ord"), F.broadcast(sets), 3, 12)), 5)
     plan = scored._jdf.queryExecution().executedPlan().toString()
     on_treatment = [l for l in plan.splitlines() if "Exchange hashpartitioning(cell_line" in l]
     assert len(on_treatment) == 2, plan
+
+
+def test_sets_without_a_score_stay_in_both_modes(spark):
+    """A set of weightless genes and one of all genes, next to ordinary ones."""
+    rows = [(f"g{g}", float(g - 10), 1.0 if g < 4 else 0.01 + g / 100, "d", 5.0, "c", g, 0) for g in range(20)]
+    rows += [(f"g{g}", 1.0, 1.0, "e", 5.0, "c", 100 + g, 0) for g in range(6)]
+    members = {"flat": range(4), "all": range(20), "mixed": range(2, 9), "high": range(12, 18)}
+    sets = spark.createDataFrame([(p, f"g{g}") for p, gs in members.items() for g in gs], "pathway string, gene string")
+    facts = spark.createDataFrame(rows, DE)
+    params = Prerank(min_size=3, max_size=30, permutations=25)
+    one, other = prerank(facts, sets, "ord", params), prerank_relational(facts, sets, "ord", params)
+    assert results(one) == results(other)
+    got = {(r.drug, r.pathway): (r.nes, r.pvalue, r.fdr) for r in one.collect()}
+    assert got["d", "flat"] == got["d", "all"] == got["e", "flat"] == (None, None, None)
+    assert None not in got["d", "high"] and set(p for d, p in got if d == "d") == set(members)
+    # A treatment with no score at all has rows too, and so is not computed again.
+    again = enrich_cell_line(facts, sets, "ord", "c", cached=one.withColumn("leading_edge", F.lit("stored")), params=params)
+    assert {r.leading_edge for r in again.collect()} == {"stored"}
+
+
+def test_facts_are_reduced_by_hash(facts, sets):
+    from doseframe.operators.enrichment import best_rows
+
+    plan = best_rows(facts, "ord")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2

@@ -1,9 +1,13 @@
 """Every query against its SQL on the sf0.01 tables."""
 
 import pytest
+from pyspark.sql import functions as F
 from compare import actual, connect, differences, expected
 
 import __spark_entry__ as entry
+from bindings.oracles import ORACLES
+from bindings.queries import QUERIES
+from bindings.tables import Tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -14,12 +18,21 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_no_input_is_cut(spark):
+    t = Tables(spark, SF)
+    customers = t.raw("customer").select("c_mktsegment", "c_nationkey", (F.col("c_custkey") % 20).alias("n"), (F.col("c_custkey") % 7 != 0).alias("known"))
+    nation = F.when(F.col("known"), F.col("c_nationkey"))
+    assert t.cells().count() == customers.select("c_mktsegment", nation, "n").distinct().count()
+    assert t.external_names().count() == t.raw("part").count()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    assert differences(actual(entry.queries()[name](spark, SF)), expected(duck, entry.oracle_sql()[name])) == []
+    assert differences(actual(QUERIES[name](spark, SF)), expected(duck, ORACLES[name])) == []
 
 
 def test_entry(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from doseframe.functions.frames import rows_table
 from doseframe.operators import aggregates as A
 from doseframe.operators import joins as J
+from doseframe.operators import sets as U
 from doseframe.schema import DE_SCHEMA, ENRICHMENT_SCHEMA
 from doseframe.session import scratch_path
 from doseframe.sources import de as D
@@ -70,12 +71,32 @@ def test_filters_reach_the_reader(spark, store):
     assert "padj" not in plan[plan.index("ReadSchema"):]
 
 
+def test_a_file_without_a_number(spark, facts, tmp_path):
+    path = tmp_path / "plain"
+    facts.drop("file_num").coalesce(1).write.parquet(str(path))
+    for file in path.glob("part-*.parquet"):
+        file.rename(path / "facts.parquet")
+    assert {r.file_num for r in D.scan_de(spark, str(path)).collect()} == {None}
+
+
+def test_indexed_fetch_from_the_stored_index(spark, store, tmp_path):
+    """All rows of treatments that are split over files, and no file that has none."""
+    O.write_index(D.scan_de(spark, store), str(tmp_path / "index"))
+    index = O.read_index(spark, str(tmp_path / "index"))
+    for where in ("drug = 'd1'", "drug = 'd2'", "cell_line = 'c2'", "drug = 'none'"):
+        got = J.indexed_fetch(spark, store, index, index.where(where))
+        want = D.scan_de(spark, store).where(where).select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        named = {r.file_num for r in index.where(where).collect()}
+        assert {r.file_num for r in got.collect()} <= named and len(named) < 3
+    assert not U.remaining_files(D.scan_de(spark, store), index).collect()
+
+
 def test_indexed_fetch_reads_small_doses(spark, store):
     index = D.scan_de(spark, store).select("cell_line", "drug", "concentration", "file_num").distinct()
     keys = rows_table(spark, D.T.StructType([DE_SCHEMA["cell_line"], DE_SCHEMA["drug"], DE_SCHEMA["concentration"]]), [("c1", "d1", 0.05), ("c2", "d2", 5.0)])
-    for most in (2000, 1):
-        got = J.indexed_fetch(spark, store, index, keys, max_listed_files=most)
-        assert sorted((r.gene_name, r.drug) for r in got.collect()) == [("A", "d1"), ("A", "d2"), ("B", "d1")]
+    got = J.indexed_fetch(spark, store, index, keys)
+    assert sorted((r.gene_name, r.drug) for r in got.collect()) == [("A", "d1"), ("A", "d2"), ("B", "d1")]
 
 
 def test_user_sql(spark, store):
@@ -100,14 +121,19 @@ def test_results_replace_only_their_treatments(spark, tmp_path):
     assert O.read_enrichment(spark, path).count() == 0
     row = lambda drug, conc, nes: ("P", nes, 0.1, 0.1, "A;B", "c/1", drug, conc)
     O.write_enrichment(spark.createDataFrame([row("a/b", 0.05, 1.0), row("a b", 0.05, 2.0), row("a/b", 0.1, 3.0)], ENRICHMENT_SCHEMA), path)
+    O.write_enrichment(spark.createDataFrame([row("", 0.05, 4.0)], ENRICHMENT_SCHEMA), path)
     O.write_enrichment(spark.createDataFrame([row("a/b", 0.05, 9.0)], ENRICHMENT_SCHEMA), path)
     got = {(r.drug, r.concentration): r.nes for r in O.read_enrichment(spark, path).collect()}
-    assert got == {("a/b", 0.05): 9.0, ("a b", 0.05): 2.0, ("a/b", 0.1): 3.0}
+    assert got == {("a/b", 0.05): 9.0, ("a b", 0.05): 2.0, ("a/b", 0.1): 3.0, ("", 0.05): 4.0}
+    assert len(list((tmp_path / "enr").glob("cell_line=*"))) == 1
 
 
-def test_index_keeps_lowest_file(spark, facts, tmp_path):
+def test_index_keeps_all_files_and_gives_the_lowest(spark, facts, tmp_path):
     O.write_index(facts.select("cell_line", "drug", "concentration", "file_num"), str(tmp_path / "i"))
-    got = {(r.cell_line, r.drug): r.file_num for r in O.read_index(spark, str(tmp_path / "i")).collect()}
+    stored = O.read_index(spark, str(tmp_path / "i"))
+    want = {tuple(r) for r in facts.select("cell_line", "drug", "concentration", "file_num").collect()}
+    assert {tuple(r) for r in stored.select("cell_line", "drug", "concentration", "file_num").collect()} == want
+    got = {(r.cell_line, r.drug): r.file_num for r in A.treatment_index(stored).collect()}
     assert got == {("c1", "d1"): 0, ("c1", "d2"): 1, ("c2", "d2"): 2}
 
 
