@@ -345,6 +345,7 @@ BODIES = {
         SELECT {KEY}, {rnd('nes', 'fdr')}, row_number() OVER (PARTITION BY {TRT} ORDER BY abs(enr.nes) DESC, pathway) AS rank
         FROM enr WHERE enr.fdr < {THRESHOLD}""",
     "pathway_exact": f"{RESULT} WHERE pathway = 'type:PROMO'",
+    "pathway_request": f"{RESULT} WHERE starts_with(pathway, 'brand:')",
     "pathway_partial": f"""
         SELECT {KEY}, round(enr.nes, 6) AS nes, count(*) OVER (PARTITION BY {TRT}) AS n_matches FROM enr
         WHERE regexp_matches(pathway, 'type:[sl]', 'i') QUALIFY row_number() OVER (PARTITION BY {TRT} ORDER BY pathway) = 1""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindings.tables import BUDGET, PARAMS, ROW_ORDER, SIGNATURES, THRESHOLD, Tables, gene_of
+from bindings.tables import BUDGET, PARAMS, ROW_ORDER, SIGNATURES, THRESHOLD, Tables, gene_of, scratch
 from doseframe.functions import columns as C
 from doseframe.operators import aggregates as A
 from doseframe.operators import enrichment as E
@@ -21,7 +21,6 @@ from doseframe.operators import sets as U
 from doseframe.operators.nulls import null_tails
 from doseframe.plans import enrich, scoring
 from doseframe.schema import DE_SCHEMA, TREATMENT
-from doseframe.session import scratch_path
 from doseframe.sources import de as D
 from doseframe.sources import metadata as M
 from doseframe.sources import results as O
@@ -101,7 +100,7 @@ def sql_over_de(t: Tables) -> DataFrame:
 
 @query
 def write_enrichment(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "write-enrichment")
+    path = scratch(t.spark, "write-enrichment")
     O.write_enrichment(t.enrichment(), path)
     # Replacing one cell line must leave the others alone.
     O.write_enrichment(t.enrichment().where("cell_line = 'BUILDING'"), path)
@@ -115,7 +114,7 @@ def read_enrichment(t: Tables) -> DataFrame:
 
 @query
 def write_scores(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "scores")
+    path = scratch(t.spark, "scores")
     O.write_scores(A.wide_scores(A.signature_scores(t.de(), t.signatures()), SIGNATURES), path)
     stored = t.spark.read.parquet(path)
     return rounded(stored, *[c for c in stored.columns if c.endswith(("log2fc", "padj", "pct_change"))])
@@ -123,7 +122,7 @@ def write_scores(t: Tables) -> DataFrame:
 
 @query
 def write_index(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "index")
+    path = scratch(t.spark, "index")
     O.write_index(t.de().select(*TREATMENT, "file_num"), path)
     return O.read_index(t.spark, path)
 
@@ -229,6 +228,13 @@ def pathway_exact(t: Tables) -> DataFrame:
     return results(W.pathway_exact(t.enrichment(), "type:PROMO"))
 
 
+@query
+def pathway_request(t: Tables) -> DataFrame:
+    """The bulk form: all pathways a table asks for."""
+    asked = t.raw("part").select(F.concat(F.lit("brand:"), "p_brand").alias("pathway"))
+    return results(W.pathway_exact(t.enrichment(), asked))
+
+
 @query
 def pathway_partial(t: Tables) -> DataFrame:
     found = W.pathway_partial(t.enrichment(), "type:[sl]")
@@ -389,7 +395,7 @@ def treatment_index(t: Tables) -> DataFrame:
 
 @query
 def index_and_enrich(t: Tables) -> DataFrame:
-    index, found = enrich.index_and_enrich(t.de(), t.sets(), "row_key", scratch_path(t.spark, "genes"), PARAMS)
+    index, found = enrich.index_and_enrich(t.de(), t.sets(), "row_key", scratch(t.spark, "genes"), PARAMS)
     counts = found.groupBy(*TREATMENT).agg(
         F.count(F.lit(1)).alias("n_pathways"),
         F.count_if(F.col("fdr") < THRESHOLD).alias("n_significant"),
@@ -558,7 +564,7 @@ def intersection_counts(t: Tables) -> DataFrame:
 @query
 def remaining_files(t: Tables) -> DataFrame:
     """After a run that indexed the files with even numbers."""
-    path = scratch_path(t.spark, "partial-index")
+    path = scratch(t.spark, "partial-index")
     O.write_index(t.de().where("file_num % 2 = 0"), path)
     return U.remaining_files(t.de(), O.read_index(t.spark, path))
 
@@ -745,7 +751,7 @@ def stream(t: Tables, name: str) -> DataFrame:
 
 @query
 def stream_signature_filter(t: Tables) -> DataFrame:
-    out, checkpoint = scratch_path(t.spark, "stream-filter"), scratch_path(t.spark, "stream-filter-checkpoint")
+    out, checkpoint = scratch(t.spark, "stream-filter"), scratch(t.spark, "stream-filter-checkpoint")
     jobs.stream_signature_filter(
         t.de_from(stream(t, "lineitem")).select(*DE_COLUMNS), t.signatures(), out, checkpoint
     )
@@ -754,13 +760,14 @@ def stream_signature_filter(t: Tables) -> DataFrame:
 
 @query
 def stream_first_seen(t: Tables) -> DataFrame:
-    out, checkpoint = scratch_path(t.spark, "stream-index"), scratch_path(t.spark, "stream-index-checkpoint")
+    out, checkpoint = scratch(t.spark, "stream-index"), scratch(t.spark, "stream-index-checkpoint")
     jobs.stream_first_seen(t.de_from(stream(t, "lineitem")), out, checkpoint)
     return jobs.read_first_seen(t.spark, out)
 
 
 @query
 def stream_replay(t: Tables) -> DataFrame:
-    out, checkpoint = scratch_path(t.spark, "stream-replay"), scratch_path(t.spark, "stream-replay-checkpoint")
+    t.spark.conf.set(jobs.STATE_STORE, jobs.ROCKSDB)
+    out, checkpoint = scratch(t.spark, "stream-replay"), scratch(t.spark, "stream-replay-checkpoint")
     jobs.stream_replay(t.log_from(stream(t, "events")), out, checkpoint, BUDGET)
     return outcomes(t.spark.read.parquet(out))

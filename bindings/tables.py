@@ -45,6 +45,12 @@ BUDGET = 5
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh scratch folder; a local session that names none gets one of its own."""
+    local = "/tmp/checkpoints/doseframe" if spark.sparkContext.master.startswith("local") else None
+    return scratch_path(spark, label, local)
+
+
 def gene_of(part_key: str) -> Column:
     ensembl = F.concat(F.lit("ENSG"), F.lpad(F.col(part_key).cast("string"), 11, "0"))
     return F.when(F.col(part_key) % 3 == 0, ensembl).otherwise(F.concat(F.lit("g"), F.col(part_key).cast("string")))
@@ -73,7 +79,7 @@ class Tables:
     def written(self, label: str, write: Callable[[str], None]) -> str:
         key = (self.spark.sparkContext.applicationId, self.dir, label)
         if key not in _written:
-            path = scratch_path(self.spark, label)
+            path = scratch(self.spark, label)
             write(path)
             _written[key] = path
         return _written[key]

@@ -109,6 +109,7 @@ def drugs_by_moa_fallback(drugs: DataFrame, moa: str, literal: bool = False) ->
     return hits.join(hits.agg(F.min("tier").alias("tier")), "tier", "left_semi")
 
 
+# Column names of the cell-line table.
 MUTATION_COLUMNS = [
     "cell_name",
     "Organ",
@@ -157,6 +158,7 @@ def coerce_numeric(df: DataFrame, numeric: Sequence[str], rename: Mapping[str, s
 
 
 # Result columns of a preranked enrichment run as they come, and our names.
+# Column names of the enrichment test's result, and ours.
 RESULT_COLUMNS = {
     "Term": "pathway",
     "NES": "nes",

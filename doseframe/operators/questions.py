@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from doseframe.functions.frames import with_hash_position
 
+# Fixed values.
 DIRECTIONS = ("activated", "repressed", "either")
 
 

@@ -72,25 +72,27 @@ def parse_drugs(drugs: DataFrame, order_col: str) -> DataFrame:
 
 
 def nest_cell_lines(cells: DataFrame, order_col: str) -> DataFrame:
-    """One record per cell line with its driver mutations in order.
+    """One record per cell line with its distinct driver mutations, by their first place.
 
-    The list holds curated driver mutations, whose number is bounded by the
+    Repeated rows are combined first, so a list is no longer than the curated
     mutation vocabulary; rows without a gene are left out of it.
     """
-    mutation = F.struct(
-        F.col(order_col).alias("ord"),
-        F.col("Driver_Gene_Symbol").alias("gene_symbol"),
-        F.col("Driver_ProtEffect_or_CdnaEffect").alias("protein_effect"),
-        F.col("Driver_VarType").alias("var_type"),
-        F.col("Driver_VarZyg").alias("var_zygosity"),
-        F.col("Driver_Mech_InferDM").alias("mechanism"),
-        F.col("Driver_GeneType_DM").alias("gene_type"),
+    fields = {
+        "gene_symbol": "Driver_Gene_Symbol",
+        "protein_effect": "Driver_ProtEffect_or_CdnaEffect",
+        "var_type": "Driver_VarType",
+        "var_zygosity": "Driver_VarZyg",
+        "mechanism": "Driver_Mech_InferDM",
+        "gene_type": "Driver_GeneType_DM",
+    }
+    distinct = cells.groupBy(F.col("cell_name").alias("cell_line"), *[F.col(c).alias(n) for n, c in fields.items()]).agg(
+        F.min(order_col).alias("ord"), F.min_by("Organ", F.col(order_col)).alias("_organ")
     )
-    named = F.when(F.col("Driver_Gene_Symbol").isNotNull(), mutation)
+    named = F.when(F.col("gene_symbol").isNotNull(), F.struct("ord", *fields))
     return (
-        cells.groupBy(F.col("cell_name").alias("cell_line"))
+        distinct.groupBy("cell_line")
         .agg(
-            F.min_by("Organ", F.col(order_col)).alias("organ"),
+            F.min_by("_organ", "ord").alias("organ"),
             F.array_sort(F.collect_list(named)).alias("_m"),
         )
         .select("cell_line", "organ", F.transform("_m", lambda m: m.dropFields("ord")).alias("driver_mutations"))

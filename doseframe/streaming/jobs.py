@@ -69,27 +69,24 @@ def stream_replay(
     """Outcome of every action as it arrives; the state is a few counters per episode.
 
     Batches must bring an episode's actions in order of time; within a batch
-    any order will do.
+    any order will do. An action from before the last one of an earlier batch is
+    refused as ``out_of_order`` and takes no turn.
     """
-    spark = log.sparkSession
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        query = (
-            log.groupBy("episode")
-            .transformWithStateInPandas(
-                statefulProcessor=EpisodeProtocol(budget, max_turns or default_turns(budget)),
-                outputStructType=REPLAY_SCHEMA,
-                outputMode="append",
-                timeMode="none",
-            )
-            .writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
+    if log.sparkSession.conf.get(STATE_STORE) != ROCKSDB:
+        raise ValueError(f"set {STATE_STORE} to {ROCKSDB}, as build_session does")
+    query = (
+        log.groupBy("episode")
+        .transformWithStateInPandas(
+            statefulProcessor=EpisodeProtocol(budget, max_turns or default_turns(budget)),
+            outputStructType=REPLAY_SCHEMA,
+            outputMode="append",
+            timeMode="none",
         )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(STATE_STORE, before)
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()

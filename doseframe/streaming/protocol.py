@@ -27,7 +27,10 @@ REPLAY_SCHEMA = T.StructType(
 STATE_SCHEMA = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("turns", "phase", "step", "used")]
     + [T.StructField("over", T.BooleanType())]
+    + [T.StructField(n, T.LongType()) for n in ("last_us", "last_id")]
 )
+OUT_OF_ORDER = "out_of_order"
+BEFORE_ALL = -(2**63)
 
 
 class EpisodeProtocol(StatefulProcessor):
@@ -43,16 +46,26 @@ class EpisodeProtocol(StatefulProcessor):
 
         At most ``max_turns`` rows are held, however many the batch brings.
         """
-        turns, phase, step, used, over = self.state.get() if self.state.exists() else (0, NOTHING, 0, 0, False)
+        known = self.state.exists()
+        turns, phase, step, used, over, *seen = self.state.get() if known else (0, NOTHING, 0, 0, False, BEFORE_ALL, BEFORE_ALL)
         room = 0 if over else self.max_turns - turns
-        held = None
+        held, last = None, tuple(seen)
         for part in rows:
+            us, ids = part["ts"].astype("datetime64[us]").astype("int64"), part["event_id"]
+            late = (us < seen[0]) | ((us == seen[0]) & (ids < seen[1]))
+            if late.any():
+                yield self._refused(part[late], OUT_OF_ORDER, over)
+                part, us, ids = part[~late], us[~late], ids[~late]
+            if part.empty:
+                continue
+            last = max(last, (int(us.max()), int(ids[us == us.max()].max())))
             held = part if held is None else pd.concat([held, part])
             held = held.sort_values(["ts", "event_id"])
             if len(held) > room:
-                yield self._refused(held.iloc[room:])
+                yield self._refused(held.iloc[room:], OVER, True)
                 held = held.iloc[:room]
         if held is None or held.empty:
+            self.state.update((turns, phase, step, used, over, *last))
             return
         outcomes = []
         for e in held.itertuples(index=False):
@@ -70,7 +83,7 @@ class EpisodeProtocol(StatefulProcessor):
                     over = bool(e.declares_done)
             shown = (None, None) if was_over else (step, used)
             outcomes.append((e.episode, e.ts, e.event_id, e.action, reason is None, reason, *shown, over))
-        self.state.update((turns + len(held), phase, step, used, over))
+        self.state.update((turns + len(held), phase, step, used, over, *last))
         yield self._frame(outcomes)
 
     def close(self) -> None:
@@ -91,10 +104,13 @@ class EpisodeProtocol(StatefulProcessor):
             return "held_out"
         return None if e.known_names else "unknown_name"
 
-    def _refused(self, rows: pd.DataFrame) -> pd.DataFrame:
-        return self._frame(
-            [(r.episode, r.ts, r.event_id, r.action, False, OVER, None, None, True) for r in rows.itertuples(index=False)]
+    @staticmethod
+    def _refused(rows: pd.DataFrame, reason: str, done: bool) -> pd.DataFrame:
+        nothing = pd.array([pd.NA] * len(rows), dtype="Int32")
+        refused = rows[["episode", "ts", "event_id", "action"]].assign(
+            accepted=False, reason=reason, step=nothing, experiments_run=nothing, done=done
         )
+        return refused[REPLAY_SCHEMA.fieldNames()]
 
     @staticmethod
     def _frame(outcomes: list[tuple]) -> pd.DataFrame:

@@ -131,3 +131,13 @@ def test_stream_in_pieces_equals_batch(spark, tmp_path):
         log.where(part == n).repartition(3).write.mode("append").parquet(source)
         jobs.stream_replay(stream(), out, checkpoint, 3)
     assert outcome(spark.read.parquet(out)) == outcome(P.replay_episodes(log, 3))
+
+
+def test_late_actions_are_named_and_cost_no_turn(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    data = rows(1, "hxihxi")
+    for part in ([0, 1, 4], [2, 3, 5]):
+        spark.createDataFrame([data[i] for i in part], LOG).write.mode("append").parquet(source)
+        jobs.stream_replay(spark.readStream.schema(LOG).parquet(source), out, checkpoint, 5)
+    got = {r.event_id: (r.accepted, r.reason) for r in spark.read.parquet(out).collect()}
+    assert got == {0: (True, None), 1: (True, None), 4: (True, None), 2: (False, "out_of_order"), 3: (False, "out_of_order"), 5: (True, None)}

@@ -147,8 +147,12 @@ def test_scores_skip_null_padj(spark, facts):
 
 
 def test_scratch_is_fresh_and_below_the_named_folder(spark):
-    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
-    assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+    a, b = scratch_path(spark, "x", "/shared/folder"), scratch_path(spark, "x", "/shared/folder")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    assert a != b and a.startswith((root or "/shared/folder").rstrip("/"))
+    if not root:
+        with pytest.raises(ValueError):
+            scratch_path(spark, "x")
 
 
 def test_streams_resume(spark, facts, tmp_path):
