@@ -29,6 +29,8 @@ from doseframe.llm.common import quoted, without
 #: A boundary follows one line in so many.
 DIVISOR = 4
 MULTIPLIER = 31
+#: Stands for a missing id, and so comes first.
+NULL_ID = -(2**63)
 WINDOW = 3
 
 
@@ -74,18 +76,23 @@ def chunks_of(text: Column) -> Column:
 
 def repeated_chunks(keyed: DataFrame) -> DataFrame:
     """(_id, _key, _repeats): for each document the numbers of its chunks that an earlier occurrence equals byte for byte."""
-    chunks = keyed.select("_id", "_key", F.posexplode(chunks_of(F.col("_text"))).alias("_at", "_chunk")).where("_chunk.n_lines > 1")
-    chunks = chunks.select("_id", "_key", "_at", F.col("_chunk.body").alias("_body"), F.md5(F.col("_chunk.body").cast("binary")).alias("_hash"))
-    # The first occurrence in three steps of plain minima, so that each is combined before its shuffle.
-    slim = chunks.groupBy("_hash", "_id").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n"))
-    counts = slim.groupBy("_hash").agg(F.sum("_n").alias("_n"), F.min(F.struct(F.coalesce("_id", F.lit(-(2**63))), "_key")).alias("_first"))
-    counts = counts.where("_n > 1").select("_hash", F.col("_first._key").alias("_first_key"), F.col("_first.col1").alias("_first_id"))
-    found = chunks.join(counts, "_hash").withColumn(
-        "_own", (F.coalesce("_id", F.lit(-(2**63))) == F.col("_first_id")) & (F.col("_key") == F.col("_first_key"))
+    chunks = keyed.select("_id", "_key", F.posexplode(chunks_of(F.col("_text"))).alias("_at", "_chunk"))
+    # Bodies are never null. Saying so keeps Spark from adding the check for one of the two readers below, which would
+    # then not share the exchange of the texts.
+    chunks = chunks.where("_chunk.n_lines > 1 AND _chunk.body IS NOT NULL").select(
+        "_id", "_key", "_at", F.col("_chunk.body").alias("_body"),
+        F.md5(F.col("_chunk.body").cast("binary")).alias("_hash"),
     )
-    # The document that holds the first occurrence may hold the chunk again further down.
-    owners = found.where("_own").groupBy("_hash", "_body").agg(F.min("_at").alias("_first_at"))
-    same = found.join(owners, ["_hash", "_body"]).where(~F.col("_own") | (F.col("_at") > F.col("_first_at")))
+    place = F.struct("_id", "_key")
+    counts = chunks.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
+    found = chunks.join(counts.select("_hash", "_first"), "_hash")
+    # "First" is a least value, so the document of the first occurrence is told by an order. An equality would become
+    # a join key, and so would plain equality of bodies below; texts would then be shuffled again by these keys.
+    own = place <= F.col("_first")
+    owners = found.where(own).groupBy("_hash").agg(F.min("_at").alias("_first_at"), F.min_by("_body", "_at").alias("_first_body"))
+    equal = F.col("_body").startswith(F.col("_first_body")) & F.col("_first_body").startswith(F.col("_body"))
+    # That document may hold the chunk again further down.
+    same = found.join(owners, "_hash").where(equal & (~own | (F.col("_at") > F.col("_first_at"))))
     return same.groupBy("_id", "_key").agg(F.collect_set("_at").alias("_repeats"))
 
 
@@ -93,11 +100,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """``docs`` with new texts, n_lines, n_removed (lines)."""
     rest = without(docs, ["n_lines", "n_removed"])
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = rest.withColumns({"_id": F.col(doc_id), "_key": F.md5(body.cast("binary"))})
+    keyed = rest.withColumns({"_id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)), "_key": F.md5(body.cast("binary"))})
     repeats = repeated_chunks(keyed.select("_id", "_key", F.col(text).alias("_text")))
-    joined = keyed.alias("d").join(
-        repeats.alias("r"), F.col("d._id").eqNullSafe(F.col("r._id")) & (F.col("d._key") == F.col("r._key")), "left"
-    )
+    joined = keyed.alias("d").join(repeats.alias("r"), ["_id", "_key"], "left")
     # Chunks are cut again after the join, so that texts pass the shuffle once; only texts that lose something are.
     whole = F.when(F.length(body) > 0, F.size(F.split(body, "\n"))).otherwise(0).cast("bigint")
 
@@ -109,7 +114,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         )
 
     touched = F.col("_repeats").isNotNull()
-    marked = joined.select("d.*", F.when(touched, let(chunks_of(F.col(f"d.{text}")), rest_of)).alias("_rest"))
+    marked = joined.withColumn("_rest", F.when(touched, let(chunks_of(F.col(text)), rest_of)))
     new = F.when(F.col("_rest").isNotNull(), F.col("_rest.body")).otherwise(F.col(text))
     lost = F.when(F.col("_rest").isNotNull(), whole - F.col("_rest.n_lines")).otherwise(F.lit(0).cast("bigint"))
     same = [quoted(c) if c != text else new.alias(text) for c in rest.columns]
