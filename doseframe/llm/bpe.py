@@ -24,24 +24,26 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
-from doseframe.llm.common import partitions_for, quoted, raw_texts, without
+from doseframe.llm.common import partitions_for, quoted, raw_texts, slices, without
 
 #: Bytes of text in one group of documents.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 6 << 20
 #: Characters below this have no combining forms, and lower-case alike in Python and in the library.
 PLAIN_END = 0x250
 BEYOND = re.compile(f"[{chr(PLAIN_END)}-{chr(sys.maxunicode)}]")
 #: Words that are encoded at a time.
-ENCODED = 20_000
+ENCODED = 4_000
 
 FIELDS = [T.StructField("ids", T.BinaryType(), False), T.StructField("decoded", T.StringType(), False)]
 
@@ -50,23 +52,31 @@ def of_category(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(PLAIN_END) if unicodedata.category(chr(c))[0] == kind)
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 class Splitter:
     """Words of a text. Long-tail characters go through the library's own normalizer and splitter."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.path = path
+        self.special = special_tokens(path)
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         letters, digits = of_category("L"), of_category("N")
         space = re.escape("\t\n\x0b\x0c\r \x85\xa0")
         self.plain = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+")
-        self.full = Tokenizer.from_file(path)
         table = pre_tokenizers.ByteLevel.alphabet()
         # The printable stand-ins of bytes, in the order in which the library gives them out.
         own = [b for b in range(256) if chr(b) in table and b not in (0x20, 0xA0, 0xAD) and (0x21 <= b <= 0x7E or b >= 0xA1)]
         rest = [b for b in range(256) if b not in set(own)]
         self.byte = {ord(chr(b)): b for b in own} | {256 + i: b for i, b in enumerate(rest)}
 
+    @cached_property
+    def full(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def segment(self, text: str) -> list[str]:
         lower = text.lower()
         if not BEYOND.search(text) and not BEYOND.search(lower):
@@ -91,10 +101,8 @@ class Encoder:
     """Ids of single words: the vocabulary's merges alone, without normalizing or splitting again."""
 
     def __init__(self, path: str):
-        full = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.single = Tokenizer(full.model)
+        self.special = special_tokens(path)
+        self.single = Tokenizer(Tokenizer.from_file(path).model)
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encode(self, words: list[str]) -> list[list[int]]:
@@ -106,8 +114,7 @@ class Pieces:
     """The id-to-piece table."""
 
     def __init__(self, path: str):
-        full = Tokenizer.from_file(path)
-        vocab = full.get_vocab(with_added_tokens=True)
+        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
         self.piece = [""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             self.piece[i] = piece
@@ -116,21 +123,58 @@ class Pieces:
         return " ".join(map(self.piece.__getitem__, ids))
 
 
+# A worker keeps these from task to task.
+
+
+@lru_cache(2)
+def splitter(path: str) -> Splitter:
+    return Splitter(path)
+
+
+@lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(2)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
+
+
+def squeezed(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
 def packed_words(words: list[str]) -> bytes:
-    return "\n".join(words).encode()
+    return squeezed("\n".join(words).encode())
+
+
+def unpacked_words(block: bytes) -> list[str]:
+    return zstandard.decompress(block).decode().split("\n")
 
 
 def packed_ids(ids: list[list[int]]) -> bytes:
     """The number of ids of each word, then all ids, as one block of 32-bit numbers."""
     counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-    return counts.tobytes() + np.fromiter((i for each in ids for i in each), np.uint32, int(counts.sum())).tobytes()
+    return squeezed(counts.tobytes() + np.fromiter((i for each in ids for i in each), np.uint32, int(counts.sum())).tobytes())
 
 
 def unpacked_ids(block: bytes, n: int) -> list[bytes]:
-    numbers = np.frombuffer(block, np.uint32)
-    ends = (n + np.cumsum(numbers[:n], dtype=np.int64)) * 4
+    data = zstandard.decompress(block)
+    ends = (n + np.cumsum(np.frombuffer(data, np.uint32)[:n], dtype=np.int64)) * 4
     starts = np.concatenate([[n * 4], ends[:-1]]).tolist()
-    return [block[a:b] for a, b in zip(starts, ends.tolist())]
+    return [data[a:b] for a, b in zip(starts, ends.tolist())]
+
+
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(rows)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked_rows(block: bytes) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(block)))
 
 
 def by_range(words: Iterable[str], ranges: int) -> list[list[str]]:
@@ -148,24 +192,41 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[
 
     ``keys`` together with the text deal rows out into groups.
     """
-    spark = docs.sparkSession
     rest = without(docs, [f.name for f in FIELDS])
-    groups = partitions_for(docs, F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))), GROUP_BYTES)
-    ranges = groups
+    columns = rest.columns
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    groups = ranges = partitions_for(docs, F.octet_length(raw), GROUP_BYTES)
     hashed = F.pmod(F.xxhash64(*[quoted(k) for k in keys], quoted(text)), F.lit(groups)).cast("int")
-    dealt = rest.withColumns({"_group": hashed, "_text": F.coalesce(F.col(text).cast("string"), F.lit(""))})
-    out_names = rest.columns
-    if text in out_names:
-        # The text travels once, as it was: null and empty differ.
-        dealt = dealt.withColumn("_null", F.col(text).isNull()).drop(text)
-    located = dealt.repartition(groups, "_group")
+    dealt = rest.withColumn("_group", hashed)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one group travel as one compressed block."""
+        for batch in slices(batches, text):
+            group = np.array(batch.column("_group").to_pylist(), np.int32)
+            order = np.argsort(group, kind="stable")
+            rows = batch.select(columns)
+            for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[part[:1]], pa.int32()), pa.array([packed_rows(rows.take(pa.array(part)))], pa.binary())],
+                    names=["_group", "_rows"],
+                )
+
+    # The same exchange serves both readers below.
+    located = dealt.mapInArrow(pack, "_group int, _rows binary").repartition(groups, "_group")
+
+    def words_of(split: Splitter, block: bytes) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+        rows = unpacked_rows(block)
+        for part in slices(iter([rows]), text):
+            yield part, [split.words(raw.decode()) for raw in raw_texts(part.column(text))]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(vocabulary)
+        split = splitter(vocabulary)
         found: dict[int, set[str]] = {}
         for batch in batches:
-            for group, raw in zip(batch.column("_group").to_pylist(), raw_texts(batch.column("_text"))):
-                found.setdefault(group, set()).update(split.words(raw.decode()))
+            for group, block in zip(batch.column("_group").to_pylist(), batch.column("_rows")):
+                for _, lists in words_of(split, block.as_py()):
+                    for words in lists:
+                        found.setdefault(group, set()).update(words)
         for group in sorted(found):
             sent = by_range(found.pop(group), ranges)
             yield pa.RecordBatch.from_arrays(
@@ -182,66 +243,50 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A range of the word table: every distinct word is encoded once."""
-        encoder, known = Encoder(vocabulary), {}
-        waiting: list[tuple[int, int, bytes]] = []
-
-        def answer() -> pa.RecordBatch:
-            asked = [w.decode().split("\n") for _, _, w in waiting]
-            new = list({w: None for each in asked for w in each if w not in known})
-            for i in range(0, len(new), ENCODED):
-                part = new[i : i + ENCODED]
-                for w, ids in zip(part, encoder.encode(part)):
-                    known[w] = ids
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([g for g, _, _ in waiting], pa.int32()),
-                    pa.array([r for _, r, _ in waiting], pa.int32()),
-                    pa.array([packed_ids([known[w] for w in each]) for each in asked], pa.binary()),
-                ],
-                names=["_group", "_range", "_ids"],
-            )
-
+        encoder, known = encoder_of(vocabulary), {}
         for batch in batches:
-            for group, r, words in zip(*(batch.column(c).to_pylist() for c in ("_group", "_range", "_words"))):
-                waiting.append((group, r, words))
-                if len(waiting) == 16:
-                    yield answer()
-                    waiting.clear()
-        if waiting:
-            yield answer()
+            for group, r, block in zip(*(batch.column(c).to_pylist() for c in ("_group", "_range", "_words"))):
+                asked = unpacked_words(block)
+                new = [w for w in asked if w not in known]
+                for i in range(0, len(new), ENCODED):
+                    part = new[i : i + ENCODED]
+                    for w, ids in zip(part, encoder.encode(part)):
+                        known[w] = ids
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group], pa.int32()), pa.array([r], pa.int32()), pa.array([packed_ids([known[w] for w in asked])], pa.binary())],
+                    names=["_group", "_range", "_ids"],
+                )
 
     encoded = sent.repartition(ranges, "_range").mapInArrow(table, "_group int, _range int, _ids binary")
-    schema = T.StructType([*[rest.schema[c] for c in out_names], *FIELDS])
-    names = [*out_names, "ids", "decoded"]
+    names = [*columns, "ids", "decoded"]
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         """Documents of one group with the ids of its words, by position."""
-        split, pieces = Splitter(vocabulary), Pieces(vocabulary)
+        split, pieces = splitter(vocabulary), pieces_of(vocabulary)
         found: set[str] = set()
-        for batch in left.to_batches():
-            for raw in raw_texts(batch.column("_text")):
-                found.update(split.words(raw.decode()))
+        for block in left.column("_rows"):
+            for _, lists in words_of(split, block.as_py()):
+                for words in lists:
+                    found.update(words)
         order = by_range(found, ranges)
         ids_of: dict[str, bytes] = {}
-        for r, block in zip(right.column("_range").to_pylist(), right.column("_ids").to_pylist()):
-            ids_of.update(zip(order[r], unpacked_ids(block, len(order[r]))))
+        for r, block in zip(right.column("_range").to_pylist(), right.column("_ids")):
+            ids_of.update(zip(order[r], unpacked_ids(block.as_py(), len(order[r]))))
         del order, found
         done = []
-        for part in left.to_batches(max_chunksize=64):
-            ids, decoded, raws = [], [], raw_texts(part.column("_text"))
-            for raw in raws:
-                joined = b"".join(map(ids_of.__getitem__, split.words(raw.decode())))
-                ids.append(joined)
-                decoded.append(pieces.decode(np.frombuffer(joined, np.uint32).tolist()))
-            columns = {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
-            if text in out_names:
-                columns[text] = pa.array([None if null else raw.decode() for null, raw in zip(part.column("_null").to_pylist(), raws)], pa.string())
-            done.append(pa.RecordBatch.from_arrays([columns[c] if c in columns else part.column(c) for c in names], names=names))
+        for block in left.column("_rows"):
+            for part, lists in words_of(split, block.as_py()):
+                ids = [b"".join(map(ids_of.__getitem__, words)) for words in lists]
+                decoded = [pieces.decode(np.frombuffer(each, np.uint32).tolist()) for each in ids]
+                added = [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+                kept = [part.column(c) for c in columns]
+                done.append(pa.RecordBatch.from_arrays([*kept, *added], names=names))
         return pa.Table.from_batches(done)
 
+    schema = T.StructType([*[rest.schema[c] for c in columns], *FIELDS])
     return located.groupBy("_group").cogroup(encoded.groupBy("_group")).applyInArrow(join, schema)
 
 
 def decode(ids: list[int], vocabulary: str) -> str:
     """One list of ids as text."""
-    return Pieces(vocabulary).decode(ids)
+    return pieces_of(vocabulary).decode(ids)
