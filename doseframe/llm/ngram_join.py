@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doseframe.llm.common import add_columns, filter_of, raw_texts, slices, stored, without, words_blank
+from doseframe.llm.common import add_columns, filter_of, raw_texts, slices, stored, without
 from doseframe.llm.components import components
-from doseframe.llm.shingles import WordHashes, mixed, rolled, signed
+from doseframe.llm.shingles import blank_word_hashes, mixed, rolled, signed
 
 SHINGLE = 3
 #: Percent of the union that two linked sets share at least.
@@ -51,14 +51,22 @@ CLASS_RATIO = 1.4
 BLOCK_NODES = 1024
 BLOCK_BYTES = 8 << 20
 FRAGMENTS = 8
+#: Marks nodes that meet their own block; otherwise they are of block 0 or 1 of a pair, either of which may be empty.
+WITHIN = 2
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def shingle_set(raw: bytes, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
-    words = hashes.of(words_blank(raw.translate(LOWER)))
-    return np.unique(rolled(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64)
+def shingle_sets(raws: list[bytes], n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each text."""
+    words, counts = blank_word_hashes([raw.translate(LOWER) for raw in raws])
+    runs, at = rolled(words, n), 0
+    for count in counts.tolist():
+        if count >= n:
+            yield np.unique(runs[at : at + count - n + 1])
+        else:
+            yield rolled(words[at : at + count], count) if count else np.empty(0, np.uint64)
+        at += count
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -121,11 +129,10 @@ def segment_rows(docs: DataFrame, text: str, shingle: int, threshold: int) -> Da
     """(sig, node) of every distinct set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, classes, seen = WordHashes(), Classes(threshold), set()
+        classes, seen = Classes(threshold), set()
         for batch in slices(batches, text):
             sigs, nodes = [], []
-            for raw in raw_texts(batch.column(text)):
-                found = shingle_set(raw, hashes, shingle)
+            for found in shingle_sets(raw_texts(batch.column(text)), shingle):
                 node = node_of(found)
                 if node in seen or not len(found):
                     continue
@@ -144,11 +151,10 @@ def tied_sets(docs: DataFrame, text: str, shingle: int, tied: DataFrame) -> Data
     held = docs.sparkSession.sparkContext.broadcast(filter_of(tied, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits, seen = WordHashes(), held.value, set()
+        bits, seen = held.value, set()
         for batch in slices(batches, text):
             nodes, sets = [], []
-            for raw in raw_texts(batch.column(text)):
-                found = shingle_set(raw, hashes, shingle)
+            for found in shingle_sets(raw_texts(batch.column(text)), shingle):
                 node = node_of(found)
                 if node in bits and node not in seen:
                     seen.add(node)
@@ -160,7 +166,7 @@ def tied_sets(docs: DataFrame, text: str, shingle: int, tied: DataFrame) -> Data
 
 
 def linked(sets: list[np.ndarray], own: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, the later ones it links with. ``own`` is 0 or 1 by block: if both occur, pairs are of unlike blocks."""
+    """For each set, the later ones it links with. ``own`` is 0 or 1 by block, and pairs are of unlike blocks, or WITHIN."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
     tokens, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -173,7 +179,7 @@ def linked(sets: list[np.ndarray], own: np.ndarray, threshold: int) -> Iterator[
     posting, begin = owner[order], np.concatenate([[0], np.cumsum(times[np.argsort(rank)])])
     ordered = np.sort(owner * len(tokens) + by) % len(tokens)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    cross = bool(own.any()) and not own.all()
+    cross = own[0] != WITHIN
     need_of = threshold / (100 + threshold)
     alone = np.bincount(owner, weights=times[number] == 1, minlength=count)
     for x in range(count - 1):
@@ -235,12 +241,10 @@ def block_links(threshold: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with n_shingles and node, and (node, root, n_links) of every node that links with a different one."""
-    with_nodes = add_nodes(docs, text, shingle)
-    copies = with_nodes.where("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-
-    rows = segment_rows(docs, text, shingle, threshold)
+def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(node, root, n_links) of every node that links with a different one; ``copies`` has the documents (weight) of each node."""
+    # Read twice below, to find the hubs and to tie nodes to them.
+    rows = stored(segment_rows(docs, text, shingle, threshold), "ngram-segments")
     stars = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("sig", "hub")
     ties = rows.join(stars, "sig").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(ties, "ngram-ties")
@@ -257,7 +261,7 @@ def jaccard_links(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE
     # Every pair of blocks is one group, so a group of copies of any size is many tasks of bounded size.
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"low": F.least("blk", "other"), "high": F.greatest("blk", "other")}).withColumn(
-        "own", F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("blk") == F.col("high")).cast("int"))
+        "own", F.when(F.col("low") == F.col("high"), WITHIN).otherwise((F.col("blk") == F.col("high")).cast("int"))
     )
     parts = met.select("grp", "low", "high", "own", "node", "weight", "shingles")
     found = parts.groupBy("grp", "low", "high").applyInArrow(block_links(threshold), "node bigint, root bigint, n_links bigint")
@@ -265,15 +269,13 @@ def jaccard_links(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "ngram-roots")
     totals = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     links = totals.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-    return with_nodes, links.select("node", F.coalesce("root", "node").alias("root"), "n_links")
+    return links.select("node", F.coalesce("root", "node").alias("root"), "n_links")
 
 
 def add_nodes(docs: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame:
     def start():
-        hashes = WordHashes()
-
         def run(raws: list[bytes], batch: pa.RecordBatch) -> list:
-            sets = [shingle_set(raw, hashes, shingle) for raw in raws]
+            sets = list(shingle_sets(raws, shingle))
             return [[len(s) for s in sets], [node_of(s) for s in sets]]
 
         return run
@@ -286,9 +288,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     n_links counts the other documents with a linked or an equal set.
     """
-    with_nodes, links = jaccard_links(docs.select(doc_id, text), text=text, **options)
-    slim = stored(with_nodes.select(F.col(doc_id).alias("doc_id"), "n_shingles", "node"), "ngram-docs")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = stored(add_nodes(texts, "text", options.get("shingle", SHINGLE)).select("doc_id", "n_shingles", "node"), "ngram-docs")
     copies = slim.where("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
+    links = jaccard_links(texts, copies.select("node", F.col("copies").alias("weight")), **options)
     # One row per distinct set; hot sets are combined before they are joined.
     named = copies.join(links, "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("group"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")

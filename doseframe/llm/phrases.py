@@ -39,13 +39,12 @@ from itertools import repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doseframe.llm.common import filter_of, partitions_for, quoted, raw_texts, slices, stored, without, words_blank
-from doseframe.llm.shingles import FACTOR, WordHashes, mixed, rolled, signed
+from doseframe.llm.shingles import blank_word_hashes, least_of, member, mixed, rolled, signed
 
 WINDOW = 35
 ANCHOR = 12
@@ -59,25 +58,40 @@ FIELDS = [
 ]
 
 
-def stretches(hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """For each stretch: anchor hash, stretch hash, first window, number of windows."""
-    anchor = min(ANCHOR, window)
-    runs = rolled(hashes, anchor)
-    span = window - anchor + 1
-    if len(runs) < span:
-        return (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    views = sliding_window_view(runs, span)
-    # The rightmost least run of each window.
-    place = np.arange(len(views)) + span - 1 - views[:, ::-1].argmin(axis=1)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-    number = np.diff(np.concatenate([first, [len(place)]]))
-    own = place[first]
-    # A stretch is told by the hashes of all its words: a difference of prefix sums, scaled to its start.
-    wide = rolled(hashes, window, seed=1)
-    last = first + number - 1
-    content = mixed(wide[first] * FACTOR + wide[last]) + mixed((number * 64 + own - first).astype(np.uint64))
-    middle = np.add.reduceat(mixed(wide), first)
-    return runs[own], mixed(content + middle * FACTOR), first, number
+class Stretches:
+    """The stretches of several texts, and the hashes of all their windows.
+
+    ``anchor`` and ``stretch`` are hashes, ``first`` and ``number`` a stretch's windows,
+    ``text`` its text; windows are numbered by their first word, over all texts.
+    """
+
+    def __init__(self, raws: list[bytes], window: int):
+        hashes, self.counts = blank_word_hashes(raws)
+        span = window - min(ANCHOR, window) + 1
+        ends = np.cumsum(self.counts)
+        room = np.repeat(ends, self.counts) - np.arange(len(hashes))
+        self.windows = np.flatnonzero(room >= window)
+        self.hashes = rolled(hashes, window, seed=1)
+        if not len(self.windows):
+            self.anchor = self.stretch = np.empty(0, np.uint64)
+            self.first = self.number = self.text = np.empty(0, np.int64)
+            return
+        runs = rolled(hashes, min(ANCHOR, window))
+        # Hash and place in one number: the least is the run with the least hash, of equal ones the last.
+        bits = np.uint64(max(len(runs), 2).bit_length())
+        place = (np.uint64(1) << bits) - np.uint64(1)
+        packed = (runs >> bits << bits) | (place - np.arange(len(runs), dtype=np.uint64))
+        own = (place - (least_of(packed, span)[self.windows] & place)).astype(np.int64)
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+        self.number = np.diff(np.concatenate([begin, [len(own)]]))
+        self.first = self.windows[begin]
+        self.anchor = runs[own[begin]]
+        # A stretch is told by its windows in their order and by the place of the anchor.
+        wide = mixed(self.hashes[self.windows])
+        step = mixed((np.arange(len(own)) - np.repeat(begin, self.number)).astype(np.uint64))
+        content = np.add.reduceat(wide * (step | np.uint64(1)), begin)
+        self.stretch = mixed(content + mixed((self.number * 64 + own[begin] - self.first).astype(np.uint64)))
+        self.text = np.searchsorted(ends, self.first, "right")
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -97,56 +111,54 @@ def compiled(phrases: list[tuple[int, ...]]) -> ahocorasick.Automaton:
     return automaton
 
 
-def witnessed(texts: list[bytes], solid: np.ndarray, single: np.ndarray, window: int, hashes: WordHashes) -> Iterator[list[bytes]]:
-    """The words of every confirmed phrase, from the first text of the shard that has it."""
-    wanted = {"stretch": set(solid.tolist()), "window": set(single.tolist())}
-    for raw in texts:
-        words = words_blank(raw)
-        if len(words) < window or not (wanted["stretch"] or wanted["window"]):
-            continue
-        word_hashes = hashes.of(words)
-        _, stretch, first, number = stretches(word_hashes, window)
-        for i in np.flatnonzero(np.isin(stretch, solid)).tolist():
-            if (name := int(stretch[i])) in wanted["stretch"]:
-                wanted["stretch"].discard(name)
-                yield words[first[i] : first[i] + number[i] + window - 1]
-        wide = rolled(word_hashes, window, seed=1)
-        for i in np.flatnonzero(np.isin(wide, single)).tolist():
-            if (name := int(wide[i])) in wanted["window"]:
-                wanted["window"].discard(name)
-                yield words[i : i + window]
-
-
-def without_phrases(texts: list[bytes], solid: np.ndarray, single: np.ndarray, window: int, hashes: WordHashes) -> list[tuple[int, int, bytes]]:
+def witnessed(words: list[bytes], found: Stretches, solid: np.ndarray, single: np.ndarray, window: int) -> Iterator[list[bytes]]:
+    """The words of every confirmed phrase, from the first place of the shard that has it."""
+    there = np.flatnonzero(member(found.stretch, solid))
+    for i in there[np.unique(found.stretch[there], return_index=True)[1]].tolist():
+        yield words[found.first[i] : found.first[i] + found.number[i] + window - 1]
+    places = found.windows[member(found.hashes[found.windows], single)]
+    for i in places[np.unique(found.hashes[places], return_index=True)[1]].tolist():
+        yield words[i : i + window]
+
+
+def without_phrases(texts: list[bytes], solid: np.ndarray, single: np.ndarray, window: int) -> list[tuple[int, int, bytes]]:
     """For each text of a shard: its words, the words lost, and what is kept."""
+    found = Stretches(texts, window)
+    words = words_blank(b" ".join(texts))
     number: dict[bytes, int] = {}
-    phrases = [tuple(number.setdefault(w, len(number) + 1) for w in p) for p in witnessed(texts, solid, single, window, hashes)]
+    phrases = [tuple(number.setdefault(w, len(number) + 1) for w in p) for p in witnessed(words, found, solid, single, window)]
     automaton = compiled(phrases) if phrases else None
     del phrases
-    out = []
-    for raw in texts:
-        words = words_blank(raw)
-        hits = np.empty((0, 2), np.int64)
-        if automaton is not None and len(words) >= window:
-            ids = tuple(map(number.get, words, repeat(0)))
-            hits = np.array([(end + 1 - size, end + 1) for end, size in automaton.iter(ids)], np.int64).reshape(-1, 2)
-        if len(hits):
-            gone = covered(len(words), hits[:, 0], hits[:, 1])
-            out.append((len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist()) if not g)))
+    ids = np.fromiter(map(number.get, words, repeat(0)), np.int64, len(words))
+    out, at = [], 0
+    for n in found.counts.tolist():
+        mine, gone = words[at : at + n], None
+        for start, end in known_runs(ids[at : at + n], window) if automaton is not None else ():
+            hits = np.array([(last + 1 - size, last + 1) for last, size in automaton.iter(tuple(ids[at + start : at + end].tolist()))], np.int64)
+            if len(hits):
+                gone = np.zeros(n, bool) if gone is None else gone
+                gone[start:end] |= covered(end - start, hits[:, 0], hits[:, 1])
+        at += n
+        if gone is None:
+            out.append((n, 0, b" ".join(mine)))
         else:
-            out.append((len(words), 0, b" ".join(words)))
+            out.append((n, int(gone.sum()), b" ".join([mine[i] for i in np.flatnonzero(~gone).tolist()])))
     return out
 
 
+def known_runs(ids: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """The stretches without a word that is in no phrase, if a phrase fits in; no occurrence lies elsewhere."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ids > 0, [False]])))
+    return [(a, b) for a, b in edge.reshape(-1, 2).tolist() if b - a >= window]
+
+
 def confirmed_phrases(slim: DataFrame, window: int) -> DataFrame:
     """(_shard, kind, hash) of the phrases that repeat, for every shard that holds one: kind 1 stretches, 2 windows."""
     context = slim.sparkSession.sparkContext
 
     def anchors_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches, "_text"):
-            found = [stretches(hashes.of(words_blank(raw)), window)[0] for raw in raw_texts(batch.column("_text"))]
-            names, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            names, n = np.unique(Stretches(raw_texts(batch.column("_text")), window).anchor, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(names)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
     counted = slim.select("_text").mapInArrow(anchors_once, "anchor bigint, n bigint")
@@ -154,16 +166,13 @@ def confirmed_phrases(slim: DataFrame, window: int) -> DataFrame:
     repeated = context.broadcast(filter_of(again, "anchor"))
 
     def repeated_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), repeated.value
+        bits = repeated.value
         for batch in slices(batches, "_text"):
-            parts = []
-            for shard, raw in zip(batch.column("_shard").to_pylist(), raw_texts(batch.column("_text"))):
-                anchor, stretch, _, _ = stretches(hashes.of(words_blank(raw)), window)
-                there = bits.holds(anchor)
-                if there.any():
-                    parts.append((np.full(int(there.sum()), shard, np.int32), signed(anchor[there]), signed(stretch[there])))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["_shard", "anchor", "stretch"])
+            found = Stretches(raw_texts(batch.column("_text")), window)
+            there = bits.holds(found.anchor)
+            shard = np.array(batch.column("_shard").to_pylist(), np.int32)[found.text[there]]
+            columns = (shard, signed(found.anchor[there]), signed(found.stretch[there]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_shard", "anchor", "stretch"])
 
     found = slim.mapInArrow(repeated_stretches, "_shard int, anchor bigint, stretch bigint")
     places = stored(found.groupBy("anchor", "stretch", "_shard").agg(F.count(F.lit(1)).alias("n")), "phrase-places")
@@ -175,20 +184,17 @@ def confirmed_phrases(slim: DataFrame, window: int) -> DataFrame:
     to_split = context.broadcast(filter_of(split, "stretch"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits, seen = WordHashes(), to_split.value, set()
+        bits, seen = to_split.value, np.empty(0, np.uint64)
         for batch in slices(batches, "_text"):
-            parts = []
-            for raw in raw_texts(batch.column("_text")):
-                word_hashes = hashes.of(words_blank(raw))
-                anchor, stretch, first, number = stretches(word_hashes, window)
-                chosen = [i for i in np.flatnonzero(bits.holds(stretch)).tolist() if int(stretch[i]) not in seen]
-                if chosen:
-                    seen.update(stretch[chosen].tolist())
-                    wide, times = rolled(word_hashes, window, seed=1), number[chosen]
-                    where = np.repeat(first[chosen], times) + np.concatenate([np.arange(n) for n in times])
-                    parts.append((signed(np.repeat(anchor[chosen], times)), signed(wide[where]), signed(np.repeat(stretch[chosen], times))))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["anchor", "w", "stretch"])
+            found = Stretches(raw_texts(batch.column("_text")), window)
+            there = np.flatnonzero(bits.holds(found.stretch) & ~member(found.stretch, seen))
+            chosen = there[np.unique(found.stretch[there], return_index=True)[1]]
+            seen = np.union1d(seen, found.stretch[chosen])
+            times = found.number[chosen]
+            begin = np.cumsum(times) - times
+            where = np.repeat(found.first[chosen] - begin, times) + np.arange(int(times.sum()))
+            columns = (np.repeat(found.anchor[chosen], times), found.hashes[where], np.repeat(found.stretch[chosen], times))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(c)) for c in columns], names=["anchor", "w", "stretch"])
 
     shown = slim.select("_text").mapInArrow(windows, "anchor bigint, w bigint, stretch bigint")
     spans = shown.groupBy("anchor", "w").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b"))
@@ -237,11 +243,11 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keys: tuple[str, ...]
                 mine = texts.setdefault(s, {})
                 numbers = [mine.setdefault(t, len(mine)) for t in raw_texts(part.column("_text"))]
                 held.setdefault(s, []).append((part.drop_columns(["_text", "hash", "kind", "_shard"]), numbers))
-        hashes, none = WordHashes(), [np.empty(0, np.uint64)]
+        none = [np.empty(0, np.uint64)]
         for s in sorted(held):
             bodies = list(texts.pop(s))
             solid, single = (np.unique(np.concatenate(known.pop((s, k), none))) for k in (1, 2))
-            done = without_phrases(bodies, solid, single, window, hashes)
+            done = without_phrases(bodies, solid, single, window)
             for part, numbers in held.pop(s):
                 new = {
                     "n_words": pa.array([done[i][0] for i in numbers], pa.int64()),

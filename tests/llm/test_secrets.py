@@ -58,7 +58,7 @@ def test_cycles_and_noise_end():
     assert secrets.hidden("%25" * 2000 + "41") == set()
     assert secrets.hidden("A" * 4000) == set()
     assert secrets.hidden("\\ud800 %ff %zz \\u12") == set()
-    bomb = base64.b64encode(gzip.compress(b"a" * 3_000_000)).decode()
+    bomb = base64.b64encode(gzip.compress(b"z" * 3_000_000)).decode()
     assert secrets.hidden(bomb) == set()
 
 
