@@ -200,9 +200,12 @@ VIEWS = {
                           WHEN g.action = 'interpretation' AND p.phase <> 2 THEN 'no_experiment' END AS reason
               FROM played p JOIN guarded g ON g.episode = p.episode AND g.turn = p.turn + 1)""",
     "replay": """
-        SELECT episode, event_id, action, reason IS NULL AS accepted, reason, CASE WHEN NOT was_over THEN step END AS step,
-               CASE WHEN NOT was_over THEN used END AS experiments_run, ended OR was_over AS done
-        FROM played WHERE turn > 0""",
+        SELECT p.episode, p.event_id, p.action, reason IS NULL AS accepted, reason, CASE WHEN NOT was_over THEN step END AS step,
+               CASE WHEN NOT was_over THEN used END AS experiments_run, ended OR was_over AS done,
+               CASE WHEN reason IS NULL AND p.action = 'experiment' THEN r.drug IS NOT NULL END AS found
+        FROM played p JOIN log l ON l.episode = p.episode AND l.event_id = p.event_id
+        LEFT JOIN (SELECT DISTINCT drug, cell_line, concentration FROM members) r
+          ON r.drug = l.drug AND r.cell_line = l.cell_line AND r.concentration = l.concentration WHERE turn > 0""",
     "accepted": """
         SELECT r.episode, r.event_id, r.action, r.step, r.experiments_run, l.ts, l.drug, l.concentration, l.cell_line, l.score, l.note
         FROM replay r JOIN log l ON r.event_id = l.event_id AND r.episode = l.episode WHERE r.accepted""",
@@ -511,7 +514,7 @@ BODIES = {
         SELECT question_id, position AS shuffle_position,
                CASE WHEN position < floor(n * 0.7::DOUBLE) THEN 'train' WHEN position < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split
         FROM (SELECT question_id, row_number() OVER (ORDER BY md5('42:' || question_id), question_id) - 1 AS position, count(*) OVER () AS n FROM questions)""",
-    "replay_episodes": "SELECT episode, event_id, action, accepted, reason, step, experiments_run, done FROM replay",
+    "replay_episodes": "SELECT episode, event_id, action, accepted, reason, step, experiments_run, done, found FROM replay",
     "step_scores": """
         SELECT episode, step, hs AS hypothesis_score, iscore AS interpretation_score, round((hs + iscore) / 2, 6) AS step_score
         FROM steps WHERE iscore IS NOT NULL""",
@@ -535,7 +538,7 @@ BODIES = {
     "stream_signature_filter": f"""
         SELECT {DE_COLS}, signature FROM de JOIN signatures ON gene_name = gene""",
     "stream_first_seen": f"SELECT {TRT}, file_num FROM index_",
-    "stream_replay": "SELECT episode, event_id, action, accepted, reason, step, experiments_run, done FROM replay",
+    "stream_replay": "SELECT episode, event_id, action, accepted, reason, step, experiments_run, done, found FROM replay",
 }
 
 ORACLES = {name: sql(body) for name, body in BODIES.items()}

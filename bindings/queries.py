@@ -687,7 +687,7 @@ def split_tasks(t: Tables) -> DataFrame:
 
 
 def outcomes(df: DataFrame) -> DataFrame:
-    return df.select("episode", "event_id", "action", "accepted", "reason", "step", "experiments_run", "done")
+    return df.select("episode", "event_id", "action", "accepted", "reason", "step", "experiments_run", "done", "found")
 
 
 @query
@@ -722,9 +722,8 @@ def episode_progress(t: Tables) -> DataFrame:
 
 
 def episode_results(t: Tables) -> DataFrame:
-    replay = P.replay_episodes(t.log(), BUDGET)
-    scores = P.step_scores(P.accepted_actions(t.log(), replay))
-    return P.episode_score(replay, scores, P.episode_progress(t.episode_predictions()), lam=10.0)
+    replay = P.replay_episodes(t.log(), BUDGET, carry=["score"])
+    return P.episode_score(replay, progress=P.episode_progress(t.episode_predictions()), lam=10.0)
 
 
 @query

@@ -359,13 +359,18 @@ class Tables:
         line = self.cells().select(F.col("cell_name").alias("cell_line")).distinct().withColumn("_c", F.lit(True))
         known = asked.join(drug, "drug", "left").join(line, "cell_line", "left")
         guarded = heldout_guard(known, self.heldout())
-        return guarded.withColumn("known_names", F.coalesce(F.col("_d") & F.col("_c"), F.lit(False))).drop("_d", "_c")
+        results = self.enrichment().select(*TREATMENT).distinct().withColumn("_r", F.lit(True))
+        return (
+            guarded.join(results, TREATMENT, "left")
+            .withColumns({"known_names": F.coalesce(F.col("_d") & F.col("_c"), F.lit(False)), "has_results": F.coalesce("_r", F.lit(False))})
+            .drop("_d", "_c", "_r")
+        )
 
     def log(self) -> DataFrame:
         return self.log_from(self.raw("events"))
 
     def accepted(self) -> DataFrame:
-        return episodes.accepted_actions(self.log(), episodes.replay_episodes(self.log(), BUDGET))
+        return episodes.replay_episodes(self.log(), BUDGET, carry=episodes.DETAILS).where("accepted")
 
     def episode_predictions(self) -> DataFrame:
         n = F.col("event_id")

@@ -12,11 +12,15 @@ Protocol of an episode, one action per turn:
   so, or after ``max_turns`` turns. Later actions are refused.
 
 A log has columns episode, ts, event_id, action, drug, concentration,
-cell_line, restricted, known_names, declares_done, score and note.
+cell_line, restricted, known_names, declares_done, score and note. With a column
+has_results, an accepted experiment is marked as ``found`` or not: one without
+stored results costs budget too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,8 +91,12 @@ def _fold(actions: Column, budget: int) -> Column:
     return F.aggregate(actions, start, advance, lambda s: s.out)
 
 
-def replay_episodes(log: DataFrame, budget: int = 10, max_turns: int | None = None) -> DataFrame:
-    """Outcome of every logged action.
+#: What the log says about an action, for ``carry``.
+DETAILS = ("drug", "concentration", "cell_line", "score", "note")
+
+
+def replay_episodes(log: DataFrame, budget: int = 10, max_turns: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Outcome of every logged action, with the columns in ``carry`` of all but those beyond the turn limit.
 
     Only the first ``max_turns`` actions of an episode are folded: the rank
     filter prunes each task's rows before the shuffle, so an episode brings at
@@ -97,7 +105,8 @@ def replay_episodes(log: DataFrame, budget: int = 10, max_turns: int | None = No
     """
     turns = max_turns or default_turns(budget)
     order = Window.partitionBy("episode").orderBy("ts", "event_id")
-    used = ["ts", "event_id", "action", "restricted", "known_names", "declares_done"]
+    told = "has_results" in log.columns
+    used = ["ts", "event_id", "action", "restricted", "known_names", "declares_done", *["has_results"] * told, *carry]
     head = log.select("episode", *used).withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= turns)
     folded = head.groupBy("episode").agg(
         F.array_sort(F.collect_list(F.struct(*used))).alias("_actions"),
@@ -108,6 +117,11 @@ def replay_episodes(log: DataFrame, budget: int = 10, max_turns: int | None = No
     played = outcomes.select(
         "episode", "_p._actions.ts", "_p._actions.event_id", "_p._actions.action", "_p._out.accepted",
         "_p._out.reason", "_p._out.step", "_p._out.experiments_run", "_p._out.done",
+        F.when(
+            F.col("_p._out.accepted") & (F.col("_p._actions.action") == "experiment"),
+            F.col("_p._actions.has_results") if told else F.lit(None).cast("boolean"),
+        ).alias("found"),
+        *[F.col(f"_p._actions.{c}").alias(c) for c in carry],
     )
     cut = folded.where(F.col("_turns") == turns).select("episode", "_last")
     beyond = (
@@ -126,7 +140,7 @@ def replay_episodes(log: DataFrame, budget: int = 10, max_turns: int | None = No
             F.lit(True).alias("done"),
         )
     )
-    return played.unionByName(beyond)
+    return played.unionByName(beyond, allowMissingColumns=True)
 
 
 def accepted_actions(log: DataFrame, replay: DataFrame) -> DataFrame:
@@ -205,19 +219,35 @@ def episode_progress(predictions: DataFrame, keys: tuple[str, ...] = ("episode",
     return at.join(whole, list(keys))
 
 
-def episode_score(replay: DataFrame, scores: DataFrame, progress: DataFrame | None = None, lam: float = 1.0) -> DataFrame:
+def episode_score(replay: DataFrame, scores: DataFrame | None = None, progress: DataFrame | None = None, lam: float = 1.0) -> DataFrame:
     """Per episode: process score (mean and sum over steps), progress and their combination.
 
+    Without ``scores`` (``step_scores``) the replay must carry the log's score, and is read once for everything.
+
     ``s_episode_sum`` adds step scores, ``s_episode`` averages them. The
     reward adds step scores too, but declaring the episode done resets it to 1.
     """
-    run = replay.groupBy("episode").agg(
+    declared = F.col("accepted") & (F.col("action") == "knowledge") & F.col("done")
+    totals = [
         F.coalesce(F.max("step"), F.lit(0)).alias("steps_completed"),
         F.coalesce(F.max("experiments_run"), F.lit(0)).alias("experiments_run"),
-        F.bool_or(F.col("accepted") & (F.col("action") == "knowledge") & F.col("done")).alias("declared_done"),
-    )
-    process = scores.groupBy("episode").agg(F.avg("step_score").alias("_mean"), F.sum("step_score").alias("_sum"))
-    joined = run.join(process, "episode", "left")
+    ]
+    if scores is None:
+        def scored(action: str) -> Column:
+            return F.max(F.when(F.col("accepted") & (F.col("action") == action), F.col("score")))
+
+        by_step = replay.groupBy("episode", "step").agg(
+            F.max("experiments_run").alias("experiments_run"),
+            F.bool_or(declared).alias("declared_done"),
+            ((scored("hypothesis") + scored("interpretation")) / 2).alias("step_score"),
+        )
+        joined = by_step.groupBy("episode").agg(
+            *totals, F.bool_or("declared_done").alias("declared_done"), F.avg("step_score").alias("_mean"), F.sum("step_score").alias("_sum")
+        )
+    else:
+        run = replay.groupBy("episode").agg(*totals, F.bool_or(declared).alias("declared_done"))
+        process = scores.groupBy("episode").agg(F.avg("step_score").alias("_mean"), F.sum("step_score").alias("_sum"))
+        joined = run.join(process, "episode", "left")
     gain = F.lit(0.0)
     if progress is not None:
         joined = joined.join(progress.select("episode", "s_progress").distinct(), "episode", "left")

@@ -21,6 +21,7 @@ REPLAY_SCHEMA = T.StructType(
         T.StructField("step", T.IntegerType()),
         T.StructField("experiments_run", T.IntegerType()),
         T.StructField("done", T.BooleanType()),
+        T.StructField("found", T.BooleanType()),
     ]
 )
 
@@ -82,7 +83,8 @@ class EpisodeProtocol(StatefulProcessor):
                 elif e.action == "knowledge":
                     over = bool(e.declares_done)
             shown = (None, None) if was_over else (step, used)
-            outcomes.append((e.episode, e.ts, e.event_id, e.action, reason is None, reason, *shown, over))
+            found = getattr(e, "has_results", None) if reason is None and e.action == "experiment" else None
+            outcomes.append((e.episode, e.ts, e.event_id, e.action, reason is None, reason, *shown, over, found))
         self.state.update((turns + len(held), phase, step, used, over, *last))
         yield self._frame(outcomes)
 
@@ -108,11 +110,11 @@ class EpisodeProtocol(StatefulProcessor):
     def _refused(rows: pd.DataFrame, reason: str, done: bool) -> pd.DataFrame:
         nothing = pd.array([pd.NA] * len(rows), dtype="Int32")
         refused = rows[["episode", "ts", "event_id", "action"]].assign(
-            accepted=False, reason=reason, step=nothing, experiments_run=nothing, done=done
+            accepted=False, reason=reason, step=nothing, experiments_run=nothing, done=done, found=nothing.astype("boolean")
         )
         return refused[REPLAY_SCHEMA.fieldNames()]
 
     @staticmethod
     def _frame(outcomes: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(outcomes, columns=REPLAY_SCHEMA.fieldNames())
-        return frame.astype({"step": "Int32", "experiments_run": "Int32"})
+        return frame.astype({"step": "Int32", "experiments_run": "Int32", "found": "boolean"})

@@ -141,3 +141,22 @@ def test_late_actions_are_named_and_cost_no_turn(spark, tmp_path):
         jobs.stream_replay(spark.readStream.schema(LOG).parquet(source), out, checkpoint, 5)
     got = {r.event_id: (r.accepted, r.reason) for r in spark.read.parquet(out).collect()}
     assert got == {0: (True, None), 1: (True, None), 4: (True, None), 2: (False, "out_of_order"), 3: (False, "out_of_order"), 5: (True, None)}
+
+
+def test_experiments_without_results_are_marked(spark, tmp_path):
+    log = spark.createDataFrame(rows(1, "hxxi"), LOG).withColumn("has_results", F.col("event_id") == 1)
+    want = {0: None, 1: True, 2: False, 3: None}
+    assert {r.event_id: r.found for r in P.replay_episodes(log, 5).collect()} == want
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    log.write.parquet(source)
+    jobs.stream_replay(spark.readStream.schema(log.schema).parquet(source), out, str(tmp_path / "checkpoint"), 5)
+    assert {r.event_id: r.found for r in spark.read.parquet(out).collect()} == want
+    assert P.replay_episodes(log.drop("has_results"), 5).where("found IS NOT NULL").count() == 0
+
+
+def test_one_pass_gives_the_same_scores(spark):
+    log = skewed(spark)
+    replay = P.replay_episodes(log, 3, carry=P.DETAILS)
+    apart = P.episode_score(replay, P.step_scores(P.accepted_actions(log, replay)))
+    order = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    assert order(P.episode_score(replay)) == order(apart)
