@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from doseframe.functions.columns import fixed
 from doseframe.operators.filters import substring_matches
-from doseframe.operators.pathways import significant_pathways, top_activated, top_repressed
 from doseframe.schema import TREATMENT
 
 
@@ -199,17 +199,21 @@ def cell_line_report(nested: DataFrame) -> DataFrame:
 def experiment_report(enrichment: DataFrame, treatments: DataFrame, threshold: float = 0.05, top: int = 5) -> DataFrame:
     """Observation per assembled treatment: context, number of significant pathways, strongest up and down.
 
-    A treatment without results gets an empty observation.
+    A treatment without results gets an empty observation. Results are read once:
+    a place among those of the same sign serves both lists.
     """
+    sign = F.signum("nes").cast("int")
+    place = Window.partitionBy(*TREATMENT, "_sign").orderBy(F.abs("nes").desc(), "pathway")
+    ranked = enrichment.withColumn("_sign", sign).withColumn("rank", F.row_number().over(place))
 
-    def strongest(rows: DataFrame, name: str) -> DataFrame:
-        item = F.struct("rank", "pathway", "nes", "fdr")
-        return rows.groupBy(*TREATMENT).agg(F.array_sort(F.collect_list(item)).alias(name))
+    def strongest(side: int) -> Column:
+        item = F.when((F.col("_sign") == side) & (F.col("rank") <= top), F.struct("rank", "pathway", "nes", "fdr"))
+        return F.array_sort(F.collect_list(item))
 
-    count = significant_pathways(enrichment, threshold).groupBy(*TREATMENT).agg(F.count(F.lit(1)).alias("_n"))
-    up = strongest(top_activated(enrichment, top), "top_activated")
-    down = strongest(top_repressed(enrichment, top), "top_repressed")
-    joined = treatments.join(count, TREATMENT, "left").join(up, TREATMENT, "left").join(down, TREATMENT, "left")
+    found = ranked.groupBy(*TREATMENT).agg(
+        F.count_if(F.col("fdr") < threshold).alias("_n"), strongest(1).alias("top_activated"), strongest(-1).alias("top_repressed")
+    )
+    joined = treatments.join(found, TREATMENT, "left")
 
     def bullet(p: Column) -> Column:
         return F.format_string(PATHWAY_LINE, p.pathway, fixed(p.nes, 2), fixed(p.fdr, 3))

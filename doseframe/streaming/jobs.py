@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from doseframe.schema import INDEX_SCHEMA, TREATMENT
 from doseframe.streaming.protocol import REPLAY_SCHEMA, EpisodeProtocol
@@ -37,8 +36,9 @@ def stream_first_seen(de: DataFrame, out: str, checkpoint: str) -> None:
     """Keep the treatment index up to date: lowest file number per treatment.
 
     The state is one row per treatment. Each batch is pre-aggregated before
-    its shuffle; the index after a batch is written below ``out`` under the
-    batch number, so a repeated batch rewrites the same folder.
+    its shuffle, and only the treatments that it changes are written below
+    ``out``, under the batch number, so a repeated batch rewrites the same folder.
+    ``compact_first_seen`` merges what has gathered.
     """
     index = de.groupBy(*TREATMENT).agg(F.min("file_num").cast("int").alias("file_num"))
 
@@ -48,7 +48,7 @@ def stream_first_seen(de: DataFrame, out: str, checkpoint: str) -> None:
     query = (
         index.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
@@ -56,11 +56,14 @@ def stream_first_seen(de: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def read_first_seen(spark: SparkSession, out: str) -> DataFrame:
-    """The index as of the last batch."""
-    numbered = T.StructType([*INDEX_SCHEMA.fields, T.StructField("batch", T.LongType())])
-    versions = spark.read.schema(numbered).parquet(out)
-    last = versions.agg(F.max("batch")).scalar()
-    return versions.where(F.col("batch") == last).drop("batch")
+    """The index as of the last batch: the lowest number over all changes."""
+    changes = spark.read.schema(INDEX_SCHEMA).option("recursiveFileLookup", "true").parquet(out)
+    return changes.groupBy(*TREATMENT).agg(F.min("file_num").alias("file_num"))
+
+
+def compact_first_seen(spark: SparkSession, out: str, target: str) -> None:
+    """Write the merged index to ``target``, a new folder that later batches can go on in."""
+    read_first_seen(spark, out).write.parquet(f"{target}/batch=-1")
 
 
 def stream_replay(

@@ -166,5 +166,9 @@ def test_streams_resume(spark, facts, tmp_path):
         jobs.stream_first_seen(stream(), str(tmp_path / "index"), str(tmp_path / "index-checkpoint"))
         index = jobs.read_first_seen(spark, str(tmp_path / "index"))
         seen.append({(r.cell_line, r.drug): r.file_num for r in index.collect()})
+    jobs.compact_first_seen(spark, str(tmp_path / "index"), str(tmp_path / "compact"))
+    assert jobs.read_first_seen(spark, str(tmp_path / "compact")).count() == len(seen[-1])
+    # The second batch wrote the treatments it changed, not the whole index.
+    assert spark.read.parquet(str(tmp_path / "index" / "batch=1")).count() == 2
     assert seen == [{("c1", "d2"): 2, ("c2", "d2"): 2}, {("c1", "d1"): 0, ("c1", "d2"): 1, ("c2", "d2"): 2}]
     assert spark.read.parquet(str(tmp_path / "kept")).count() == 4
