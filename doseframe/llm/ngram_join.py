@@ -29,6 +29,7 @@ Nodes are 64-bit hashes of sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ from doseframe.llm.shingles import blank_word_hashes, mixed, rolled, signed
 SHINGLE = 3
 #: Percent of the union that two linked sets share at least.
 THRESHOLD = 90
+#: Below this, segments are too short for their equality to mean much.
+LEAST_THRESHOLD = 75
 #: Upper ends of neighbouring size classes differ by this factor; it exceeds 100 / THRESHOLD.
 CLASS_RATIO = 1.4
 #: Nodes and bytes of shingles in a block.
@@ -78,9 +81,27 @@ class Classes:
     """Size classes and their numbers of fragments for one threshold in percent."""
 
     def __init__(self, threshold: int):
+        if not LEAST_THRESHOLD <= threshold <= 100:
+            raise ValueError(f"the threshold must be {LEAST_THRESHOLD} to 100 percent")
         self.threshold = threshold
         self.tops = [1]
 
+    def fragments(self, k: int) -> tuple[int, int]:
+        """Fragments of a class, and how many of them may be empty: 2 percent, or more where segments are short.
+
+        As many fragments as shingles stand for single shingles, of which linked sets share one anyway.
+        """
+        different = self.most_different(self.tops[k])
+        if not different:
+            return 0, 0  # linked sets are equal, so they are one node
+        low = self.tops[k - 1] + 1 if k else 1
+        spare = 1 + different // 50
+        while (count := different + 1 + spare) * math.exp(-low / count) * 1.25 > spare:
+            spare += 1 + spare // 8
+            if count >= low:
+                return low, 0
+        return count, spare
+
     def most_different(self, top: int) -> int:
         """Shingles in which two linked sets differ at most, if the smaller has ``top`` shingles or fewer."""
         both = top + top * 100 // self.threshold
@@ -101,11 +122,13 @@ def signatures(shingles: np.ndarray, classes: Classes) -> np.ndarray:
     """Hashes of the segments of one set, for each class it belongs to."""
     out = []
     for k in classes.of(len(shingles)):
-        different = classes.most_different(classes.tops[k])
-        if not different:
-            continue  # linked sets are equal, so they are one node
-        spare = 1 + different // 50
-        fragments = different + 1 + spare
+        fragments, spare = classes.fragments(k)
+        name = np.uint64((k << 20) * 0x9E3779B1 & 0xFFFFFFFFFFFF)
+        if not fragments:
+            continue
+        if not spare:
+            out.append(mixed(shingles + name))
+            continue
         # The first shingle hash of each fragment; the products stay below 2^64.
         edges = (np.arange(fragments + 1, dtype=np.float64) / fragments * 2.0**63).astype(np.uint64)
         salt = 0

@@ -46,6 +46,18 @@ def test_blocks_give_the_same_components(table, monkeypatch):
     assert found(ng.jaccard_components(table(docs))) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("threshold", [75, 80, 90, 95, 100])
+def test_other_thresholds_and_shingles(table, threshold):
+    docs = corpus(threshold)[:110]
+    want = [(doc, n, doc if n == 0 else component, links) for doc, n, component, links in jaccard(docs, threshold)]
+    assert found(ng.jaccard_components(table(docs), threshold=threshold)) == sorted(want, key=str)
+
+
+def test_low_thresholds_are_refused():
+    with pytest.raises(ValueError):
+        ng.Classes(50)
+
+
 @pytest.mark.parametrize("size", [9, 10, 30, 100, 1000, 5000])
 def test_linked_sets_share_a_segment(size):
     rng = np.random.default_rng(size)
