@@ -237,7 +237,7 @@ class Tables:
         return self.raw("part").select(F.lower("p_type").alias("signature"), gene_of("p_partkey").alias("gene"))
 
     def signature_file(self) -> str:
-        """One JSON object per line; a gene list is split over lines by brand so that no line grows with the table."""
+        """One JSON object per line; a gene list is split over lines by ranges of keys so that no line grows with the table."""
 
         def write(path: str) -> None:
             part = self.raw("part").select(

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from doseframe.functions.frames import rows_table
+from literals import rows_table
 from doseframe.operators import aggregates as A
 from doseframe.operators import joins as J
 from doseframe.operators import sets as U
