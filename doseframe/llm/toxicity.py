@@ -45,7 +45,6 @@ LEAST_CHI2 = 25.0
 NEIGHBOURS = 15
 BLOCK = 64
 BEGINNINGS = (4, 5, 6)
-REMEMBERED = 500_000
 
 # Letters keep their place and A-Z become a-z; every byte beyond ASCII counts as a letter.
 LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -70,21 +69,21 @@ class Features:
 
     def __init__(self, vocabulary: list[bytes]):
         self.number = {f: i for i, f in enumerate(vocabulary)}
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        # The first letters of all features; few other words begin so.
+        self.heads = {f.rstrip(b"$")[:3] for f in vocabulary}
 
     def of(self, raw: bytes) -> dict[int, int]:
         """Counts by number; words with no feature are counted under the number after the last."""
         found: dict[int, int] = {}
-        known, rest = self.known, len(self.number)
+        number, heads, others = self.number, self.heads, 0
         for word, n in counted(raw).items():
-            numbers = known.get(word)
-            if numbers is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                number = self.number
-                known[word] = numbers = tuple(number[f] for f in word_features(word) if f in number) or (rest,)
+            numbers = [number[f] for f in word_features(word) if f in number] if word[:3] in heads else ()
             for i in numbers:
                 found[i] = found.get(i, 0) + n
+            if not numbers:
+                others += n
+        if others:
+            found[len(number)] = others
         return found
 
 
