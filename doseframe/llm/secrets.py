@@ -3,9 +3,9 @@
 Each text is scanned as it stands (the base). A worklist then unwraps encoded
 stretches of every layer: percent escapes, ``\\u`` escapes, base64, and gzip or
 zlib data found inside base64. Every decoded layer is scanned and searched for
-further layers until nothing new turns up; a layer whose content was seen
-before in the text is not opened again, so cycles end. Each layer carries, for
-each of its characters, the span of the text it came from; a finding inside a
+further layers until nothing new turns up. A content is scanned and unwrapped
+once and mapped at every place where it occurs; among the layers below one
+place it counts once, so cycles end. Each layer carries, for each of its characters, the span of the text it came from; a finding inside a
 layer is reported at the span of the text that encodes it. Percent and ``\\u``
 escapes map character by character; base64 maps to the whole encoded stretch.
 
@@ -47,7 +47,7 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PRINTABLE = re.compile(r"[^\x00-\x08\x0E-\x1F\x7F]*")
 
 Finding = tuple[int, int, int]
-Layer = tuple[str, list[int] | None, list[int] | None, tuple[int, int]]
+Layer = tuple[str, list[int] | None, list[int] | None]
 
 SPANS = T.ArrayType(
     T.StructType(
@@ -160,34 +160,54 @@ def inner_layers(text: str):
             yield m.start(), m.end(), content, None, None
 
 
+class Layers:
+    """The layers of one text; each distinct content is scanned and unwrapped once, however often it occurs."""
+
+    def __init__(self) -> None:
+        self.opened: dict[str, tuple[list[Finding], list]] = {}
+        self.reached: dict[str, frozenset[int]] = {}
+
+    def open(self, content: str) -> tuple[list[Finding], list]:
+        if content not in self.opened:
+            self.opened[content] = scan(content), list(inner_layers(content))
+        return self.opened[content]
+
+    def kinds(self, content: str) -> frozenset[int]:
+        """Kinds of all findings in a content and in the layers below it, for places where only the whole maps."""
+        if content not in self.reached:
+            found: set[int] = set()
+            seen, work = {content}, [content]
+            while work:
+                findings, inner = self.open(work.pop())
+                found.update(kind for _, kind, _ in findings)
+                fresh = {content for _, _, content, _, _ in inner} - seen
+                seen |= fresh
+                work += fresh
+            self.reached[content] = frozenset(found)
+        return self.reached[content]
+
+
 def hidden(text: str) -> set[Finding]:
     """Findings in decoded layers, at their spans of the text."""
     found: set[Finding] = set()
-    seen = {text}
-    work: deque[Layer] = deque([(text, None, None, (0, len(text)))])
+    layers = Layers()
+    # Layers that map character by character; escapes get shorter when decoded, so none is its own ancestor.
+    work: deque[Layer] = deque([(text, None, None)])
     while work:
-        layer, starts, ends, whole = work.popleft()
+        layer, starts, ends = work.popleft()
 
-        def place(a: int, b: int, starts=starts, ends=ends, whole=whole, root=layer is text) -> tuple[int, int]:
-            if root:
-                return a, b
-            return (starts[a], ends[b - 1]) if starts is not None else whole
+        def place(a: int, b: int, starts=starts, ends=ends) -> tuple[int, int]:
+            return (a, b) if starts is None else (starts[a], ends[b - 1])
 
-        for a, b, content, inner_starts, inner_ends in inner_layers(layer):
-            if content in seen:
-                continue
-            seen.add(content)
+        for a, b, content, inner_starts, inner_ends in layers.open(layer)[1]:
             if inner_starts is None:
-                child: Layer = (content, None, None, place(a, b))
-            elif layer is text or starts is not None:
-                spans = [place(s, e) for s, e in zip(inner_starts, inner_ends)]
-                child = (content, [s for s, _ in spans], [e for _, e in spans], place(a, b))
-            else:
-                child = (content, None, None, whole)
-            for s, kind, e in scan(content):
-                s, e = (child[1][s], child[2][e - 1]) if child[1] is not None else child[3]
-                found.add((s, kind, e))
-            work.append(child)
+                s, e = place(a, b)
+                found.update((s, kind, e) for kind in layers.kinds(content))
+                continue
+            spans = [place(s, e) for s, e in zip(inner_starts, inner_ends)]
+            firsts, lasts = [s for s, _ in spans], [e for _, e in spans]
+            found.update((firsts[s], kind, lasts[e - 1]) for s, kind, e in layers.open(content)[0])
+            work.append((content, firsts, lasts))
     return found
 
 

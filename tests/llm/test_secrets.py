@@ -62,6 +62,21 @@ def test_cycles_and_noise_end():
     assert secrets.hidden(bomb) == set()
 
 
+def test_same_code_at_many_places():
+    line = f"password={KEY}"
+    b64 = base64.b64encode(line.encode()).decode()
+    url = "".join(f"%{b:02X}" for b in line.encode())
+    quoted = "".join(f"%{b:02X}" for b in b64.encode())
+    outer = base64.b64encode(f"x {b64} y {b64}".encode()).decode()
+    text = f"{b64} a {b64} {url} b {url} {quoted} c {outer} {outer}"
+    want = set()
+    for code in (b64, quoted, outer):
+        want |= {(m.start(), kind, m.end()) for m in re.finditer(re.escape(code), text) for kind in (0, 1)}
+    for m in re.finditer(re.escape(url), text):
+        want |= {(m.start(), 0, m.end()), (m.end() - 3 * len(KEY), 1, m.end())}
+    assert secrets.hidden(text) == want
+
+
 def test_operator(table):
     line = f"token = {KEY}"
     docs = [(1, line), (2, base64.b64encode(line.encode()).decode()), (3, None), (4, ""), (None, "f" * 40), (1, line), (5, "x" * 200_000 + line)]
