@@ -8,6 +8,7 @@ once and mapped at every place where it occurs; among the layers below one
 place it counts once, so cycles end. Each layer carries, for each of its characters, the span of the text it came from; a finding inside a
 layer is reported at the span of the text that encodes it. Percent and ``\\u``
 escapes map character by character; base64 maps to the whole encoded stretch.
+All escapes of a layer are decoded together with the text between them.
 
 Null and empty texts have no findings. Repeated rows are scanned each. Whole
 texts are scanned whatever their length. Decompression stops at ``LAYER_BYTES``
@@ -40,9 +41,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_VALUE = 8
 
-URL = re.compile(r"(?:[A-Za-z0-9._~+-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+-]*")
-ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|%[0-9A-Fa-f]{2}")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})")
+# Runs of percent escapes, and single \u escapes or surrogate pairs of them.
+ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PRINTABLE = re.compile(r"[^\x00-\x08\x0E-\x1F\x7F]*")
 
@@ -104,56 +104,49 @@ def unbase64(chunk: str) -> str | None:
         return None
 
 
-def unescaped(text: str, offset: int) -> tuple[str, list[int], list[int]]:
+def unescaped(text: str) -> tuple[str, list[int], list[int]]:
     """Percent and ``\\u`` escapes decoded once; for each character its start and end in the layer above."""
     out: list[str] = []
     starts: list[int] = []
     ends: list[int] = []
-    at, n = 0, len(text)
-    while at < n:
-        m = ESCAPE.match(text, at)
-        if not m:
-            out.append(text[at])
-            starts.append(offset + at)
-            ends.append(offset + at + 1)
-            at += 1
-            continue
+    at = 0
+    for run in ESCAPES.finditer(text):
+        out.append(text[at : run.start()])
+        starts.extend(range(at, run.start()))
+        ends.extend(range(at + 1, run.start() + 1))
+        at = run.start()
         if text[at] == "%":
-            raw, end = bytearray(), at
-            while text[end : end + 1] == "%" and (m := ESCAPE.match(text, end)):
-                raw.append(int(text[end + 1 : end + 3], 16))
-                end += 3
-            piece = bytes(raw)
+            piece = bytes.fromhex(run[0].replace("%", ""))
             try:
                 chars = [(c, len(c.encode())) for c in piece.decode()]
             except UnicodeDecodeError:
                 chars = [(chr(b), 1) for b in piece]
             for c, width in chars:
                 out.append(c)
-                starts.append(offset + at)
+                starts.append(at)
                 at += 3 * width
-                ends.append(offset + at)
+                ends.append(at)
         else:
             code, width = int(text[at + 2 : at + 6], 16), 6
-            low = UNICODE.match(text, at + 6)
-            if 0xD800 <= code < 0xDC00 and low and 0xDC00 <= (second := int(text[at + 8 : at + 12], 16)) < 0xE000:
-                code, width = 0x10000 + ((code - 0xD800) << 10) + second - 0xDC00, 12
+            if len(run[0]) == 12:
+                code, width = 0x10000 + ((code - 0xD800) << 10) + int(text[at + 8 : at + 12], 16) - 0xDC00, 12
             out.append(chr(code) if not 0xD800 <= code < 0xE000 else "�")
-            starts.append(offset + at)
+            starts.append(at)
             at += width
-            ends.append(offset + at)
+            ends.append(at)
+    out.append(text[at:])
+    starts.extend(range(at, len(text)))
+    ends.extend(range(at + 1, len(text) + 1))
     return "".join(out), starts, ends
 
 
 def inner_layers(text: str):
-    """(start, end, content, starts, ends) of every encoded stretch of one layer; no starts where only the whole maps."""
-    if "%" in text or "\\u" in text:
-        for m in re.finditer(r"\S+", text):
-            piece = m[0]
-            if ESCAPE.search(piece):
-                content, starts, ends = unescaped(piece, m.start())
-                if content != piece:
-                    yield m.start(), m.end(), content, starts, ends
+    """(start, end, content, starts, ends) of every encoded stretch of one layer; no starts where only the whole maps.
+
+    All escapes of a layer make one inner layer with the text between them, so that findings may cross blanks.
+    """
+    if ESCAPES.search(text):
+        yield 0, len(text), *unescaped(text)
     for m in BASE64.finditer(text):
         content = unbase64(m[0])
         if content is not None:

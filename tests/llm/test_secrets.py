@@ -77,6 +77,18 @@ def test_same_code_at_many_places():
     assert secrets.hidden(text) == want
 
 
+def test_findings_cross_blanks_between_escapes():
+    quoted = r"\u0022password\u0022: \u0022hunter2hunter2\u0022"
+    assert deep(f"see {quoted} there") == {(quoted.removeprefix(r"\u0022").removesuffix(r"\u0022"), 0)}
+    assert deep("x token%3A abcdefgh12 y") == {("token%3A abcdefgh12", 0)}
+    # Blanks inside deeper layers.
+    code = base64.b64encode(b"x token%3A abcdefgh12 y").decode()
+    assert deep(f"see {code}") == {(code, 0)}
+    assert deep("a tok%2565n%3A abcdefgh12 b") == {("tok%2565n%3A abcdefgh12", 0)}
+    # Pairs of surrogates are one character, lone ones too.
+    assert secrets.unescaped(r"\ud83d\ude00a%C3%B1\ud800b")[0] == "\U0001f600a\u00f1\ufffdb"
+
+
 def test_operator(table):
     line = f"token = {KEY}"
     docs = [(1, line), (2, base64.b64encode(line.encode()).decode()), (3, None), (4, ""), (None, "f" * 40), (1, line), (5, "x" * 200_000 + line)]
