@@ -89,6 +89,49 @@ def test_findings_cross_blanks_between_escapes():
     assert secrets.unescaped(r"\ud83d\ude00a%C3%B1\ud800b")[0] == "\U0001f600a\u00f1\ufffdb"
 
 
+def test_all_of_compressed_wrapped_and_mixed_layers(monkeypatch):
+    line = f"password={KEY}".encode()
+    both = {0, 1}
+
+    def kinds(data):
+        code = base64.b64encode(data).decode()
+        found = secrets.hidden(f"see {code} there")
+        assert {(s, e) for s, _, e in found} <= {(4, 4 + len(code))}
+        return {k for _, k, _ in found}
+
+    # Further members, text after them, broken ends, and many layers.
+    assert kinds(gzip.compress(b"first, ") + gzip.compress(line)) == both
+    assert kinds(gzip.compress(b"pass") + gzip.compress(line[4:])) == both
+    assert kinds(gzip.compress(b"first") + b"\0\0" + line) == both
+    assert kinds(gzip.compress(line)[:-6]) == both
+    assert kinds(b"80 " + line) == both and kinds(b"80t" + line) == both
+    deepest = line
+    for _ in range(1500):
+        deepest = zlib.compress(deepest, 0)
+    assert kinds(deepest) == both
+    # Bytes that are not text around it, and text of two bytes a character.
+    assert kinds(b"\x00\xff\x01" + line + b"\x02\xfe") == both
+    assert kinds(line.decode().encode("utf-16")) == both
+    assert kinds(gzip.compress(line.decode().encode("utf-16-be"))) == both
+    # Lines.
+    import random
+
+    noise = bytes(random.Random(3).randrange(256) for _ in range(300))
+    packed = gzip.compress(noise + line)
+    for raw in (packed, b"x" * 50 + line + b"y" * 90):
+        mime = base64.encodebytes(raw).decode().rstrip()
+        for block in (mime, mime.replace("\n", "\r\n"), mime.replace("\n", "\n    ")):
+            for text in (f"a\n\n{block}\n\nend", f"-----BEGIN CERTIFICATE-----\n{block}\n-----END CERTIFICATE-----", f'x="{block}", y'):
+                assert {(text[s:e], k) for s, k, e in secrets.hidden(text)} >= {(block, 0), (block, 1)}, text
+    # Long data in small steps, with a finding on every place of a step's edge and nothing else in the text.
+    monkeypatch.setattr(secrets, "STEP", 64)
+    for n in range(80):
+        assert kinds(gzip.compress(b"," * n + line + b"," * 500)) == both
+        inner = base64.b64encode(b"x," * n + line + b"z" * 100)
+        assert kinds(gzip.compress(b"," * n + inner + b"," * 200)) == both
+        assert kinds(gzip.compress(gzip.compress(noise) + gzip.compress(b"," * n + line))) == both
+
+
 def test_operator(table):
     line = f"token = {KEY}"
     docs = [(1, line), (2, base64.b64encode(line.encode()).decode()), (3, None), (4, ""), (None, "f" * 40), (1, line), (5, "x" * 200_000 + line)]
