@@ -3,8 +3,8 @@
 Writing. Every page becomes one record in a gzip member of its own. Pages with
 the same payload (by SHA-1, and at least ``revisit_bytes`` long) are stored
 once: the page with the largest id is the response, the others are revisit
-records that refer to it and hold no payload. Records are made in tasks and
-written by Spark's own text sink, byte for byte, so archives can lie in any store
+records that refer to it and hold no payload. Records are made in tasks, joined
+to archives of bounded records and bytes, so that any archive fits a reader, and written by Spark's own text sink, byte for byte, so archives can lie in any store
 that Spark writes to. The sink ends each row with a separator, for which an
 empty gzip member is used: it adds nothing to the unpacked stream.
 
@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 
 from doseframe.llm.common import slices
 
-#: Records in one archive file, at most.
+#: Records and packed bytes in one archive file, at most; a larger record has a file of its own.
 ARCHIVE_RECORDS = 4000
+ARCHIVE_BYTES = 32 << 20
 STEP = 64 << 10
 
 # Fixed values of the format.
@@ -114,22 +115,35 @@ def with_responses(pages: DataFrame, page_id: str, html: str, revisit_bytes: int
 
 def write_warc(
     pages: DataFrame, path: str, *, page_id: str = "page_id", html: str = "html", revisit_bytes: int = 0,
-    archive_records: int = ARCHIVE_RECORDS,
+    archive_records: int = ARCHIVE_RECORDS, archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Write archives below ``path`` (a new folder)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive: list[bytes] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(archive)], pa.binary())], names=["value"])
+
         for batch in slices(batches, "html"):
             rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")))
-            packed = [member(record_bytes(p, u, h.encode(), r)) for p, u, h, r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+            for p, u, h, r in rows:
+                packed = member(record_bytes(p, u, h.encode(), r))
+                if archive and (len(archive) >= archive_records or size + len(packed) > archive_bytes):
+                    yield row()
+                    archive, size = [], 0
+                archive.append(packed)
+                size += len(packed)
+        if archive:
+            yield row()
 
     if "url" not in pages.columns:
         pages = pages.withColumn("url", F.lit(""))
     packed = with_responses(pages, page_id, html, revisit_bytes).mapInArrow(run, "value binary")
-    # The sink writes a string's bytes as they are; the cast does not look at them.
+    # A row is an archive. The sink writes a string's bytes as they are; the cast does not look at them.
     packed.select(F.col("value").cast("string")).write.options(
-        encoding="ISO-8859-1", lineSep=EMPTY_MEMBER.decode("latin-1"), maxRecordsPerFile=archive_records, compression="none"
+        encoding="ISO-8859-1", lineSep=EMPTY_MEMBER.decode("latin-1"), maxRecordsPerFile=1, compression="none"
     ).text(path)
 
 

@@ -2,6 +2,8 @@ import base64
 import glob
 import gzip
 import hashlib
+import os
+import random
 
 from compare import actual, connect, differences, expected
 from doseframe.llm import warc
@@ -41,6 +43,17 @@ def test_round_trip(spark, tmp_path):
         assert gzip.decompress(data) == b"".join(contents) and all(c.startswith(b"WARC/1.1\r\n") for c in contents)
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "u", "".join(rng.choices("0123456789abcdef", k=2000 if i else 30_000))) for i in range(40)]
+    path = str(tmp_path / "a")
+    got = round_trip(spark, rows, path, archive_bytes=5000)
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: h for i, _, h in rows} and len(got) == 40
+    sizes = sorted(os.path.getsize(f) for f in glob.glob(path + "/part-*"))
+    # Only the record that is larger by itself is beyond the bound; the separator comes on top.
+    assert sizes[-2] <= 5000 + len(warc.EMPTY_MEMBER) < sizes[-1] and len(sizes) < 30
+
+
 def test_short_payloads_are_not_revisited(spark, tmp_path):
     got = round_trip(spark, [(1, "", "ab"), (2, "", "ab"), (3, "", "abc"), (4, "", "abc")], str(tmp_path / "a"), revisit_bytes=3)
     assert {(r.page_id, r.record_type) for r in got} == {(1, "response"), (2, "response"), (3, "revisit"), (4, "response")}
