@@ -1,9 +1,10 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams.
 
 A window is ``n`` consecutive words of a test item; an item of fewer words, but
-not none, is one window. Windows are tuples of word numbers in a hash set that
-every task gets; a document's words are numbered with the same vocabulary, so a
-hit in the set compares all words of the window and needs no further check.
+not none, is one window. Windows are 64-bit hashes of word numbers in sorted
+arrays that every task gets, with their places in the items' words; a document's
+words are numbered with the same vocabulary. All words of a window are compared
+before it counts as hit.
 
 A set is broadcast only up to ``set_bytes`` bytes of item text. Larger
 benchmarks are dealt into blocks of that size, and every document passes through
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doseframe.llm.common import ALNUM_TABLE, add_columns, words_alnum
+from doseframe.llm.shingles import mixed
 
 WINDOW = 13
 SET_BYTES = 32 << 20
@@ -38,17 +40,32 @@ FIELDS = [
 
 
 class WindowSet:
-    """The windows of one block of items, by length and word numbers."""
+    """The windows of one block of items: by length, their hashes in order and their places in the items' word numbers."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         self.number: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            found = [self.number.setdefault(w, len(self.number) + 1) for w in words_alnum(text)]
-            size = min(n, len(found))
-            ids = np.array(found, dtype=np.int32)
-            for i in range(len(found) - size + 1 if size else 0):
-                self.windows.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), set()).add(item)
+        self.items = [item for item, _ in items]
+        texts = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_alnum(text)], np.int32) for _, text in items]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.words = np.concatenate([np.empty(0, np.int32), *texts])
+        self.begins = np.cumsum(sizes) - sizes
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(n, k) for k in sizes.tolist() if k}):
+            mine = np.flatnonzero(np.minimum(sizes, n) == size)
+            places = np.concatenate([np.arange(self.begins[k], self.begins[k] + sizes[k] - size + 1, dtype=np.int32) for k in mine])
+            hashes = window_hashes(self.words, size)[places]
+            order = np.argsort(hashes, kind="stable")
+            hashes, places = hashes[order], places[order]
+            # A window that an item repeats counts once; places in order keep an item's together.
+            again = hashes[1:] == hashes[:-1]
+            again &= self.item_of(places[1:]) == self.item_of(places[:-1])
+            for k in range(size):
+                again &= self.words[places[1:] + k] == self.words[places[:-1] + k]
+            keep = np.concatenate([[True], ~again])
+            self.windows[size] = hashes[keep], places[keep]
+
+    def item_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, places, side="right") - 1
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans, end exclusive, that windows cover, and the items they come from."""
@@ -57,18 +74,37 @@ class WindowSet:
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        for size, windows in self.windows.items():
+        for size, (hashes, places) in self.windows.items():
             if size > len(ids):
                 continue
             # Only starts of windows without a foreign word can be in the set.
-            for i in np.flatnonzero(unknown[size:] == unknown[:-size]).tolist():
-                found = windows.get(ids[i : i + size].tobytes())
-                if found:
+            starts = np.flatnonzero(unknown[size:] == unknown[:-size])
+            if not len(starts):
+                continue
+            asked = window_hashes(ids, size)[starts]
+            low = np.searchsorted(hashes, asked)
+            there = hashes[np.minimum(low, len(hashes) - 1)] == asked
+            for i, h, at in zip(starts[there].tolist(), asked[there], low[there].tolist()):
+                found = places[at : np.searchsorted(hashes, h, side="right")]
+                # Hashes propose; all words are compared.
+                for k in range(size):
+                    found = found[self.words[found + k] == ids[i + k]]
+                if len(found):
                     spans.append((i, i + size))
-                    items |= found
+                    items.update(self.items[x] for x in self.item_of(found).tolist())
         return spans, items
 
 
+def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the window of ``size`` word numbers from each word that begins one."""
+    values = mixed(ids.astype(np.uint64))
+    count = max(0, len(ids) - size + 1)
+    out = np.zeros(count, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + values[k : k + count]
+    return out
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):

@@ -50,3 +50,20 @@ def test_documents_and_spans_are_removed(spark, table):
     assert sorted(r.doc_id for r in dec.remove_contaminated(docs, bench).collect()) == [2, 3, 4]
     texts = {r.doc_id: r.text for r in dec.remove_spans(docs, bench).collect()}
     assert texts == {1: "see: !", 2: long + " .", 3: long, 4: None}
+
+
+def test_window_set_is_small_and_compares_words(monkeypatch):
+    import pickle
+
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(40_000)).encode()
+    held = dec.WindowSet([("a", text), ("b", text)], dec.WINDOW)
+    # About 80,000 windows: 12 bytes each and 4 for a word, besides the vocabulary.
+    assert len(pickle.dumps(held)) < 80_000 * 18
+    words = text.split()
+    assert held.hits(words[100:113]) == ([(0, 13)], {"a", "b"})
+    # Equal hashes of unlike windows are told apart.
+    monkeypatch.setattr(dec, "window_hashes", lambda ids, size: dec.np.zeros(max(0, len(ids) - size + 1), dec.np.uint64))
+    held = dec.WindowSet([("a", b"x y z"), ("b", b"z y x"), ("c", b"x y z x y z")], 3)
+    assert held.hits(b"q x y z q".split()) == ([(1, 4)], {"a", "c"})
+    assert held.hits(b"y y z".split()) == ([], set())
