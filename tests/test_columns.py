@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from doseframe.functions import columns as C
-from doseframe.functions.frames import nan_to_null, rows_table, with_hash_position
+from doseframe.functions.frames import nan_to_null, with_hash_position
 from doseframe.operators import filters as S
 from doseframe.schema import DE_SCHEMA
+from literals import rows_table
 
 
 def one(spark, expr):
