@@ -118,3 +118,39 @@ WITH RECURSIVE d AS (
 SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, component_id, coalesce(n, 0)::BIGINT AS n_links
 FROM s JOIN named ON named.x = s.r LEFT JOIN degrees ON degrees.x = s.r
 """
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+    SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS g
+    FROM words, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k
+), f AS (
+    SELECT lang, g, count(*)::HUGEINT AS a FROM grams GROUP BY lang, g
+), cuts AS (
+    SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND a >= 10
+), scores AS (
+    SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a * y.a) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]
+), candidates AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), longer AS (
+    SELECT lang, part, max(a) AS a FROM (
+        SELECT lang, unnest([g[1:2], g[2:3]]) AS part, a FROM candidates WHERE len(g) = 3
+    ) GROUP BY lang, part
+), kept AS (
+    SELECT c.lang, array_to_string(c.g, ' ') AS phrase, c.a, c.l, c.r, c.score
+    FROM candidates c LEFT JOIN longer ON longer.lang = c.lang AND longer.part = c.g
+    WHERE longer.a IS NULL OR 100 * longer.a < 50 * c.a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

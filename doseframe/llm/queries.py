@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.llm import decontaminate as dec
-from doseframe.llm import bpe, langid, line_dedup, ngram_join, order_minhash, phrases, secrets, toxicity, warc
+from doseframe.llm import bpe, collocations, langid, line_dedup, ngram_join, order_minhash, phrases, secrets, toxicity, warc
 from doseframe.llm.common import bucket5, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, on all documents. The module lies at the repository's top and imports from here."""
