@@ -60,6 +60,9 @@ GROWTH = 16
 #: Rows of tables that are broadcast, at most: one row per language.
 SMALL_ROWS = 100_000
 
+#: Rows that go back to Spark at once.
+ROWS = 1 << 15
+
 #: Hash parts into which a language's phrases are dealt when they are ranked.
 RANK_PARTS = 64
 
@@ -109,7 +112,12 @@ def counted_in(raw: bytes, lang: bytes, size: int, words: Bits | None, firsts: B
         passes = words.holds(hashes)[ids]
         follows = follows & passes[1:] & passes[:-1]
     at = np.flatnonzero(follows)
-    codes, place, counts = np.unique(ids[at] * len(distinct) + ids[at + 1], return_inverse=True, return_counts=True)
+    codes = ids[at] * len(distinct) + ids[at + 1]
+    if size == 2:
+        # Where each pair stands matters only for triples, and costs memory.
+        codes, counts = np.unique(codes, return_counts=True)
+    else:
+        codes, place = np.unique(codes, return_inverse=True)
     first, second = np.divmod(codes, max(len(distinct), 1))
     pairs = mixed(hashes[first], hashes[second])
     if size == 2:
@@ -141,7 +149,9 @@ def phrase_counts(texts: DataFrame, size: int, words: Bits | None = None, firsts
                 arrays = [pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(counts), np.int64)))]
                 arrays += [c.cast(pa.binary()) for c in columns]
                 arrays += [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", *names, "h", "a"])
+                rows = pa.RecordBatch.from_arrays(arrays, names=["lang", *names, "h", "a"])
+                for start in range(0, rows.num_rows, ROWS):
+                    yield rows.slice(start, ROWS)
 
     schema = ", ".join(["lang binary", *[f"{n} binary" for n in names], "h bigint", "a bigint"])
     return texts.mapInArrow(run, schema).groupBy("lang", *names, "h").agg(F.sum("a").alias("a"))
