@@ -60,6 +60,9 @@ GROWTH = 16
 #: Rows of tables that are broadcast, at most: one row per language.
 SMALL_ROWS = 100_000
 
+#: Bytes of text counted at once, beside one row of any length.
+COUNTED_BYTES = 4 << 20
+
 #: Rows that go back to Spark at once.
 ROWS = 1 << 15
 
@@ -139,7 +142,7 @@ def phrase_counts(texts: DataFrame, size: int, words: Bits | None = None, firsts
     names = WORD_COLUMNS[:size]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", COUNTED_BYTES):
             by_lang: dict[bytes, list[bytes]] = {}
             for lang, raw in zip(raw_texts(batch.column("lang")), raw_texts(batch.column("text"))):
                 if raw:

@@ -46,14 +46,14 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(kind).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most SLICE_BYTES of text, or of one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of text, or of one row."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).to_pylist()
         start, total = 0, 0
         for i, n in enumerate(sizes):
             n = n or 0
-            if i > start and total + n > SLICE_BYTES:
+            if i > start and total + n > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
