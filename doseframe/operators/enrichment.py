@@ -53,11 +53,14 @@ def best_rows(de: DataFrame, row_key: str) -> DataFrame:
     )
 
 
-def rank_rows(best: DataFrame) -> DataFrame:
-    """Position (from 0, highest metric first) and gene count within each treatment."""
+def rank_rows(best: DataFrame, spread_out: bool = True) -> DataFrame:
+    """Position (from 0, highest metric first) and gene count within each treatment.
+
+    Rows that already lie in buckets by treatment need not be spread again.
+    """
     per_treatment = Window.partitionBy(*KEY)
     scored = best.select(*KEY, "gene", rank_metric(F.col("log2FoldChange"), F.col("padj")).alias("metric"))
-    return spread(scored, *KEY).withColumns(
+    return (spread(scored, *KEY) if spread_out else scored).withColumns(
         {
             "position": F.row_number().over(per_treatment.orderBy(F.col("metric").desc(), "gene")) - 1,
             "n_genes": F.count(F.lit(1)).over(per_treatment),

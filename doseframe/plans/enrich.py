@@ -15,6 +15,7 @@ from doseframe.operators.joins import skip_cached
 from doseframe.operators.nulls import null_tails
 from doseframe.operators.sets import union_results
 from doseframe.schema import TREATMENT
+from doseframe.sources.results import write_bucketed
 
 
 @dataclass(frozen=True)
@@ -68,23 +69,23 @@ def enrich_cell_line(
 
 
 def index_and_enrich(
-    de: DataFrame, sets: DataFrame, row_key: str, path: str, params: Prerank = Prerank()
+    de: DataFrame, sets: DataFrame, row_key: str, path: str, params: Prerank = Prerank(), buckets: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Treatment index and enrichment from one pass over the facts.
 
     The pass reduces the facts to one row per treatment and gene, which is
-    written to ``path``, a new folder in shared storage that the caller owns;
-    index and ranking both start from it.
+    written to ``path``, a new folder in shared storage that the caller owns, in
+    ``buckets`` by treatment (the session's number of shuffle partitions by default).
+    Index and ranking both read the buckets as they are: neither shuffles again.
     """
     usable = has_stats() & ~is_ensembl("gene_name")
     key = F.when(usable, F.col(row_key))
-    reduced = de.groupBy(*TREATMENT, F.upper("gene_name").alias("gene")).agg(
+    reduced = E.keyed(de).groupBy(*E.KEY, F.upper("gene_name").alias("gene")).agg(
         F.min_by("log2FoldChange", key).alias("log2FoldChange"),
         F.min_by("padj", key).alias("padj"),
         F.min("file_num").alias("file_num"),
     )
-    reduced.write.parquet(path)
-    genes = de.sparkSession.read.parquet(path)
-    index = genes.groupBy(*TREATMENT).agg(F.min("file_num").alias("file_num"))
+    genes = write_bucketed(reduced, path, E.KEY, buckets)
+    index = E.public(genes.groupBy(*E.KEY).agg(F.min("file_num").alias("file_num")))
     usable_genes = genes.where("gene IS NOT NULL AND log2FoldChange IS NOT NULL AND padj IS NOT NULL")
-    return index, prerank_ranked(E.rank_rows(E.keyed(usable_genes)), sets, params)
+    return index.select(*TREATMENT, "file_num"), prerank_ranked(E.rank_rows(usable_genes, spread_out=False), sets, params)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +60,16 @@ def write_index(entries: DataFrame, path: str) -> None:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX_SCHEMA).parquet(path)
+
+
+def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` to the new folder ``path`` in buckets by ``keys`` and read it back as a table that knows them.
+
+    Operators that need rows together by ``keys`` then read without a shuffle. Each
+    bucket is one file, as rows are dealt by the same hash before they are written.
+    The table's name holds for the session; the files stay the caller's.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -17,6 +17,15 @@ DE = "gene_name string, log2FoldChange double, padj double, drug string, concent
 PARAMS = Prerank(min_size=3, max_size=12, permutations=30)
 
 
+def scores_at(positions, weights):
+    """Scores of sets given by the ranks of their genes, one set a row."""
+    return N.Stretches(list(positions), weights).scores(np.arange(len(weights))[None, :])[0]
+
+
+def permuted_positions(codes, numbers):
+    return np.argsort(N.permuted_order(codes, numbers), axis=1)
+
+
 def full_running_sum(weights, is_hit):
     """The score by walking the whole ranking, gene by gene."""
     total, n_miss = weights[is_hit].sum(), (~is_hit).sum()
@@ -36,7 +45,7 @@ def test_scores_at_hits_equal_full_walk(data):
     mask = np.zeros(n, bool)
     mask[hits] = True
     want = full_running_sum(weights, mask)
-    got = N.scores_at(hits[None, :], weights)[0]
+    got = scores_at(hits[None, :], weights)[0]
     if want is None:
         assert math.isnan(got)
     else:
@@ -95,7 +104,7 @@ def brute(facts, sets, params):
         genes, weights = ranking.gene.to_numpy(), ranking.metric.abs().to_numpy()
         names = np.sort(genes)
         codes = np.array([int(__import__("hashlib").md5(g.encode()).hexdigest()[:8], 16) for g in names])
-        shuffles = N.permuted_positions(codes, E.permutation_base(params.seed) + np.arange(params.permutations))
+        shuffles = permuted_positions(codes, E.permutation_base(params.seed) + np.arange(params.permutations))
         found = []
         for name, wanted in members.items():
             hit = np.isin(genes, list(wanted))
@@ -155,10 +164,41 @@ def test_score_is_null_without_weight_or_misses(spark):
         assert E.enrichment_score(E.set_membership(ranked, sets, 1, 10)).first().es is None
 
 
+def test_orders_follow_the_stated_key():
+    """The key spelled out with whole numbers, also for equal codes and a single gene."""
+    rng = np.random.default_rng(5)
+    for codes in (rng.integers(0, 2**32, 500), np.array([7, 7, 7, 2**32 - 1, 0]), np.array([12])):
+        for number in (0, 4_200_000, 99_999_999):
+            keys = []
+            for i, c in enumerate(codes.tolist()):
+                x = (c + number * 1000003) % 2147483647
+                x = (x ^ x >> 15) * 739982445 % 2147483647
+                x = (x ^ x >> 12) * 695872825 % 2147483647
+                keys.append((x ^ x >> 15, i))
+            assert N.permuted_order(codes, np.array([number]))[0].tolist() == [i for _, i in sorted(keys)]
+
+
+def test_stretches_do_not_depend_on_each_other(monkeypatch):
+    """Scores of a set alone, beside heavy sets, and in blocks of any size."""
+    rng = np.random.default_rng(8)
+    n = 400
+    weights, codes = np.concatenate([[300.0] * 5, rng.exponential(1e-3, n - 5)]), rng.integers(0, 2**32, n)
+    sets = [rng.choice(n, k, replace=False) for k in (3, 50, 7, 200, 1, n)]
+    together = N.Stretches(sets, weights).null_scores(codes, 5, 40)
+    alone = np.concatenate([N.Stretches([s], weights).null_scores(codes, 5, 40) for s in sets])
+    assert np.isnan(together[-1]).all() and np.allclose(together[:-1], alone[:-1], atol=1e-10)
+    monkeypatch.setattr(N, "BLOCK_CELLS", 1)
+    assert np.array_equal(N.Stretches(sets, weights).null_scores(codes, 5, 40), together, equal_nan=True)
+    order = N.permuted_order(codes, np.array([5]))[0]
+    rank = np.argsort(order)
+    for i, s in enumerate(sets[:-1]):
+        assert abs(together[i, 0] - full_running_sum(weights, np.isin(np.arange(n), rank[s]))) < 1e-9
+
+
 def test_permutations_are_uniform():
     """Every gene lands in every tenth of the ranking about equally often, and pairs are not tied together."""
     codes = np.array([int(__import__("hashlib").md5(f"G{i}".encode()).hexdigest()[:8], 16) for i in range(200)])
-    positions = N.permuted_positions(codes, E.permutation_base(42) + np.arange(2000))
+    positions = permuted_positions(codes, E.permutation_base(42) + np.arange(2000))
     assert (np.sort(positions, axis=1) == np.arange(200)).all()
     counts = np.stack([(positions // 20 == k).sum(axis=0) for k in range(10)])
     chi = ((counts - 200) ** 2 / 200).sum(axis=0)
@@ -171,8 +211,8 @@ def test_null_scores_look_like_random_sets():
     rng = np.random.default_rng(3)
     weights = np.sort(rng.exponential(size=300))[::-1]
     codes = rng.integers(0, 2**32, 300)
-    ours = N.scores_at(N.permuted_positions(codes, np.arange(4000))[:, :20], weights)
-    drawn = N.scores_at(np.stack([rng.choice(300, 20, replace=False) for _ in range(4000)]), weights)
+    ours = scores_at(permuted_positions(codes, np.arange(4000))[:, :20], weights)
+    drawn = scores_at(np.stack([rng.choice(300, 20, replace=False) for _ in range(4000)]), weights)
     for q in (0.05, 0.25, 0.5, 0.75, 0.95):
         assert abs(np.quantile(ours, q) - np.quantile(drawn, q)) < 0.05
 
@@ -220,6 +260,20 @@ def test_enrichment_shuffles_twice(facts, sets):
     assert len(on_treatment) == 2, plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intermediate_is_read_without_another_shuffle(facts, sets, tmp_path):
+    """Index and enrichment start from one table in buckets by treatment."""
+    index, found = index_and_enrich(facts, F.broadcast(sets), "ord", str(tmp_path / "genes"), PARAMS, buckets=3)
+    assert "Exchange" not in plan_of(index)
+    # The significance windows pool by sign of the score, which is another key.
+    before = plan_of(found).split("FlatMapGroupsInArrow")[1]
+    assert "Exchange hashpartitioning(cell_line" not in before and "SelectedBucketsCount: 3 out of 3" in before
+    assert index.count() == 3 and results(found) == results(prerank(facts, sets, "ord", PARAMS))
+
+
 def test_sets_without_a_score_stay_in_both_modes(spark):
     """A set of weightless genes and one of all genes, next to ordinary ones."""
     rows = [(f"g{g}", float(g - 10), 1.0 if g < 4 else 0.01 + g / 100, "d", 5.0, "c", g, 0) for g in range(20)]
