@@ -383,7 +383,10 @@ BODIES = {
     "signature_coverage": """
         SELECT lower(p_type) AS signature, count(*) FILTER (p_partkey % 3 <> 0) AS n_found, count(*) AS n_total FROM part GROUP BY 1""",
     "treatment_grid": """
-        SELECT drug, n_potential, coalesce(n, 0) AS n_present, n_potential - coalesce(n, 0) AS n_missing
+        SELECT drug, n_potential, coalesce(n, 0) AS n_present, n_potential - coalesce(n, 0) AS n_missing,
+             coalesce((SELECT string_agg(l.cell_line, ',' ORDER BY l.cell_line)
+                       FROM (SELECT DISTINCT cell_name AS cell_line FROM cells UNION SELECT 'UNLISTED') l
+                       WHERE NOT EXISTS (SELECT 1 FROM de WHERE de.drug = drugs.drug AND de.cell_line = l.cell_line)), '') AS missing
         FROM drugs LEFT JOIN (SELECT drug, count(DISTINCT cell_line) AS n FROM de WHERE cell_line IN (SELECT cell_name FROM cells) GROUP BY drug) USING (drug),
              (SELECT count(DISTINCT cell_name) + 1 AS n_potential FROM cells)""",
     "signature_scores": f"SELECT drug, cell_line, signature, n_genes, {rnd('log2fc', 'padj', 'pct_change')} FROM scores",
@@ -426,6 +429,10 @@ BODIES = {
                            cell_line IN (SELECT cell_name FROM cells WHERE gene = 'NATION_5') AS b FROM items) i)
         GROUP BY question_id, mutation_group""",
     "avg_lfc_by_treatment": "SELECT drug, cell_line, round(avg(log2FoldChange), 10) + 0.0 AS mean_lfc FROM de GROUP BY drug, cell_line",
+    "avg_lfc_one_gene": """
+        SELECT drug, cell_line, round(avg(log2FoldChange), 10) + 0.0 AS mean_lfc FROM de WHERE gene_name = 'g7' GROUP BY drug, cell_line""",
+    "avg_lfc_one_gene_sql": """
+        SELECT drug, cell_line, round(avg(log2FoldChange), 10) + 0.0 AS mean_lfc FROM de WHERE gene_name = 'g11' GROUP BY drug, cell_line""",
     "top_activated": f"SELECT {KEY}, round(nes, 6) AS nes, rank FROM ({top('', 'nes DESC', 3, 'nes > 0')})",
     "top_repressed": f"SELECT {KEY}, round(nes, 6) AS nes, rank FROM ({top('', 'nes', 3, 'nes < 0')})",
     "top_genes": f"{top_gene('up', 'DESC')} UNION ALL {top_gene('down', 'ASC')}",

@@ -365,7 +365,7 @@ def signature_coverage(t: Tables) -> DataFrame:
 def treatment_grid(t: Tables) -> DataFrame:
     # One line more than was ever tested.
     lines = t.cells().select(F.col("cell_name").alias("cell_line")).union(t.spark.range(1).select(F.lit("UNLISTED")))
-    return J.treatment_grid(t.de(), t.drugs(), lines)
+    return J.treatment_grid(t.de(), t.drugs(), lines).withColumn("missing", joined("missing"))
 
 
 # Aggregations
@@ -449,6 +449,21 @@ def avg_lfc_by_treatment(t: Tables) -> DataFrame:
     return rounded(A.avg_lfc_by_treatment(t.de()), "mean_lfc")
 
 
+@query
+def avg_lfc_one_gene(t: Tables) -> DataFrame:
+    """The documented form: one gene, whose name skips most pages of the files."""
+    return rounded(A.avg_lfc_by_treatment(t.de(), gene="g7"), "mean_lfc")
+
+
+@query
+def avg_lfc_one_gene_sql(t: Tables) -> DataFrame:
+    text = """
+        SELECT drug, cell_line, round(avg(log2FoldChange), 10) AS mean_lfc
+        FROM {parquet} WHERE gene_name = 'g11' GROUP BY drug, cell_line
+    """
+    return D.sql_over_de(t.spark, text, D.scan_de(t.spark, t.de_store()))
+
+
 # Ranking and enrichment
 
 

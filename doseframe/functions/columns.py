@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,19 +78,15 @@ def rank_metric(log2fc: Column, padj: Column, floor: float = 1e-300) -> Column:
     return F.signum(log2fc) * -F.log10(F.greatest(padj, F.lit(floor))) + F.lit(0.0)
 
 
-def substrings(name: Column) -> Column:
-    """All distinct substrings of a lower-cased name, the empty one included.
-
-    Turns "contains" between two tables into an equality join.
-    """
+def grams(name: Column, sizes: Sequence[int]) -> Column:
+    """Distinct stretches of a lower-cased name of the given lengths: at most one per character and length."""
     low = F.lower(name)
-    size = F.length(low)
 
-    def starting_at(start: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), size - start + 1), lambda width: F.substring(low, start, width))
+    def of_length(k: int) -> Column:
+        starts = F.when(F.length(low) >= k, F.sequence(F.lit(1), F.length(low) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.substring(low, at, F.lit(k)))
 
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), size), starting_at))
-    return F.when(size > 0, F.array_distinct(F.array_append(parts, F.lit("")))).otherwise(F.array(F.lit("")))
+    return F.array_distinct(F.concat(*[of_length(k) for k in sizes]))
 
 
 # Fixed values of the permutation key: a prime modulus and two multipliers, all

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doseframe.functions.columns import is_ensembl, matches, substrings, within
+from doseframe.functions.columns import grams, is_ensembl, matches, within
 from doseframe.schema import TREATMENT
 
 
@@ -62,14 +62,38 @@ def genes_in_list(de: DataFrame, genes: Sequence[str] | DataFrame, col: str = "g
     return de.where(F.col(col).isin(list(genes)))
 
 
+# Longest stretch of a name in the posting index; shorter ones serve requests that are shorter.
+GRAM = 3
+
+
+def postings(vocabulary: DataFrame, name_col: str) -> DataFrame:
+    """Posting index of names: a row per name and distinct stretch of one to three characters, and one for the empty stretch."""
+    parts = F.concat(F.array(F.lit("")), grams(F.col(name_col), range(1, GRAM + 1)))
+    return vocabulary.where(F.col(name_col).isNotNull()).select(name_col, F.explode(parts).alias("_gram"))
+
+
 def substring_matches(requested: DataFrame, vocabulary: DataFrame, request_col: str, name_col: str) -> DataFrame:
     """Pairs (request, name) where the name contains the request, ignoring case.
 
-    Names are expanded to their substrings so the match is an equality join.
+    Every stretch of a request is one of its names' too, so a request looks up the
+    names under its rarest stretch of three characters only (the whole request if it
+    is shorter) and those are verified. Index and lookup grow with the length of a
+    name and not with its square.
     """
-    parts = vocabulary.select(name_col, F.explode(substrings(F.col(name_col))).alias("_part"))
-    asked = requested.select(request_col, F.lower(request_col).alias("_part"))
-    return asked.join(parts, "_part").drop("_part")
+    index = postings(vocabulary, name_col)
+    own = F.when(F.length(F.lower(request_col)) < GRAM, F.array(F.lower(request_col))).otherwise(grams(F.col(request_col), [GRAM]))
+    asked = requested.select(request_col).distinct().select(request_col, F.explode(own).alias("_gram"))
+    counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # A stretch that no name has leaves the request without a match.
+    rarest = (
+        asked.join(counts, "_gram", "left")
+        .groupBy(request_col)
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_rarest"))
+        .where("_rarest.n > 0")
+        .select(request_col, F.col("_rarest.gram").alias("_gram"))
+    )
+    hit = F.contains(F.lower(name_col), F.lower(request_col))
+    return requested.select(request_col).join(rarest.join(index, "_gram").where(hit).drop("_gram"), request_col)
 
 
 def validate_names(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,9 @@ from doseframe.operators.filters import select_existing_cols
 from doseframe.schema import DE_SCHEMA, TREATMENT
 from doseframe.sources.de import scan_de
 
+# Cell lines in one word of a bitmap.
+WORD_BITS = 64
+
 DRUG_COLUMNS = ["drug", "moa-fine", "moa-broad", "targets"]
 CELL_COLUMNS = ["cell_name", "Driver_Gene_Symbol", "Driver_ProtEffect_or_CdnaEffect", "Organ"]
 
@@ -63,15 +66,21 @@ def indexed_fetch(
 ) -> DataFrame:
     """Rows of the requested treatments, read from the files the index names.
 
-    ``index`` has every file of a treatment (``write_index``). The scan is always
-    narrowed to the named files, since only a list known to the planner keeps
-    the others closed; the list is at most as long as the table's list of files,
-    which the driver holds anyway.
+    ``index`` has every file of a treatment (``write_index``). The named files come
+    from a subquery that Spark runs before the scan, whose partitions (``write_de``
+    has a folder per file) it then prunes: nothing runs while the query is built, and
+    files without a requested treatment stay closed. The subquery's result is at most
+    as long as the table's list of files. Facts whose files are numbered by name only
+    need a list known to the planner for that, which is collected.
     """
     wanted = keys.select(*TREATMENT).distinct()
-    files = index.join(wanted, TREATMENT, "left_semi").select("file_num").distinct()
-    numbers = [r["file_num"] for r in files.collect()]
-    return scan_de(spark, path, schema).where(F.col("file_num").isin(numbers)).join(wanted, TREATMENT, "left_semi")
+    files = index.join(wanted, TREATMENT, "left_semi").select("file_num")
+    facts = scan_de(spark, path, schema)
+    if "file_num" in spark.read.schema(schema).parquet(path).columns:
+        named = F.array_contains(files.agg(F.collect_set("file_num")).scalar(), F.col("file_num"))
+    else:
+        named = F.col("file_num").isin([r["file_num"] for r in files.distinct().collect()])
+    return facts.where(named).join(wanted, TREATMENT, "left_semi")
 
 
 def assemble_treatments(keys: DataFrame, drugs: DataFrame, cell_lines: DataFrame) -> DataFrame:
@@ -132,24 +141,34 @@ def signature_coverage(signatures: DataFrame, genes: DataFrame, gene_col: str =
 
 
 def treatment_grid(present: DataFrame, drugs: DataFrame, cell_lines: DataFrame) -> DataFrame:
-    """Per drug: how many of all cell lines it could be paired with, and how many it was.
+    """Per drug: how many of all cell lines it could be paired with, how many it was, and which are missing.
 
-    The grid itself is never built; potential pairs are the count of cell lines.
+    The grid itself is never built. Cell lines are numbered in order of name; the
+    facts combine, before their shuffle, to a bitmap of tested lines per drug (words of
+    64 lines), and the missing ones are the names whose bit is not set. The list of
+    names is bounded by the vocabulary of cell lines.
     """
-    lines = cell_lines.select("cell_line").distinct()
-    tested = (
+    names = cell_lines.where("cell_line IS NOT NULL").agg(F.array_sort(F.collect_set("cell_line")).alias("names"))
+    numbered = names.select(F.posexplode("names").alias("i", "cell_line"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i") % WORD_BITS)
+    words = (
         present.select("drug", "cell_line")
-        .join(lines, "cell_line", "left_semi")
-        .distinct()
-        .groupBy("drug")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .join(numbered, "cell_line")
+        .groupBy("drug", F.expr(f"i div {WORD_BITS}").cast("int").alias("word"))
+        .agg(F.bit_or(bit).alias("bits"))
     )
-    potential = lines.agg(F.count(F.lit(1))).scalar()
-    n_present = F.coalesce("_n", F.lit(0)).cast("bigint")
-    return (
-        drugs.select("drug")
-        .distinct()
-        .join(tested, "drug", "left")
-        .select("drug", potential.alias("n_potential"), n_present.alias("n_present"))
-        .withColumn("n_missing", F.col("n_potential") - F.col("n_present"))
+    bitmaps = words.groupBy("drug").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_bits"), F.sum(F.bit_count("bits")).alias("_n")
     )
+
+    def untested(name: Column, i: Column) -> Column:
+        word = F.try_element_at("_bits", F.floor(i / WORD_BITS).cast("int"))
+        return F.coalesce(F.call_function("shiftright", word, i % WORD_BITS).bitwiseAND(F.lit(1)) == 0, F.lit(True))
+
+    listed = drugs.select("drug").distinct().join(bitmaps, "drug", "left").withColumn("_names", names.scalar())
+    return listed.select(
+        "drug",
+        F.size("_names").cast("bigint").alias("n_potential"),
+        F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_present"),
+        F.filter("_names", untested).alias("missing"),
+    ).withColumn("n_missing", F.size("missing").cast("bigint"))

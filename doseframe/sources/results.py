@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.schema import ENRICHMENT_SCHEMA, INDEX_SCHEMA, TREATMENT
+from doseframe.sources.snapshots import read_snapshot, write_snapshot
 
 
 def write_enrichment(df: DataFrame, path: str) -> None:
@@ -53,13 +54,16 @@ def write_scores(df: DataFrame, path: str) -> None:
 
 
 def write_index(entries: DataFrame, path: str) -> None:
-    """One row per treatment and file that holds some of it."""
-    index = entries.select(*TREATMENT, F.col("file_num").cast("int").alias("file_num")).distinct()
-    index.write.mode("overwrite").parquet(path)
+    """One row per treatment and file that holds some of it.
+
+    A new version takes the old one's place when it is complete; until then, and if the write fails, readers get the old one.
+    """
+    write_snapshot(entries.select(*TREATMENT, F.col("file_num").cast("int").alias("file_num")).distinct(), path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(INDEX_SCHEMA).parquet(path)
+    """The stored index; an empty table when nothing was written yet."""
+    return read_snapshot(spark, path, INDEX_SCHEMA)
 
 
 def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:

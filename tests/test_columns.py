@@ -71,9 +71,9 @@ def test_nan_becomes_null(spark):
     assert nan_to_null(df).agg(F.avg("a"), F.min("b")).first()[:] == (1.0, None)
 
 
-def test_substrings(spark):
-    assert set(one(spark, C.substrings(F.lit("AbA")))) == {"", "a", "b", "ab", "ba", "aba"}
-    assert one(spark, C.substrings(F.lit(""))) == [""]
+def test_grams(spark):
+    assert set(one(spark, C.grams(F.lit("AbAc"), [1, 3]))) == {"a", "b", "c", "aba", "bac"}
+    assert one(spark, C.grams(F.lit(""), [1, 2, 3])) == [] and one(spark, C.grams(F.lit("ab"), [3])) == []
 
 
 def test_rows_table_keeps_types(spark):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,8 +221,41 @@ def test_treatment_grid_counts_without_the_grid(spark):
     lines = spark.createDataFrame([("x",), ("y",), ("y",)], "cell_line string")
     seen = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "elsewhere")], "drug string, cell_line string")
     grid = J.treatment_grid(seen, drugs, lines)
-    assert {r.drug: (r.n_potential, r.n_present, r.n_missing) for r in grid.collect()} == {"a": (2, 1, 1), "b": (2, 0, 2)}
-    assert "Cartesian" not in grid._jdf.queryExecution().toString()
+    assert {r.drug: (r.n_potential, r.n_present, r.n_missing, r.missing) for r in grid.collect()} == {
+        "a": (2, 1, 1, ["y"]), "b": (2, 0, 2, ["x", "y"])
+    }
+    plan = grid._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_treatment_grid_over_several_words(spark):
+    """200 lines, every third tested by one drug, all by another; null lines and no lines at all."""
+    drugs = spark.createDataFrame([("third",), ("all",), ("none",)], "drug string")
+    names = [f"line {i:03d}" for i in range(200)]
+    lines = spark.createDataFrame([(n,) for n in names] + [(None,)], "cell_line string")
+    seen = spark.createDataFrame([("third", n) for n in names[::3]] + [("all", n) for n in names] * 2 + [("all", None)], "drug string, cell_line string")
+    got = {r.drug: r for r in J.treatment_grid(seen, drugs, lines).collect()}
+    assert got["third"].missing == [n for i, n in enumerate(names) if i % 3] and got["third"].n_present == 67
+    assert got["all"].missing == [] and got["none"].missing == names and got["all"].n_present == 200
+    assert {r.n_potential for r in J.treatment_grid(seen, drugs, lines.limit(0)).collect()} == {0}
+
+
+def test_names_are_found_by_their_rarest_stretch(spark):
+    """Against plain containment, with short, long, empty, accented and absent requests."""
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcÄé-1 ") for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["Xy" * 5000, None]
+    asked = ["", "a", "ab", "É", "bÄ", *[n[1:5].upper() for n in names[:30]], "xYx" , "yx" * 4000, "q" * 10_000, "abq", None]
+    vocabulary = spark.createDataFrame([(n,) for n in names], "name string")
+    got = S.substring_matches(spark.createDataFrame([(a,) for a in asked], "requested string"), vocabulary, "requested", "name")
+    want = sorted((a, n) for a in asked for n in names if a is not None and n is not None and a.lower() in n.lower())
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_posting_index_grows_with_the_length_of_names(spark):
+    long = spark.createDataFrame([("".join(chr(97 + i * i % 26) for i in range(10_000)),)], "name string")
+    assert S.postings(long, "name").count() <= 3 * 10_000 + 1
 
 
 def test_sets(spark):

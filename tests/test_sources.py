@@ -7,11 +7,12 @@ from literals import rows_table
 from doseframe.operators import aggregates as A
 from doseframe.operators import joins as J
 from doseframe.operators import sets as U
-from doseframe.schema import DE_SCHEMA, ENRICHMENT_SCHEMA
+from doseframe.schema import DE_SCHEMA, ENRICHMENT_SCHEMA, INDEX_SCHEMA
 from doseframe.session import scratch_path
 from doseframe.sources import de as D
 from doseframe.sources import metadata as M
 from doseframe.sources import results as O
+from doseframe.sources.snapshots import read_snapshot
 from doseframe.streaming import jobs
 
 NAN = float("nan")
@@ -40,16 +41,91 @@ def store(spark, facts, tmp_path_factory):
     return path
 
 
-def test_scan_gives_file_numbers_and_null_for_nan(spark, store):
-    got = {(r.gene_name, r.file_num, r.padj) for r in D.scan_de(spark, store).where("drug = 'd1'").collect()}
+@pytest.fixture(scope="module")
+def named_store(spark, facts, tmp_path_factory):
+    """Files numbered by their names alone."""
+    path = str(tmp_path_factory.mktemp("named") / "facts")
+    facts.repartitionById(4, F.col("file_num")).drop("file_num").write.parquet(path)
+    return path
+
+
+def scan_metric(df, name):
+    """A number that the scan of ``df`` counts while the query runs."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "AdaptiveSparkPlan" in plan.nodeName() else plan
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        node = node.plan() if "QueryStage" in node.nodeName() else node
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply(name).value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("layout", ["store", "named_store"])
+def test_scan_gives_file_numbers_and_null_for_nan(spark, layout, request):
+    path = request.getfixturevalue(layout)
+    got = {(r.gene_name, r.file_num, r.padj) for r in D.scan_de(spark, path).where("drug = 'd1'").collect()}
     assert got == {("A", 0, None), ("B", 0, 0.1)}
 
 
-def test_scan_one_file_opens_one_file(spark, store):
-    one = D.scan_de_file(spark, store, 2)
+@pytest.mark.parametrize("layout", ["store", "named_store"])
+def test_scan_one_file_opens_one_file(spark, layout, request):
+    one = D.scan_de_file(spark, request.getfixturevalue(layout), 2)
     assert {r.cell_line for r in one.collect()} == {"c1", "c2"}
-    scan = [l for l in one._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in l][0]
-    assert "file_name" in scan
+    # All rows of other files stay unread.
+    assert scan_metric(one, "numOutputRows") == [2]
+
+
+def test_files_are_chosen_while_the_query_runs(spark, store, facts):
+    """Building the query runs nothing, and running it opens the files of the requested treatment only."""
+    index = facts.select("cell_line", "drug", "concentration", "file_num")
+    failing = index.withColumn("file_num", F.when(F.col("drug").isNotNull(), F.raise_error(F.lit("ran"))).cast("int"))
+    J.indexed_fetch(spark, store, failing, failing.where("drug = 'd1'"))
+    got = J.indexed_fetch(spark, store, index, index.where("drug = 'd1'"))
+    # The scan of the facts is the only one of files.
+    assert len(got.collect()) == 2 and scan_metric(got, "numFiles") == [1]
+    assert scan_metric(J.indexed_fetch(spark, store, index, index.where("drug = 'd2'")), "numFiles") == [2]
+    assert J.indexed_fetch(spark, store, index, index.where("drug = 'none'")).collect() == []
+
+
+def test_one_gene_reads_a_fraction_of_the_pages(spark, tmp_path):
+    """Three treatments of 20,000 genes: a gene costs one page of each, one that is nowhere nothing."""
+    rows = spark.range(60_000).selectExpr(
+        "concat('g', id % 20000) gene_name", "cast(id as double) log2FoldChange", "0.1D padj", "1D baseMean",
+        "concat('d', id div 20000) drug", "5D concentration", "'c' cell_line", "0 file_num",
+    )
+    D.write_de(rows, str(tmp_path / "sorted"), 1)
+    de = D.scan_de(spark, str(tmp_path / "sorted"))
+    one = A.avg_lfc_by_treatment(de, gene="g777")
+    assert {r.drug: r.mean_lfc for r in one.collect()} == {"d0": 777.0, "d1": 20777.0, "d2": 40777.0}
+    assert scan_metric(de.where("gene_name = 'g777'"), "numOutputRows")[0] <= 3 * 2000
+    # In an order that does not help, Bloom filters skip the row groups without the gene.
+    D.write_de(rows.withColumn("gene_name", F.md5("gene_name")), str(tmp_path / "unsorted"), 1, order=("log2FoldChange",), row_group_bytes=1 << 16, page_rows=500)
+    other = D.scan_de(spark, str(tmp_path / "unsorted"))
+    assert scan_metric(other.where(F.col("gene_name") == F.md5(F.lit("g20001"))), "numOutputRows")[0] < 6000
+    assert other.where(F.col("gene_name") == F.md5(F.lit("g5"))).count() == 3
+
+
+def test_index_survives_a_failed_write(spark, store, tmp_path):
+    path = str(tmp_path / "index")
+    assert O.read_index(spark, path).collect() == []
+    O.write_index(D.scan_de(spark, store).where("drug = 'd1'"), path)
+    before = O.read_index(spark, path)
+    bad = D.scan_de(spark, store).withColumn("file_num", F.when(F.col("cell_line") == "c2", F.raise_error(F.lit("lost"))).otherwise(F.col("file_num")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        O.write_index(bad, path)
+    assert {r.drug for r in O.read_index(spark, path).collect()} == {"d1"}
+    O.write_index(D.scan_de(spark, store), path)
+    assert {r.drug for r in O.read_index(spark, path).collect()} == {"d1", "d2"}
+    # Who had begun with the old version goes on with it, and it can be asked for.
+    assert {r.drug for r in before.collect()} == {"d1"}
+    assert {r.drug for r in read_snapshot(spark, path, INDEX_SCHEMA, version=1).collect()} == {"d1"}
+    with pytest.raises(ValueError):
+        read_snapshot(spark, path, INDEX_SCHEMA, version=9)
 
 
 def test_rename_on_scan(spark, facts, tmp_path):
@@ -79,8 +155,10 @@ def test_a_file_without_a_number(spark, facts, tmp_path):
     assert {r.file_num for r in D.scan_de(spark, str(path)).collect()} == {None}
 
 
-def test_indexed_fetch_from_the_stored_index(spark, store, tmp_path):
+@pytest.mark.parametrize("layout", ["store", "named_store"])
+def test_indexed_fetch_from_the_stored_index(spark, layout, request, tmp_path):
     """All rows of treatments that are split over files, and no file that has none."""
+    store = request.getfixturevalue(layout)
     O.write_index(D.scan_de(spark, store), str(tmp_path / "index"))
     index = O.read_index(spark, str(tmp_path / "index"))
     for where in ("drug = 'd1'", "drug = 'd2'", "cell_line = 'c2'", "drug = 'none'"):
