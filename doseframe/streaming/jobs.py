@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doseframe.schema import INDEX_SCHEMA, TREATMENT
-from doseframe.streaming.protocol import REPLAY_SCHEMA, EpisodeProtocol
+from doseframe.streaming.protocol import REPLAY_SCHEMA, STATE_KEY, EpisodeProtocol, early_actions
 from doseframe.operators.episodes import default_turns
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -73,14 +73,18 @@ def stream_replay(
 
     Batches must bring an episode's actions in order of time; within a batch
     any order will do. An action from before the last one of an earlier batch is
-    refused as ``out_of_order`` and takes no turn.
+    refused as ``out_of_order`` and takes no turn; beyond the earliest actions of its task
+    it is refused as any action after the last turn is. The shuffle brings an
+    episode's state at most ``max_turns`` actions per task.
     """
     if log.sparkSession.conf.get(STATE_STORE) != ROCKSDB:
         raise ValueError(f"set {STATE_STORE} to {ROCKSDB}, as build_session does")
+    turns = max_turns or default_turns(budget)
     query = (
-        log.groupBy("episode")
+        early_actions(log, turns)
+        .groupBy(*STATE_KEY)
         .transformWithStateInPandas(
-            statefulProcessor=EpisodeProtocol(budget, max_turns or default_turns(budget)),
+            statefulProcessor=EpisodeProtocol(budget, turns),
             outputStructType=REPLAY_SCHEMA,
             outputMode="append",
             timeMode="none",

@@ -1,10 +1,20 @@
-"""The episode protocol as a stateful processor, for logs that arrive as a stream."""
+"""The episode protocol as a stateful processor, for logs that arrive as a stream.
+
+An episode uses its first ``max_turns`` actions and refuses the rest. So before the
+shuffle each task of a batch picks the earliest actions of every episode it reads
+(``early_actions``); only those go to the episode's state, in lane 0. All others are
+refused without state in lanes of their own, one per task, so an episode of any
+length meets in no task.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,9 +41,46 @@ STATE_SCHEMA = T.StructType(
     + [T.StructField(n, T.LongType()) for n in ("last_us", "last_id")]
 )
 OUT_OF_ORDER = "out_of_order"
+ORDER = ["ts", "event_id"]
+STATE_KEY = ["state_of", "lane"]
+
+#: Rows that a task holds back while it picks the earliest of each episode; beyond, those picked so far go on.
+HELD_ROWS = 100_000
 BEFORE_ALL = -(2**63)
 
 
+def early_actions(log: DataFrame, max_turns: int) -> DataFrame:
+    """Actions with their lane: 0 for the earliest ``max_turns`` of an episode in each task, the task's own for the rest.
+
+    ``state_of`` is the episode in lane 0 and nothing but 0 in others, which take all episodes of their task.
+    A task that reads more than ``HELD_ROWS`` such actions hands them on and picks anew,
+    so what it holds is bounded.
+    """
+    schema = T.StructType([*log.schema.fields, T.StructField("state_of", T.LongType()), T.StructField("lane", T.IntegerType())])
+
+    def in_lane(rows: pa.Table, lane: int) -> list[pa.RecordBatch]:
+        episode = rows["episode"] if lane == 0 else pa.array([0] * rows.num_rows, pa.int64())
+        lanes = pa.array([lane] * rows.num_rows, pa.int32())
+        return rows.append_column("state_of", episode).append_column("lane", lanes).combine_chunks().to_batches()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, TaskContext.get().partitionId() + 1
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            keys = held.select(["episode", *ORDER]).to_pandas().sort_values(["episode", *ORDER], kind="stable")
+            early = keys.groupby("episode", dropna=False, sort=False).cumcount() < max_turns
+            yield from in_lane(held.take(keys.index[~early].to_numpy()), own)
+            held = held.take(keys.index[early].to_numpy())
+            if held.num_rows > HELD_ROWS:
+                yield from in_lane(held, 0)
+                held = None
+        if held is not None:
+            yield from in_lane(held, 0)
+
+    return log.mapInArrow(pick, schema)
+
+
 class EpisodeProtocol(StatefulProcessor):
     def __init__(self, budget: int, max_turns: int):
         self.budget = budget
@@ -45,8 +92,13 @@ class EpisodeProtocol(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Play the earliest actions that turns are left for; refuse the rest at once.
 
-        At most ``max_turns`` rows are held, however many the batch brings.
+        At most ``max_turns`` rows are held, however many the batch brings. The key is
+        an episode and a lane; lanes other than 0 have no state.
         """
+        if key[1]:
+            for part in rows:
+                yield self._refused(part, OVER, True)
+            return
         known = self.state.exists()
         turns, phase, step, used, over, *seen = self.state.get() if known else (0, NOTHING, 0, 0, False, BEFORE_ALL, BEFORE_ALL)
         room = 0 if over else self.max_turns - turns

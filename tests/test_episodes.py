@@ -2,8 +2,10 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from doseframe.operators import episodes as P
+from doseframe.operators.episodes import default_turns
 from doseframe.streaming import jobs
 
 LOG = (
@@ -133,6 +135,42 @@ def test_stream_in_pieces_equals_batch(spark, tmp_path):
     assert outcome(spark.read.parquet(out)) == outcome(P.replay_episodes(log, 3))
 
 
+def test_a_hot_episode_meets_in_no_task(spark, tmp_path):
+    """100,000 actions of one episode: each task hands its state the earliest few, and the outcome stays that of the batch."""
+    import random
+
+    from doseframe.streaming.protocol import early_actions
+
+    rng = random.Random(6)
+    hot = spark.range(100_000).selectExpr("1L episode", "id event_id")
+    # The rows of ``rows`` for a long episode, made by Spark.
+    kinds = spark.createDataFrame(rows(1, "hxikl"), LOG).drop("episode", "event_id", "ts").withColumn("k", F.monotonically_increasing_id())
+    few = spark.createDataFrame(rows(2, "".join(rng.choice("hxikl") for _ in range(50)), first=200_000), LOG)
+    ordered = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("event_id"))
+    kinds = kinds.withColumn("k", F.row_number().over(Window.orderBy("k")) - 1)
+    log = hot.withColumn("k", F.pmod(F.xxhash64("event_id"), F.lit(5)).cast("int")).join(kinds, "k").withColumn("ts", ordered).select(*few.columns)
+    log = log.unionByName(few).repartition(6).cache()
+    turns = default_turns(3)
+    lanes = early_actions(log, turns)
+    assert lanes.count() == log.count() and lanes.where("lane = 0 AND episode = 1").count() <= turns * 6
+    assert lanes.groupBy("episode", "lane").count().where("lane > 0").agg(F.max("count")).first()[0] < 20_000
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    log.write.parquet(source)
+    jobs.stream_replay(spark.readStream.schema(log.schema).parquet(source), out, str(tmp_path / "checkpoint"), 3)
+    got, want = spark.read.parquet(out).select(*P.REPLAY_COLUMNS), P.replay_episodes(log, 3).select(*P.REPLAY_COLUMNS)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_held_rows_are_bounded(spark, monkeypatch):
+    """Handing on early changes who refuses, not what is kept at least."""
+    from doseframe.streaming import protocol
+
+    monkeypatch.setattr(protocol, "HELD_ROWS", 10)
+    lanes = protocol.early_actions(skewed(spark).coalesce(1), 5)
+    first = skewed(spark).withColumn("n", F.row_number().over(Window.partitionBy("episode").orderBy("ts", "event_id"))).where("n <= 5")
+    assert first.select("event_id").join(lanes.where("lane = 0"), "event_id").count() == first.count()
+
+
 def test_late_actions_are_named_and_cost_no_turn(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     data = rows(1, "hxihxi")
