@@ -286,7 +286,8 @@ def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shi
     met = met.withColumns({"low": F.least("blk", "other"), "high": F.greatest("blk", "other")}).withColumn(
         "own", F.when(F.col("low") == F.col("high"), WITHIN).otherwise((F.col("blk") == F.col("high")).cast("int"))
     )
-    parts = met.select("grp", "low", "high", "own", "node", "weight", "shingles")
+    # Said outright: rows that a join has dealt by group already would else stay so, a whole group in one task.
+    parts = met.select("grp", "low", "high", "own", "node", "weight", "shingles").repartition("grp", "low", "high")
     found = parts.groupBy("grp", "low", "high").applyInArrow(block_links(threshold), "node bigint, root bigint, n_links bigint")
     found = stored(found, "ngram-links")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "ngram-roots")

@@ -62,9 +62,9 @@ def shingle_set(text, n=3):
     return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if size else frozenset()
 
 
-def jaccard(docs, threshold=90):
+def jaccard(docs, threshold=90, shingle=3):
     """(doc, n_shingles, component, links) per row, all pairs."""
-    sets = [shingle_set(text) for _, text in docs]
+    sets = [shingle_set(text, shingle) for _, text in docs]
     parent, degree = list(range(len(docs))), [0] * len(docs)
 
     def top(i):

@@ -78,3 +78,27 @@ def test_no_rows_and_one_of_each(table):
     kept = [r.doc_id for r in ng.keep_one_of_each(table(docs).withColumnRenamed("lang", "Node")).collect()]
     want = {(doc if n == 0 else c) for doc, n, c, _ in jaccard(docs)}
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_a_group_is_dealt_by_its_blocks(spark, table, monkeypatch):
+    """Without broadcasts, too, the pairs of blocks of one group lie in several partitions."""
+    plans = []
+    plain = ng.stored
+
+    def spied(df, label):
+        if label == "ngram-links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(ng, "stored", spied)
+    monkeypatch.setattr(ng, "BLOCK_NODES", 4)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(w if rng.random() > 0.005 else f"x{rng.randint(0, 9)}" for w in base)) for i in range(40)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ng.jaccard_components(table(docs)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32m")
+    assert got == {d: (n, c, k) for d, n, c, k in jaccard(docs)}
+    assert "Exchange hashpartitioning(grp#" in plans[0] and ", low#" in plans[0].split("FlatMapGroupsInArrow")[1].split("Exchange")[1]
