@@ -2,7 +2,7 @@
 
 1. toxicity: documents that score a half or more as toxic go.
 2. line dedup: repeated chunks of lines go from the texts, but for their first occurrence.
-3. n-gram Jaccard join: of documents whose shingle sets link, the one with the smallest id stays.
+3. n-gram Jaccard join: of documents whose sets of five-word shingles share 80 percent or more, the one with the smallest id stays.
 4. benchmark decontamination: documents with a twentieth of their words in test windows go.
 5. BPE: texts become ids; the decoded text goes with them.
 
@@ -19,6 +19,11 @@ from doseframe.llm.common import fresh_path
 from doseframe.llm.queries import table, toxicity_model, vocabulary
 
 
+#: What near duplicates share: the contract of the query ``op9_`` has another rule.
+SHINGLE_WORDS = 5
+LIKENESS_PERCENT = 80
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, toxicity_model(spark, docs, sf_dir))
 
@@ -31,7 +36,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one_of_each(docs)
+    return ngram_join.keep_one_of_each(docs, shingle=SHINGLE_WORDS, threshold=LIKENESS_PERCENT)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
