@@ -217,7 +217,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[
     def words_of(split: Splitter, block: bytes) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
         rows = unpacked_rows(block)
         for part in slices(iter([rows]), text):
-            yield part, [split.words(raw.decode()) for raw in raw_texts(part.column(text))]
+            yield part, [split.words(raw.decode(errors="replace")) for raw in raw_texts(part.column(text))]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(vocabulary)

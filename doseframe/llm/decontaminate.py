@@ -206,7 +206,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", *
             given = batch.column(text).is_valid().to_pylist()
             return [
                 [
-                    cut_words(raw, [(s["start"], s["end"]) for s in each]).decode() if ok else None
+                    cut_words(raw, [(s["start"], s["end"]) for s in each]).decode(errors="replace") if ok else None
                     for raw, each, ok in zip(raws, spans, given)
                 ]
             ]

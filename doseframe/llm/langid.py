@@ -239,7 +239,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, *, text: str
         learned = held.value
 
         def run(raws: list[bytes], batch: pa.RecordBatch) -> list:
-            spoken = [bool(learned) and LETTER.search(raw.decode()) is not None for raw in raws]
+            spoken = [bool(learned) and LETTER.search(raw.decode(errors="replace")) is not None for raw in raws]
             found = iter(learned.pooled([raw for raw, ok in zip(raws, spoken) if ok]) if learned else ())
             names, scores, counts = [], [], []
             for ok in spoken:

@@ -7,7 +7,7 @@ this tuple is one entry of the signature. Two texts agree in an entry if the
 same k-mers are selected and stand in the same order, so the share of equal
 entries falls with edit distance, not only with the loss of k-mers.
 
-Null counts as an empty text. Texts shorter than a k-mer are one k-mer; the empty
+Null counts as an empty text. Bytes that are not UTF-8 count as replacement characters. Texts shorter than a k-mer are one k-mer; the empty
 text has a signature of its own. Equal texts have equal fingerprints.
 """
 
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with the fingerprint of each text."""
 
     def start():
-        return lambda raws, batch: [[as_hex(signature(raw.decode())) for raw in raws]]
+        return lambda raws, batch: [[as_hex(signature(raw.decode(errors="replace"))) for raw in raws]]
 
     return add_columns(docs, text, [T.StructField("fingerprint", T.StringType(), False)], start)
 
@@ -161,7 +161,7 @@ def near_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
             out = []
             ids, numbers = batch.column("doc_id").to_pylist(), batch.column("part").to_pylist()
             for key, part, raw in zip(ids, numbers, raw_texts(batch.column("text"))):
-                body = raw.decode()
+                body = raw.decode(errors="replace")
                 sign = signature(body)
                 if last is None:
                     out.append({"part": part, "edge": "first", "text": body, "fingerprint": as_hex(sign)})

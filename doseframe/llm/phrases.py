@@ -252,8 +252,10 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keys: tuple[str, ...]
                 new = {
                     "n_words": pa.array([done[i][0] for i in numbers], pa.int64()),
                     "n_removed": pa.array([done[i][1] for i in numbers], pa.int64()),
-                    "kept": pa.array([done[i][2].decode() for i in numbers], pa.string()),
-                    text: pa.array([None if null else bodies[i].decode() for i, null in zip(numbers, part.column("_null").to_pylist())], pa.string()),
+                    "kept": pa.array([done[i][2] for i in numbers], pa.binary()).view(pa.string()),
+                    text: pa.array(
+                        [None if null else bodies[i] for i, null in zip(numbers, part.column("_null").to_pylist())], pa.binary()
+                    ).view(pa.string()),
                 }
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(places[c]) for c in names], names=names)
 

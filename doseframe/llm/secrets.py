@@ -8,13 +8,18 @@ mapped at every place where it occurs; among the layers below one place a
 content counts once, so cycles end. All escapes of a layer are decoded together
 with the text between them and map character by character, through any number
 of layers; a finding there is reported at the span of the text that encodes it.
+What is still escaped after ``SEPARATE`` layers is decoded to its end in one sweep,
+so that time grows with the text and not with the depth times the text. A finding
+has no escape sign in it, so whatever a layer in between would show is there at the
+end of the sweep too, unless it borrowed the digits of an escape.
 Base64 maps to the whole encoded stretch, and so does all that is found in it.
 It may be wrapped over lines; then single lines count as stretches too.
 
 Decoded bytes need not be text: findings are ASCII, so they are looked for
 between any bytes, and in text of two or four bytes a character.
 
-Null and empty texts have no findings. Repeated rows are scanned each. Whole
+Null and empty texts have no findings. Bytes that are not UTF-8 count as replacement characters, as in
+Python's ``decode(errors="replace")``. Repeated rows are scanned each. Whole
 texts are scanned whatever their length, and so are compressed data: all their
 members, in steps, so that memory is bounded. A bomb takes time in proportion
 to what it unpacks to. Only an unbroken stretch of more than ``STRETCH_BYTES``
@@ -41,6 +46,8 @@ from doseframe.llm.common import add_columns
 #: but in one unbroken stretch of base64 or blanks for so many bytes at most.
 STEP = 16 << 20
 STRETCH_BYTES = 256 << 20
+#: Layers of escapes that are scanned one by one; deeper ones are decoded together.
+SEPARATE = 8
 
 # The patterns of the three kinds, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex")
@@ -232,6 +239,36 @@ def unescaped(text: str) -> tuple[str, array, array]:
     return "".join(out), starts, ends
 
 
+HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
+
+
+def settled(text: str) -> tuple[str, array, array]:
+    """Escapes decoded until none is left, also those that only decoding completes; places as in ``unescaped``.
+
+    One pass over the text: a character that completes an escape takes its place, and may complete the one before it.
+    Bytes and surrogates beyond ASCII stay single characters, since no finding and no escape has them.
+    """
+    out: list[str] = []
+    starts, ends = array("i"), array("i")
+    for i, c in enumerate(text):
+        out.append(c)
+        starts.append(i)
+        ends.append(i + 1)
+        while out[-1] in HEXADECIMAL and len(out) > 2 and out[-2] in HEXADECIMAL:
+            if out[-3] == "%":
+                size = 3
+            elif len(out) > 5 and out[-6] == "\\" and out[-5] == "u" and out[-4] in HEXADECIMAL and out[-3] in HEXADECIMAL:
+                size = 6
+            else:
+                break
+            code = int("".join(out[-2:] if size == 3 else out[-4:]), 16)
+            last = ends[-1]
+            del out[1 - size :], starts[1 - size :], ends[1 - size :]
+            out[-1] = chr(code) if not 0xD800 <= code < 0xE000 else "\N{REPLACEMENT CHARACTER}"
+            ends[-1] = last
+    return "".join(out), starts, ends
+
+
 class Hidden:
     """Kinds of findings in encoded stretches; a stretch is unwrapped once, however often it occurs."""
 
@@ -249,7 +286,7 @@ class Hidden:
                 if len(data) < LEAST and not packed(data):
                     continue
                 for layer in readable(unpacked(iter([data]))):
-                    while True:
+                    for depth in itertools.count(1):
                         found.update(kind for _, kind, _ in scan(layer))
                         for a, b in stretches(layer):
                             inner = unbase64(layer[a:b])
@@ -259,7 +296,10 @@ class Hidden:
                                 work.append(inner)
                         if not ESCAPES.search(layer):
                             break
-                        layer = ESCAPES.sub(lambda m: "".join(c for c, _ in characters(m[0])), layer)
+                        if depth < SEPARATE:
+                            layer = ESCAPES.sub(lambda m: "".join(c for c, _ in characters(m[0])), layer)
+                        else:
+                            layer = settled(layer)[0]
             self.reached[code] = frozenset(found)
         return self.reached[code]
 
@@ -269,7 +309,7 @@ def hidden(text: str) -> set[Finding]:
     found: set[Finding] = set()
     codes = Hidden()
     layer, starts, ends = text, None, None
-    while True:
+    for depth in itertools.count(1):
         for a, b in stretches(layer):
             if kinds := codes.kinds(layer[a:b]):
                 s, e = (a, b) if starts is None else (starts[a], ends[b - 1])
@@ -277,7 +317,7 @@ def hidden(text: str) -> set[Finding]:
         # Escapes get shorter when decoded, so this ends.
         if not ESCAPES.search(layer):
             return found
-        layer, firsts, lasts = unescaped(layer)
+        layer, firsts, lasts = (unescaped if depth < SEPARATE else settled)(layer)
         if starts is not None:
             firsts, lasts = array("i", (starts[a] for a in firsts)), array("i", (ends[b - 1] for b in lasts))
         starts, ends = firsts, lasts
@@ -295,7 +335,7 @@ def find_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
         def run(raws: list[bytes], batch: pa.RecordBatch) -> list:
             base, spans = [], []
             for raw in raws:
-                content = raw.decode()
+                content = raw.decode(errors="replace")
                 plain = scan(content)
                 base.append(named(plain))
                 deep = hidden(content)

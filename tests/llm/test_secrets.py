@@ -1,8 +1,11 @@
 import base64
 import gzip
+import random
 import re
+import time
 import urllib.parse
 import zlib
+from array import array
 
 from doseframe.llm import secrets
 
@@ -26,7 +29,6 @@ def deep(text):
 
 
 def test_base_matches_the_definition():
-    import random
 
     rng = random.Random(2)
     for _ in range(3000):
@@ -62,6 +64,37 @@ def test_cycles_and_noise_end():
     assert secrets.hidden(bomb) == set()
 
 
+def test_deep_escapes_take_linear_time():
+    start = time.monotonic()
+    hidden = f"secret={KEY}"
+    left = "%" + "25" * 200_000 + "41"
+    right = "%3" * 200_000 + "%31"
+    mixed = "%5cu0025" * 3 + "%" + "5cu0025" * 60_000 + "41"
+    for text in (left, right, mixed):
+        secrets.hidden(text)
+    deep = f"secret=A%{'25' * 100_000}4b" + KEY
+    found = {(k, e) for _, k, e in secrets.hidden(deep)}
+    assert (0, len(deep)) in found
+    inside = base64.b64encode(f"x %{'25' * 5000}{hidden[0].encode().hex()}{hidden[1:]}".encode()).decode()
+    assert any(k == 0 for _, k in deep_kinds(f"see {inside} there"))
+    assert time.monotonic() - start < 20
+
+
+def deep_kinds(text):
+    return {(s, k) for s, k, _ in secrets.hidden(text)}
+
+
+def test_settled_is_the_fixpoint_of_layers():
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(["%", "2", "5", "41", "\\", "u00", "5c", "%25", "\\u0025", "x", "3"]) for _ in range(rng.randrange(25)))
+        layer, starts, ends = text, range(len(text)), range(1, len(text) + 1)
+        while secrets.ESCAPES.search(layer):
+            layer, a, b = secrets.unescaped(layer)
+            starts, ends = [starts[i] for i in a], [ends[i - 1] for i in b]
+        assert secrets.settled(text) == (layer, array("i", starts), array("i", ends)), text
+
+
 def test_same_code_at_many_places():
     line = f"password={KEY}"
     b64 = base64.b64encode(line.encode()).decode()
@@ -114,7 +147,6 @@ def test_all_of_compressed_wrapped_and_mixed_layers(monkeypatch):
     assert kinds(line.decode().encode("utf-16")) == both
     assert kinds(gzip.compress(line.decode().encode("utf-16-be"))) == both
     # Lines.
-    import random
 
     noise = bytes(random.Random(3).randrange(256) for _ in range(300))
     packed = gzip.compress(noise + line)
