@@ -7,6 +7,12 @@ labels (chi-squared), none of which begins another. All other words are one more
 feature, so that a single such word counts for less in a longer text. Document
 frequencies are counted over all documents.
 
+Most texts have no chosen feature. They are compared by all their words: their
+whole TF-IDF vectors against those of ``WORD_TOXIC`` and ``WORD_CLEAN`` of the same
+examples at most, in an index of their own (words that none of them has are one more
+feature there). So every text that shares a
+word with an example has neighbours and evidence.
+
 Each document looks up its nearest examples by exact cosine in an inverted index
 whose postings lie in blocks with their largest weight: the blocks' upper bounds
 decide which blocks are scored, highest first, until no block left can reach the
@@ -14,12 +20,12 @@ list of nearest examples.
 
 The nearest examples vote, the closer the more; a logistic curve, fitted on the
 examples' own votes without themselves, turns votes into a calibrated score, and
-the nearest examples are the evidence.
+the nearest examples are the evidence. Each of the two indexes has its own curve.
 
 The sample is ``TOXIC_EXAMPLES`` and ``CLEAN_EXAMPLES`` documents at most, by lowest hash of
-their id. Conflicting labels of an id count as toxic; null labels and ids are
-ignored. Null and empty texts, and texts without a word of the vocabulary, have no
-neighbour and get the score of such examples. Without both kinds of labels every
+their id, and ``SAMPLE_BYTES`` of text at most (whole texts, in the same order). Conflicting labels of an id count as toxic; null labels and ids are
+ignored. Null and empty texts, and texts without a word of any example, have no
+neighbour and get the mean score of examples without chosen features. Without both kinds of labels every
 score is the share of the labels seen. Rows are scored each by their text alone.
 """
 
@@ -28,14 +34,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from doseframe.llm.common import add_columns, raw_texts, slices
+from doseframe.llm.common import add_columns, raw_texts, slices, stored
 
 TOXIC_EXAMPLES = 1500
 CLEAN_EXAMPLES = 3000
@@ -44,6 +52,12 @@ VOCABULARY = 1024
 LEAST_CHI2 = 25.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Texts of the sample, in bytes; its words go to every worker.
+SAMPLE_BYTES = 32 << 20
+#: Examples in the index of all words, and in a block of it.
+WORD_TOXIC = 500
+WORD_CLEAN = 1000
+WORD_BLOCK = 256
 BEGINNINGS = (4, 5, 6)
 
 # Letters keep their place and A-Z become a-z; every byte beyond ASCII counts as a letter.
@@ -72,11 +86,11 @@ class Features:
         # The first letters of all features; few other words begin so.
         self.heads = {f.rstrip(b"$")[:3] for f in vocabulary}
 
-    def of(self, raw: bytes) -> dict[int, int]:
+    def of(self, words: Counter) -> dict[int, int]:
         """Counts by number; words with no feature are counted under the number after the last."""
         found: dict[int, int] = {}
         number, heads, others = self.number, self.heads, 0
-        for word, n in counted(raw).items():
+        for word, n in words.items():
             numbers = [number[f] for f in word_features(word) if f in number] if word[:3] in heads else ()
             for i in numbers:
                 found[i] = found.get(i, 0) + n
@@ -136,26 +150,121 @@ class BlockMaxIndex:
         return Neighbours(examples, similarity)
 
 
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``sizes`` of each, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
+
+
+class WordIndex:
+    """``BlockMaxIndex`` for very many terms: postings by term, cut at the blocks of examples, in flat arrays."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = WORD_BLOCK):
+        self.block, self.blocks = block, max(1, -(-len(vectors) // block))
+        term = np.concatenate([t for t, _ in vectors])
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        order = np.lexsort((example, term))
+        term, example = term[order], example[order]
+        self.weight = np.concatenate([w for _, w in vectors])[order]
+        key = term * self.blocks + example // block
+        cut = np.flatnonzero(np.diff(key, prepend=-1))
+        # Cuts are the places where a term's postings of one block begin.
+        self.cut = np.append(cut, len(key)).astype(np.int32)
+        self.of_term = np.searchsorted(term[cut], np.arange(terms + 1)).astype(np.int32)
+        self.cut_block = (example[cut] // block).astype(np.int32)
+        self.bound = np.maximum.reduceat(self.weight, cut) if len(cut) else np.empty(0)
+        self.place = example % block
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> Neighbours:
+        """The exact ``k`` nearest examples with a common term; ties go to the lower number. ``leave`` is left out."""
+        first = self.of_term[terms]
+        many = self.of_term[terms + 1] - first
+        cuts, given = ranges(first, many), np.repeat(weights, many)
+        bounds = np.bincount(self.cut_block[cuts], given * self.bound[cuts], self.blocks)
+        order = np.argsort(self.cut_block[cuts], kind="stable")
+        cuts, given = cuts[order], given[order]
+        edge = np.searchsorted(self.cut_block[cuts], np.arange(self.blocks + 1))
+        examples, similarity = np.empty(0, np.int64), np.empty(0)
+        for block in np.argsort(-bounds, kind="stable").tolist():
+            # A hair below the bound, so that rounding never skips an equal example.
+            if bounds[block] <= 0 or len(similarity) == k and bounds[block] < similarity[-1] - 1e-9:
+                break
+            mine = cuts[edge[block] : edge[block + 1]]
+            begin = self.cut[mine]
+            many = self.cut[mine + 1] - begin
+            at = ranges(begin, many)
+            scores = np.bincount(self.place[at], self.weight[at] * np.repeat(given[edge[block] : edge[block + 1]], many), self.block)
+            if 0 <= leave - block * self.block < self.block:
+                scores[leave - block * self.block] = 0
+            here = np.flatnonzero(scores > (max(similarity[-1] - 1e-9, 0) if len(similarity) == k else 0))
+            examples = np.concatenate([examples, block * self.block + here])
+            similarity = np.concatenate([similarity, scores[here]])
+            best = np.lexsort((examples, -similarity))[:k]
+            examples, similarity = examples[best], similarity[best]
+        return Neighbours(examples, similarity)
+
+
+def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's vector of length 1, terms in order."""
+    order = np.argsort(terms)
+    terms = terms[order]
+    weights = np.sqrt(counts[order].astype(np.float64)) * idf[terms]
+    length = np.sqrt((weights * weights).sum())
+    return terms, weights / length if length else weights
+
+
+class WordVectors:
+    """Whole texts as vectors: a term for each word of the examples, and one for all other words."""
+
+    def __init__(self, words: list[bytes], idf: np.ndarray):
+        self.number, self.idf = {w: i for i, w in enumerate(words)}, idf
+
+    def of(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        number = self.number
+        known = [(number[w], n) for w, n in words.items() if w in number]
+        if not known:
+            return np.empty(0, np.int64), np.empty(0)
+        pairs = np.array(known, np.int64)
+        others = words.total() - int(pairs[:, 1].sum())
+        if others:
+            pairs = np.append(pairs, [[len(number), others]], axis=0)
+        return unit(pairs[:, 0], pairs[:, 1], self.idf)
+
+
+def few_of_each(vectors: list[tuple[np.ndarray, np.ndarray]], order: list[int]) -> list[int]:
+    """Of equal vectors no more than can be nearest at a time; one more, since a training example leaves itself out."""
+    seen: Counter = Counter()
+    kept = []
+    for i in order:
+        key = (vectors[i][0].tobytes(), vectors[i][1].tobytes())
+        seen[key] += 1
+        if seen[key] <= NEIGHBOURS + 1:
+            kept.append(i)
+    return kept
+
+
+def word_examples(examples: list[tuple[str, Counter, int]]) -> list[tuple[str, Counter, int]]:
+    """Those in the index of all words: the lowest hashes of either label."""
+    order = sorted(examples, key=lambda e: crc32(e[0].encode()))
+    return [e for y, n in ((1, WORD_TOXIC), (0, WORD_CLEAN)) for e in [e for e in order if e[2] == y][:n]]
+
+
 class ToxicityModel:
-    """Labelled examples, their index and the curve from votes to scores."""
+    """Labelled examples, their two indexes and the curves from votes to scores."""
 
-    def __init__(self, vocabulary: list[bytes], idf: np.ndarray, examples: list[tuple[str, dict[int, int], int]], rate: float):
+    def __init__(
+        self, vocabulary: list[bytes], idf: np.ndarray, words: list[bytes], word_idf: np.ndarray, examples: list[tuple[str, Counter, int]], rate: float
+    ):
         self.features, self.idf, self.rate, self.rest = Features(vocabulary), idf, rate, len(vocabulary)
+        self.words = WordVectors(words, word_idf)
         labels = np.array([y for _, _, y in examples], np.int64)
         self.steady = len(set(labels.tolist())) < 2
         if self.steady:
             return
-        vectors = [self.vector(counts) for _, counts, _ in examples]
-        # Alike examples lie together, which keeps the blocks' bounds tight. Of equal vectors no more than can be
-        # nearest at a time are kept; one more, since a training example leaves itself out.
-        order = sorted(range(len(vectors)), key=lambda i: (*(vectors[i][0][:3].tolist()), *vectors[i][1][:3].round(2).tolist(), examples[i][0]))
-        seen: Counter = Counter()
-        kept = []
-        for i in order:
-            key = (vectors[i][0].tobytes(), vectors[i][1].tobytes())
-            seen[key] += 1
-            if seen[key] <= NEIGHBOURS + 1:
-                kept.append(i)
+        vectors = [self.vector(self.features.of(counts)) for _, counts, _ in examples]
+        # Alike examples lie together, which keeps the blocks' bounds tight.
+        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][:3].tolist(), vectors[i][1][:3].round(2).tolist(), examples[i][0]))
+        kept = few_of_each(vectors, order)
         self.ids = [examples[i][0] for i in kept]
         self.labels = labels[kept]
         self.index = BlockMaxIndex([vectors[i] for i in kept], len(vocabulary) + 1)
@@ -166,37 +275,59 @@ class ToxicityModel:
         self.silent_score = float((each * labels)[silent].sum() + rate) / float(each[silent].sum() + 1)
         place = {i: n for n, i in enumerate(kept)}
         loud = np.flatnonzero(~silent)
-        votes = [self.vote(self.index.nearest(*vectors[i], NEIGHBOURS, leave=place.get(i, -1))) for i in loud.tolist()]
+        votes = [self.vote(self.index.nearest(*vectors[i], NEIGHBOURS, leave=place.get(i, -1)), self.labels) for i in loud.tolist()]
         self.curve = logistic(np.array(votes), labels[loud], each[loud]) if votes else np.zeros(3)
+        self.learn_words(examples)
+
+    def learn_words(self, examples: list[tuple[str, Counter, int]]) -> None:
+        """The index of all words, and its curve from the examples without a chosen feature."""
+        examples = word_examples(examples)
+        labels = np.array([y for _, _, y in examples], np.int64)
+        share = labels.mean()
+        each = np.where(labels == 1, self.rate / share, (1 - self.rate) / (1 - share))
+        vectors = [self.words.of(counts) for _, counts, _ in examples]
+        silent = [not self.speaks(self.vector(self.features.of(counts))[0]) for _, counts, _ in examples]
+        common = [t[np.argsort(self.words.idf[t], kind="stable")[:4]].tolist() for t, _ in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (common[i], examples[i][0]))
+        kept = few_of_each(vectors, order)
+        self.word_ids = [examples[i][0] for i in kept]
+        self.word_labels = labels[kept]
+        self.word_index = WordIndex([vectors[i] for i in kept], len(self.words.number) + 1)
+        place = {i: n for n, i in enumerate(kept)}
+        quiet = [i for i in np.flatnonzero(silent).tolist() if len(vectors[i][0])]
+        votes = [self.vote(self.word_index.nearest(*vectors[i], NEIGHBOURS, leave=place.get(i, -1)), self.word_labels) for i in quiet]
+        self.word_curve = logistic(np.array(votes), labels[quiet], each[quiet]) if votes else None
 
     def speaks(self, terms: np.ndarray) -> bool:
         """Whether any chosen feature occurs."""
         return len(terms) > 0 and terms[0] != self.rest
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted(counts.items())
-        terms = np.array([i for i, _ in found], np.int64)
-        weights = np.sqrt(np.array([n for _, n in found], np.float64)) * self.idf[terms]
-        length = np.sqrt((weights * weights).sum())
-        return terms, weights / length if length else weights
+        return unit(np.array([*counts], np.int64), np.array([*counts.values()], np.int64), self.idf)
 
-    def vote(self, found: Neighbours) -> list[float]:
+    def vote(self, found: Neighbours, labels: np.ndarray) -> list[float]:
         """The share of toxic neighbours, weighted by closeness, less a half; and how near the nearest is."""
         if not len(found.examples):
             return [0.0, 0.0]
         weights = 1 / (0.05 + np.sqrt(np.maximum(0, 2 - 2 * found.similarity)))
-        return [float((weights * self.labels[found.examples]).sum() / weights.sum()) - 0.5, float(found.similarity[0])]
+        return [float((weights * labels[found.examples]).sum() / weights.sum()) - 0.5, float(found.similarity[0])]
 
     def score(self, raw: bytes) -> tuple[float, list[tuple[str, float, int]]]:
         if self.steady:
             return self.rate, []
-        terms, weights = self.vector(self.features.of(raw))
-        if not self.speaks(terms):
-            return min(max(self.silent_score, 0.0), 1.0), []
-        found = self.index.nearest(terms, weights, NEIGHBOURS)
-        vote, near = self.vote(found)
-        p = 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * vote + self.curve[2] * vote * near)))
-        return float(p), [(self.ids[i], min(1.0, float(s)), int(self.labels[i])) for i, s in zip(found.examples, found.similarity)]
+        words = counted(raw)
+        terms, weights = self.vector(self.features.of(words))
+        if self.speaks(terms):
+            index, ids, labels, curve = self.index, self.ids, self.labels, self.curve
+        else:
+            terms, weights = self.words.of(words)
+            if not len(terms) or self.word_curve is None:
+                return min(max(self.silent_score, 0.0), 1.0), []
+            index, ids, labels, curve = self.word_index, self.word_ids, self.word_labels, self.word_curve
+        found = index.nearest(terms, weights, NEIGHBOURS)
+        vote, near = self.vote(found, labels)
+        p = 1 / (1 + np.exp(-(curve[0] + curve[1] * vote + curve[2] * vote * near)))
+        return float(p), [(ids[i], min(1.0, float(s)), int(labels[i])) for i, s in zip(found.examples, found.similarity)]
 
 
 def logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -215,13 +346,19 @@ def logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge:
 
 
 def example_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, raw, toxic) of the sample. Only ids of the sample, a bounded number, are broadcast."""
+    """(id, raw, toxic) of the sample, stored. Only ids of the sample, a bounded number, are broadcast."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ranked = known.withColumn("h", F.xxhash64("doc_id"))
     chosen = [ranked.where(f"toxic = {y}").orderBy("h", "doc_id").limit(n) for y, n in ((1, TOXIC_EXAMPLES), (0, CLEAN_EXAMPLES))]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("id"), "toxic"))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("raw"))
-    return rows.join(sample, "id")
+    sample = stored(rows.join(sample, "id").withColumn("h", F.xxhash64("id", "raw")), "toxicity")
+    size = F.octet_length("raw").cast("bigint")
+    if (sample.agg(F.sum(size).alias("n")).first()["n"] or 0) > SAMPLE_BYTES:
+        # Sizes of a sample, no texts, meet in one task.
+        sums = sample.select("h", size.alias("n")).distinct().withColumn("upto", F.sum("n").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
+        sample = sample.join(sums.where(F.col("upto") <= SAMPLE_BYTES).select("h").distinct(), "h")
+    return sample.dropDuplicates(["h"]).select("id", "raw", "toxic")
 
 
 def chosen_features(sample: DataFrame) -> list[bytes]:
@@ -263,24 +400,56 @@ def chosen_features(sample: DataFrame) -> list[bytes]:
     return sorted(kept)
 
 
-def inverse_frequencies(docs: DataFrame, text: str, vocabulary: list[bytes]) -> np.ndarray:
-    """log((1 + N) / (1 + df)) + 1 over all documents; all other words together count as in every document."""
-    size = len(vocabulary)
+def inverse_frequencies(docs: DataFrame, text: str, vocabulary: list[bytes], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """log((1 + N) / (1 + df)) + 1 over all documents, of features and of whole words; all other words together count as
+    in every document."""
+    size, most = len(vocabulary), len(vocabulary) + len(words)
+    held = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, counts, rows = Features(vocabulary), np.zeros(size, np.int64), 0
+        features, counts, rows = Features(vocabulary), np.zeros(most, np.int64), 0
+        number = {w: size + i for i, w in enumerate(held.value)}
         for batch in slices(batches, text):
             for raw in raw_texts(batch.column(text)):
-                found = [i for i in features.of(raw) if i < size]
+                here = counted(raw)
+                found = [i for i in features.of(here) if i < size]
+                found += [number[w] for w in here if w in number]
                 counts[found] += 1
                 rows += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(-1, size)), pa.array(np.concatenate([[rows], counts]))], names=["i", "n"]
-        )
+        met = np.flatnonzero(counts)
+        for i in range(0, len(met), 100_000):
+            part = met[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([rows], pa.int64())], names=["i", "n"])
+
+    sums = docs.select(text).mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(most + 1, np.int64)
+    df[sums.column("i").to_numpy()] = sums.column("n").to_numpy()  # the number of rows stands last
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    return np.append(idf[:size], 1.0), np.append(idf[size:], 1.0)
 
-    df = {r["i"]: r["n"] for r in docs.select(text).mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    n = df.get(-1, 0)
-    return np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(size)] + [1.0])
+
+def examples_of(sample: DataFrame) -> list[tuple[str, Counter, int]]:
+    """(id, words with counts, label), ordered; words have no blanks, so they travel joined by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "raw"):
+            texts = [counted(raw) for raw in raw_texts(batch.column("raw"))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array([b" ".join(words) for words in texts], pa.binary()),
+                    pa.array([np.fromiter(words.values(), np.int64).tobytes() for words in texts], pa.binary()),
+                    batch.column("toxic"),
+                ],
+                names=["id", "words", "counts", "toxic"],
+            )
+
+    rows = sample.select(F.col("id").cast("string").alias("id"), "raw", "toxic").mapInArrow(run, "id string, words binary, counts binary, toxic int")
+    found = [
+        (r["id"], Counter(dict(zip(r["words"].split(), np.frombuffer(r["counts"], np.int64).tolist()))), r["toxic"]) for r in rows.toArrow().to_pylist()
+    ]
+    return sorted(found, key=lambda e: (e[0], e[2], sorted(e[1].items())))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
@@ -290,19 +459,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     vocabulary = chosen_features(sample)
     counts = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rate = counts.agg(F.avg("toxic").alias("p")).first()["p"]
-    idf = inverse_frequencies(docs, text, vocabulary)
-
-    def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts reduced to their features, so that whole texts never meet on the driver."""
-        features = Features(vocabulary)
-        for batch in slices(batches, "raw"):
-            rows = [list(features.of(raw).items()) for raw in raw_texts(batch.column("raw"))]
-            counts = pa.array(rows, pa.map_(pa.int32(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), counts, batch.column("toxic")], names=["id", "counts", "toxic"])
-
-    rows = sample.select(F.col("id").cast("string").alias("id"), "raw", "toxic").mapInArrow(counts_of, "id string, counts map<int,int>, toxic int")
-    examples = sorted(((r["id"], r["counts"], int(r["toxic"])) for r in rows.collect()), key=lambda e: (e[0], e[2]))
-    return ToxicityModel(vocabulary, idf, examples, float(rate or 0.0))
+    examples = examples_of(sample)
+    words = sorted(set().union(*(w for _, w, _ in word_examples(examples))))
+    idf, word_idf = inverse_frequencies(docs, text, vocabulary, words)
+    return ToxicityModel(vocabulary, idf, words, word_idf, examples, float(rate or 0.0))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:
@@ -325,5 +485,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text: str = "text")
 
 
 def remove_toxic(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:
-    """The documents that score below a half, with their own columns."""
-    return score_toxicity(docs, model, text=text).where("score < 0.5").select(*docs.columns)
+    """The documents that score below a half, with their own columns, also those named like a column of the score."""
+    own = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    kept = score_toxicity(own, model, text=f"_c{docs.columns.index(text)}").where("score < 0.5").drop(*(f.name for f in FIELDS))
+    return kept.toDF(*docs.columns)
