@@ -1,20 +1,28 @@
 """Line dedup by content-defined chunks of lines, in DataFrame operations only.
 
-A text is cut at line feeds. A rolling hash over the hashes of the last three
-lines closes a chunk where it hits a fixed residue, so the boundaries depend on
-nearby lines only and line up again after an insertion or a deletion. Chunks of
-two or more lines that occur more than once in the whole table are removed but for
-their first occurrence: lowest doc_id (null first), then lowest text hash, then place
-in the text. Hashes only propose; a chunk is removed only if its bytes equal those
-of the occurrence that stays.
-
-Texts without a line feed, empty and null texts stay as they are. A text that
-loses all its chunks becomes empty, its row stays. Rows that agree in doc_id and text
-share one decision. Columns with the names of new ones are replaced.
-
-Shuffled are: slim rows of hash, place and count; the chunk texts once, by
-hash; and the texts once, by document. A chunk that occurs in a third of all
-documents is counted before the shuffle and joined as a skewed key.
+A text is cut at line feeds. A rolling hash runs over the hashes of each two
+neighbouring lines. A chunk opens at a line unless the hash of it and the next
+hits one residue, and closes at the first later line unless the hash of it and
+the line before hits another, after MOST_LINES lines at most (else there is no
+chunk). Both lines at an end lie inside the chunk, so that its bounds do not
+depend on what surrounds it: a passage gives the same chunks in any text. Chunks
+begin and end with lines that are not blank (empty or spaces); they may overlap.
+
+A chunk that occurs more than once in the whole table is removed but for its
+first occurrence: lowest doc_id (null first), then lowest text hash, then place in
+the text; what overlaps the first occurrence is no repeat. Lines of any removed
+chunk go. Hashes only propose: a chunk goes only if its bytes equal those of the
+occurrence that stays. The first occurrence of a line in the whole table always stays.
+
+Texts of one line, empty and null texts stay as they are. A text that loses all its
+lines becomes empty, its row stays. Rows that agree in doc_id and text share one
+decision. Ids may be of any type with an order. Columns n_lines and n_removed are
+replaced, all others stay.
+
+Shuffled are: slim rows of hash and place; the texts once, by document; and those
+chunks that occur again, by hash. Repeated hashes and the bodies that stay are combined
+before their shuffle and stored; joins with them read exchanges on both sides, so that
+adaptive execution can split a chunk that a third of all documents share.
 """
 
 from __future__ import annotations
@@ -24,14 +32,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doseframe.llm.common import quoted, without
+from doseframe.llm.common import quoted, stored, without
 
-#: A boundary follows one line in so many.
-DIVISOR = 4
+#: One pair of lines in so many does not open a chunk, and one does not close it.
+DIVISOR = 16
+MOST_LINES = 8
 MULTIPLIER = 31
-#: Stands for a missing id, and so comes first.
-NULL_ID = -(2**63)
-WINDOW = 3
 
 
 def line_hash(line: Column) -> Column:
@@ -39,83 +45,106 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("bigint")
 
 
-def cuts(hashes: Column) -> Column:
-    """Numbers, from 1, of the lines that close a chunk: where the rolling hash says so, and the last."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once per row however often the body names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def rolling(i: Column) -> Column:
-        parts = [
-            F.when(i > back, F.element_at(hashes, F.greatest(i - back, F.lit(1)))).otherwise(F.lit(0)) * MULTIPLIER**back
-            for back in range(WINDOW)
-        ]
-        return sum(parts[1:], parts[0])
 
-    places = F.sequence(F.lit(1), F.size(hashes))
-    return F.filter(places, lambda i: ((rolling(i) % 65521) % DIVISOR == 0) | (i == F.size(hashes)))
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once per row however often the body names it, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def chunk_body(lines: Column, at: Column, end: Column) -> Column:
+    return F.array_join(F.slice(lines, at + 1, end - at + 1), "\n")
+
+
+def chunks_of(lines: Column) -> Column:
+    """The chunks of a text's lines: (at, end), the numbers from 0 of the first and last line."""
 
+    def pair(one: Column, two: Column) -> Column:
+        rolling = (one["hash"] * MULTIPLIER + two["hash"]) % 65521 % DIVISOR
+        return F.struct((one["full"] & (rolling != 0)).alias("opens"), (two["full"] & (rolling != 1)).alias("closes"))
 
-def chunks_of(text: Column) -> Column:
-    """The chunks of a text in order (body, n_lines); joined by line feeds they give the text."""
+    def bounds(pairs: Column) -> Column:
+        def chunk(p: Column, at: Column) -> Column:
+            further = F.array_position(F.transform(F.slice(pairs, at + 2, MOST_LINES - 2), lambda q: q["closes"]), True).cast("int")
+            end = F.when(p["closes"], at + 1).when(further > 0, at + 1 + further)
+            return F.struct(at.alias("at"), F.when(p["opens"], end).alias("end"))
 
-    def chunked(lines: Column, ends: Column) -> Column:
-        def chunk(end: Column, i: Column) -> Column:
-            start = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
-            return F.struct(F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("body"), (end - start).alias("n_lines"))
+        return F.filter(F.transform(pairs, chunk), lambda c: c["end"].isNotNull())
 
-        return F.transform(ends, chunk)
+    def pairs_of(hashed: Column) -> Column:
+        n = F.size(hashed) - 1
+        return F.zip_with(F.slice(hashed, F.lit(1), n), F.slice(hashed, F.lit(2), n), pair)
 
-    return let(
-        F.split(F.coalesce(text, F.lit("")), "\n"),
-        lambda lines: let(F.transform(lines, line_hash), lambda hashes: let(cuts(hashes), lambda ends: chunked(lines, ends))),
-    )
+    hashed = F.transform(lines, lambda x: F.struct(line_hash(x).alias("hash"), (F.trim(x) != "").alias("full")))
+    return let(let(hashed, pairs_of), bounds)
 
 
-def repeated_chunks(keyed: DataFrame) -> DataFrame:
-    """(_id, _key, _repeats): for each document the numbers of its chunks that an earlier occurrence equals byte for byte."""
-    chunks = keyed.select("_id", "_key", F.posexplode(chunks_of(F.col("_text"))).alias("_at", "_chunk"))
-    # Bodies are never null. Saying so keeps Spark from adding the check for one of the two readers below, which would
-    # then not share the exchange of the texts.
-    chunks = chunks.where("_chunk.n_lines > 1 AND _chunk.body IS NOT NULL").select(
-        "_id", "_key", "_at", F.col("_chunk.body").alias("_body"),
-        F.md5(F.col("_chunk.body").cast("binary")).alias("_hash"),
-    )
-    place = F.struct("_id", "_key")
+def hashed_chunks(text: Column) -> Column:
+    """(at, end, hash) of the chunks of a text."""
+
+    def hashed(lines: Column) -> Column:
+        def one(c: Column) -> Column:
+            return c.withField("hash", F.unhex(F.md5(chunk_body(lines, c["at"], c["end"]).cast("binary"))))
+
+        return F.transform(chunks_of(lines), one)
+
+    return let(lines_of(text), hashed)
+
+
+def repeated_lines(texts: DataFrame, docs_key: Column) -> DataFrame:
+    """(_id, _key, _gone): for each document the numbers of its lines in chunks that an earlier occurrence equals byte for byte.
+
+    ``texts`` has _id, _key and _text; ``docs_key`` tells equal ids and keys of "d" and "w" in a join.
+    """
+    chunks = texts.select("_id", "_key", F.explode(hashed_chunks(F.col("_text"))).alias("_c"))
+    chunks = chunks.select("_id", "_key", F.col("_c.at").alias("_at"), F.col("_c.end").alias("_end"), F.col("_c.hash").alias("_hash"))
+    place = F.struct("_id", "_key", "_at", "_end")
     counts = chunks.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
-    found = chunks.join(counts.select("_hash", "_first"), "_hash")
-    # "First" is a least value, so the document of the first occurrence is told by an order. An equality would become
-    # a join key, and so would plain equality of bodies below; texts would then be shuffled again by these keys.
-    own = place <= F.col("_first")
-    owners = found.where(own).groupBy("_hash").agg(F.min("_at").alias("_first_at"), F.min_by("_body", "_at").alias("_first_body"))
-    equal = F.col("_body").startswith(F.col("_first_body")) & F.col("_first_body").startswith(F.col("_body"))
-    # That document may hold the chunk again further down.
-    same = found.join(owners, "_hash").where(equal & (~own | (F.col("_at") > F.col("_first_at"))))
-    return same.groupBy("_id", "_key").agg(F.collect_set("_at").alias("_repeats"))
+    counts = stored(counts.select("_hash", "_first"), "lines-repeated")
+    first = F.col("_first")
+    own = F.col("_id").eqNullSafe(first["_id"]) & (F.col("_key") == first["_key"])
+    marked = chunks.join(counts, "_hash").withColumn("_stays", own & (F.col("_at") == first["_at"]))
+    marked = marked.where(F.col("_stays") | ~own | (F.col("_at") > first["_end"]))
+    # Places go to the documents and fetch the chunks there, so that only repeated ones are shuffled with their bytes.
+    wanted = marked.groupBy("_id", "_key").agg(F.collect_set(F.struct("_at", "_end", "_hash", "_stays")).alias("_wanted"))
+    wanted = stored(wanted, "lines-wanted")
+
+    def fetched(lines: Column) -> Column:
+        return F.transform("_wanted", lambda c: c.withField("_body", chunk_body(lines, c["_at"], c["_end"])))
+
+    met = texts.alias("d").join(wanted.alias("w"), docs_key)
+    bodies = met.select("d._id", "d._key", F.explode(let(lines_of(F.col("_text")), fetched)).alias("_c")).select("_id", "_key", "_c.*")
+    kept = stored(bodies.where("_stays").groupBy("_hash").agg(F.max("_body").alias("_body")), "lines-kept")
+    same = bodies.where("NOT _stays").join(kept, ["_hash", "_body"])
+    return same.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("_at", "_end")))).alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with new texts, n_lines, n_removed (lines)."""
     rest = without(docs, ["n_lines", "n_removed"])
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = rest.withColumns({"_id": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)), "_key": F.md5(body.cast("binary"))})
-    repeats = repeated_chunks(keyed.select("_id", "_key", F.col(text).alias("_text")))
-    joined = keyed.alias("d").join(repeats.alias("r"), ["_id", "_key"], "left")
-    # Chunks are cut again after the join, so that texts pass the shuffle once; only texts that lose something are.
-    whole = F.when(F.length(body) > 0, F.size(F.split(body, "\n"))).otherwise(0).cast("bigint")
-
-    def rest_of(chunks: Column) -> Column:
-        kept = F.filter(chunks, lambda c, i: ~F.array_contains("_repeats", i))
-        return F.struct(
-            F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("body"),
-            F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, c: acc + c["n_lines"]).alias("n_lines"),
-        )
-
-    touched = F.col("_repeats").isNotNull()
-    marked = joined.withColumn("_rest", F.when(touched, let(chunks_of(F.col(text)), rest_of)))
-    new = F.when(F.col("_rest").isNotNull(), F.col("_rest.body")).otherwise(F.col(text))
-    lost = F.when(F.col("_rest").isNotNull(), whole - F.col("_rest.n_lines")).otherwise(F.lit(0).cast("bigint"))
-    same = [quoted(c) if c != text else new.alias(text) for c in rest.columns]
-    return marked.select(*same, whole.alias("n_lines"), lost.alias("n_removed"))
+    key = "_key"
+    while key in {c.lower() for c in rest.columns}:
+        key += "_"
+    body = F.coalesce(quoted(text), F.lit(""))
+    keyed = rest.withColumn(key, F.unhex(F.md5(body.cast("binary"))))
+    texts = keyed.select(quoted(doc_id).alias("_id"), F.col(key).alias("_key"), quoted(text).alias("_text"))
+
+    def document(id_name: str, key_name: str) -> Column:
+        return F.col(f"d.`{id_name}`").eqNullSafe(F.col("w._id")) & (F.col(f"d.`{key_name}`") == F.col("w._key"))
+
+    gone = repeated_lines(texts, document("_id", "_key"))
+    joined = keyed.alias("d").join(gone.alias("w"), document(doc_id, key), "left")
+
+    def rest_of(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("w._gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    old = F.col(f"d.`{text}`")
+    touched = F.col("w._gone").isNotNull()
+    new = F.when(touched, let(lines_of(old), rest_of)).otherwise(old)
+    whole = F.when(F.length(old) > 0, F.size(lines_of(old))).otherwise(0).cast("bigint")
+    lost = F.when(touched, F.size("w._gone")).otherwise(0).cast("bigint")
+    columns = [new.alias(text) if c == text else F.col("d.`" + c.replace("`", "``") + "`") for c in rest.columns]
+    return joined.select(*columns, whole.alias("n_lines"), lost.alias("n_removed"))

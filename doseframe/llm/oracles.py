@@ -55,24 +55,28 @@ WITH d AS (
     SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), h AS (
     SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS hs FROM d
-), c AS (
-    SELECT *, list_filter(range(1, len(hs) + 1), lambda i:
-        ((hs[i] + CASE WHEN i > 1 THEN 31 * hs[i - 1] ELSE 0 END + CASE WHEN i > 2 THEN 961 * hs[i - 2] ELSE 0 END) % 65521) % 4 = 0
-        OR i = len(hs)) AS ends
-    FROM h
+), r AS (
+    SELECT *, list_transform(range(1, len(ls)), lambda i: (31 * hs[i] + hs[i + 1]) % 65521 % 16) AS rs FROM h
+), o AS (
+    SELECT doc_id, k, ls, rs, unnest(range(1, len(ls))) AS i FROM r
 ), e AS (
-    SELECT doc_id, t, k, ls, unnest(range(1, len(ends) + 1)) AS pos, ends FROM c
-), chunks AS (
-    SELECT doc_id, t, k, pos,
-        array_to_string(ls[(CASE WHEN pos > 1 THEN ends[pos - 1] ELSE 0 END) + 1 : ends[pos]], chr(10)) AS body,
-        ends[pos] - (CASE WHEN pos > 1 THEN ends[pos - 1] ELSE 0 END) AS n
-    FROM e
-), ranked AS (
-    SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id NULLS FIRST, k, pos) > 1 AS gone FROM chunks
+    SELECT doc_id, k, ls, i, list_filter(range(i, least(i + 7, len(ls))), lambda q: rs[q] <> 1 AND trim(ls[q + 1], ' ') <> '')[1] + 1 AS fin
+    FROM o WHERE rs[i] <> 0 AND trim(ls[i], ' ') <> ''
+), c AS (
+    SELECT doc_id, k, i, fin, array_to_string(ls[i : fin], chr(10)) AS body FROM e WHERE fin IS NOT NULL
+), f AS (
+    SELECT *, first_value(struct_pack(a := doc_id, b := k, c := i, d := fin))
+        OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, k, i) AS o FROM c
+), gone AS (
+    SELECT DISTINCT doc_id, k, unnest(range(i, fin + 1)) AS at FROM f
+    WHERE doc_id IS DISTINCT FROM o.a OR k <> o.b OR i > o.d
+), l AS (
+    SELECT doc_id, t, k, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS at FROM d
 )
-SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE sum(n)::BIGINT END AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0)::BIGINT AS n_removed,
-    sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id, k, t
+SELECT l.doc_id, CASE WHEN t = '' THEN 0 ELSE count(*) END::BIGINT AS n_lines, count(gone.at)::BIGINT AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY l.at) FILTER (WHERE gone.at IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone ON l.doc_id IS NOT DISTINCT FROM gone.doc_id AND l.k = gone.k AND l.at = gone.at
+GROUP BY l.doc_id, l.k, t
 """
 
 ORACLES["op3_phrases"] = r"""
