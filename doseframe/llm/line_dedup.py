@@ -93,12 +93,14 @@ def hashed_chunks(text: Column) -> Column:
     return let(lines_of(text), hashed)
 
 
-def repeated_lines(texts: DataFrame, docs_key: Column) -> DataFrame:
-    """(_id, _key, _gone): for each document the numbers of its lines in chunks that an earlier occurrence equals byte for byte.
+def document(doc_id: str, key: str) -> Column:
+    """Joins the documents "d" with places "w"."""
+    return F.col(f"d.`{doc_id}`").eqNullSafe(F.col("w._id")) & (F.col(f"d.`{key}`") == F.col("w._key"))
 
-    ``texts`` has _id, _key and _text; ``docs_key`` tells equal ids and keys of "d" and "w" in a join.
-    """
-    chunks = texts.select("_id", "_key", F.explode(hashed_chunks(F.col("_text"))).alias("_c"))
+
+def repeated_lines(keyed: DataFrame, doc_id: str, key: str, text: str) -> DataFrame:
+    """(_id, _key, _gone): for each document the numbers of its lines in chunks that an earlier occurrence equals byte for byte."""
+    chunks = keyed.select(quoted(doc_id).alias("_id"), F.col(key).alias("_key"), F.explode(hashed_chunks(quoted(text))).alias("_c"))
     chunks = chunks.select("_id", "_key", F.col("_c.at").alias("_at"), F.col("_c.end").alias("_end"), F.col("_c.hash").alias("_hash"))
     place = F.struct("_id", "_key", "_at", "_end")
     counts = chunks.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
@@ -114,8 +116,9 @@ def repeated_lines(texts: DataFrame, docs_key: Column) -> DataFrame:
     def fetched(lines: Column) -> Column:
         return F.transform("_wanted", lambda c: c.withField("_body", chunk_body(lines, c["_at"], c["_end"])))
 
-    met = texts.alias("d").join(wanted.alias("w"), docs_key)
-    bodies = met.select("d._id", "d._key", F.explode(let(lines_of(F.col("_text")), fetched)).alias("_c")).select("_id", "_key", "_c.*")
+    # Columns by their names and in their order, as the caller joins them: with none beside them both joins share an exchange.
+    met = keyed.select(*[quoted(c) for c in keyed.columns if c in (doc_id, text, key)]).alias("d").join(wanted.alias("w"), document(doc_id, key))
+    bodies = met.select("w._id", "w._key", F.explode(let(lines_of(F.col(f"d.`{text}`")), fetched)).alias("_c")).select("_id", "_key", "_c.*")
     kept = stored(bodies.where("_stays").groupBy("_hash").agg(F.max("_body").alias("_body")), "lines-kept")
     same = bodies.where("NOT _stays").join(kept, ["_hash", "_body"])
     return same.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("_at", "_end")))).alias("_gone"))
@@ -128,13 +131,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     while key in {c.lower() for c in rest.columns}:
         key += "_"
     body = F.coalesce(quoted(text), F.lit(""))
-    keyed = rest.withColumn(key, F.unhex(F.md5(body.cast("binary"))))
-    texts = keyed.select(quoted(doc_id).alias("_id"), F.col(key).alias("_key"), quoted(text).alias("_text"))
-
-    def document(id_name: str, key_name: str) -> Column:
-        return F.col(f"d.`{id_name}`").eqNullSafe(F.col("w._id")) & (F.col(f"d.`{key_name}`") == F.col("w._key"))
-
-    gone = repeated_lines(texts, document("_id", "_key"))
+    # Never null: else the inner join's check for it would keep that join from sharing the exchange.
+    keyed = rest.withColumn(key, F.coalesce(F.unhex(F.md5(body.cast("binary"))), F.lit(b"")))
+    gone = repeated_lines(keyed, doc_id, key, text)
     joined = keyed.alias("d").join(gone.alias("w"), document(doc_id, key), "left")
 
     def rest_of(lines: Column) -> Column:

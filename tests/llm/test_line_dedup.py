@@ -93,6 +93,16 @@ def test_main_path_has_no_python(spark):
     assert "Arrow" not in plan and "Python" not in plan and "Cartesian" not in plan
 
 
+def test_texts_are_shuffled_once_beside_the_chunks_that_stay(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dedup_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+        out.collect()
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_query_matches_sql(spark):
     sf = "/root/testdata/sf0.01"
     name = "op10_line_dedup"
