@@ -67,6 +67,21 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in taken])
 
 
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with other names for columns that would clash with these, and what gives a result those of ``df`` again."""
+    taken, used = {n.lower() for n in names}, {c.lower() for c in df.columns}
+    moved: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in taken:
+            name = f"given_{c}"
+            while name.lower() in used | taken:
+                name += "_"
+            used.add(name.lower())
+            moved[c] = name
+    columns = [(moved.get(c, c), c) for c in df.columns]
+    return df.withColumnsRenamed(moved), lambda out: out.select(*[quoted(now).alias(given) for now, given in columns])
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

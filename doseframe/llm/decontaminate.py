@@ -12,8 +12,8 @@ the blocks one after the other in the same stage; no shuffle is added.
 
 Nulls, empty texts and texts of signs have no words: no hits, not contaminated,
 and as items they have no window. Repeated rows are scored each; several texts
-under one item id count as one item; an item without id is ignored. An empty
-benchmark leaves every document clean.
+under one item id count as one item; the windows of an item without id count as
+hits, but there is no id to list. An empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doseframe.llm.common import ALNUM_TABLE, add_columns, words_alnum
+from doseframe.llm.common import ALNUM_TABLE, add_columns, set_aside, words_alnum
 from doseframe.llm.shingles import mixed
 
 WINDOW = 13
@@ -42,7 +42,7 @@ FIELDS = [
 class WindowSet:
     """The windows of one block of items: by length, their hashes in order and their places in the items' word numbers."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.number: dict[bytes, int] = {}
         self.items = [item for item, _ in items]
         texts = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_alnum(text)], np.int32) for _, text in items]
@@ -91,7 +91,7 @@ class WindowSet:
                     found = found[self.words[found + k] == ids[i + k]]
                 if len(found):
                     spans.append((i, i + size))
-                    items.update(self.items[x] for x in self.item_of(found).tolist())
+                    items.update(name for x in self.item_of(found).tolist() if (name := self.items[x]) is not None)
         return spans, items
 
 
@@ -126,10 +126,10 @@ def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, set_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(benchmark: DataFrame, item: str, text: str, set_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items dealt into blocks of about ``set_bytes`` bytes; one block is on the driver at a time."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.encode(F.col(text), "UTF-8").alias("text"))
-    rows = rows.where("item IS NOT NULL AND text IS NOT NULL")
+    rows = rows.where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = -(-size // set_bytes)
     for b in range(blocks):
@@ -192,9 +192,9 @@ def contaminated(hit: Column, words: Column) -> Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    found = find_contamination(docs, benchmark, **options)
-    kept = found.where(~contaminated(n_hit(), F.col("n_words")))
-    return kept.select(*docs.columns)
+    own, given = set_aside(docs, [f.name for f in FIELDS])
+    found = find_contamination(own, benchmark, **options)
+    return given(found.where(~contaminated(n_hit(), F.col("n_words"))))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
@@ -213,5 +213,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", *
 
         return run
 
-    found = find_contamination(docs, benchmark, text=text, **options)
-    return add_columns(found, text, [T.StructField(text, T.StringType())], start).select(*docs.columns)
+    own, given = set_aside(docs, [f.name for f in FIELDS])
+    found = find_contamination(own, benchmark, text=text, **options)
+    return given(add_columns(found, text, [T.StructField(text, T.StringType())], start))

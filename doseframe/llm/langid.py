@@ -32,6 +32,8 @@ HIDDEN = 8
 #: The training sample: so many documents of each language at most, by a hash of their text, and so many windows of each.
 SAMPLE_DOCUMENTS = 400
 SAMPLE_WINDOWS = 6
+#: Sections of input tasks that rank their texts before those of a language meet.
+SECTIONS = 256
 STEPS = 240
 BATCH = 384
 #: Windows that are scored together.
@@ -205,7 +207,6 @@ def training_windows(docs: DataFrame, text: str, lang: str, documents: int = SAM
     """(lang, piece): at most ``documents`` texts of each language, lowest hashes first, and ``windows`` stretches of each."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    place = Window.partitionBy("lang").orderBy("h", "piece")
     width = F.length("text")
 
     def piece(i: int) -> Column:
@@ -214,8 +215,14 @@ def training_windows(docs: DataFrame, text: str, lang: str, documents: int = SAM
 
     # Only stretches are ranked, so that neither the shuffle nor the driver sees whole texts.
     short = rows.select("lang", F.xxhash64("text").alias("h"), F.array(*[piece(i) for i in range(windows)]).alias("piece"))
-    ranked = short.withColumn("n", F.row_number().over(place)).where(F.col("n") <= documents)
-    return ranked.select("lang", F.explode("piece").alias("piece")).where("length(piece) > 0")
+
+    def lowest(of: DataFrame, *parts: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy("h", "piece"))
+        return of.withColumn("n", place).where(F.col("n") <= documents)
+
+    # Input tasks are ranked in sections first: a language's rows would else all meet in one task.
+    sections = lowest(short.withColumn("section", F.spark_partition_id() % SECTIONS), "lang", "section")
+    return lowest(sections, "lang").select("lang", F.explode("piece").alias("piece")).where("length(piece) > 0")
 
 
 def fit_language_model(docs: DataFrame, *, text: str = "text", lang: str = "lang", steps: int = STEPS) -> LanguageModel | None:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doseframe.llm.common import add_columns, filter_of, raw_texts, slices, stored, without
+from doseframe.llm.common import add_columns, filter_of, raw_texts, set_aside, slices, stored
 from doseframe.llm.components import components
 from doseframe.llm.shingles import blank_word_hashes, mixed, rolled, signed
 
@@ -333,15 +333,15 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id. Texts without words all stay."""
+    docs, given = set_aside(docs, ["n_shingles", "node", "_again"])
     found = stored(jaccard_components(docs, doc_id=doc_id, text=text, **options), "ngram-components")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     lone = first.where("n_shingles = 0").select("doc_id", "node").distinct()
     # Where an id is repeated inside its component, one of its sets stays.
     rest = first.where("n_shingles > 0").groupBy("group", "doc_id").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
     keep = rest.select("doc_id", "node", (F.col("n") > 1).alias("_again")).unionByName(lone.withColumn("_again", F.lit(False)))
-    with_nodes = add_nodes(without(docs, ["n_shingles", "node", "_again"]), text, options.get("shingle", SHINGLE)).alias("d")
+    with_nodes = add_nodes(docs, text, options.get("shingle", SHINGLE)).alias("d")
     same = F.col(f"d.{doc_id}").eqNullSafe(F.col("k.doc_id")) & (F.col("d.node") == F.col("k.node"))
     kept = with_nodes.join(keep.alias("k"), same).select("d.*", "k._again")
-    single = kept.where("NOT _again").select(*docs.columns)
-    again = kept.where("_again").dropDuplicates([doc_id, "node"]).select(*docs.columns)
-    return single.unionByName(again)
+    again = kept.where("_again").dropDuplicates([doc_id, "node"])
+    return given(kept.where("NOT _again").unionByName(again))

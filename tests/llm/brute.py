@@ -23,10 +23,10 @@ def contamination(docs, items, n=13):
     for item, text in items:
         words = alnum_words(text)
         size = min(n, len(words))
-        if item is None or not size:
+        if not size:
             continue
         for i in range(len(words) - size + 1):
-            windows[tuple(words[i : i + size])].add(str(item))
+            windows[tuple(words[i : i + size])].update([] if item is None else [str(item)])
     sizes = {len(w) for w in windows}
     out = []
     for doc, text in docs:
@@ -34,7 +34,7 @@ def contamination(docs, items, n=13):
         for size in sizes:
             for i in range(len(words) - size + 1):
                 names = windows.get(tuple(words[i : i + size]))
-                if names:
+                if names is not None:
                     hit.update(range(i, i + size))
                     found |= names
         out.append((doc, len(words), len(hit), sorted(found)))

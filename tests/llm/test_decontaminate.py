@@ -21,7 +21,7 @@ def corpus(seed=1):
     items = [(i, text(n)) for i, n in enumerate([30, 13, 12, 5, 1, 0, 40])]
     items += [(None, text(20)), (7, None), (8, "... --"), (0, text(15))]
     docs = [(i, text(rng.randrange(0, 80))) for i in range(40)]
-    docs += [(100, text(30) + items[0][1] + text(30)), (101, items[6][1].upper()), (None, items[1][1]), (102, None), (103, ""), (104, ", .")]
+    docs += [(99, items[7][1] + text(9)), (100, text(30) + items[0][1] + text(30)), (101, items[6][1].upper()), (None, items[1][1]), (102, None), (103, ""), (104, ", .")]
     return docs + docs[:2], items
 
 
@@ -40,6 +40,16 @@ def test_empty_tables_and_clashing_columns(spark, table):
     some = spark.createDataFrame([(1, "a b")], "item_id int, text string")
     assert found(dec.find_contamination(table([]), some)) == []
     assert dec.remove_contaminated(docs, some).columns == docs.columns
+    own = table([(2, "c"), (5, "q r")]).withColumnsRenamed({"lang": "N_WORDS", "source": "hit_items"})
+    for made in (dec.remove_contaminated(own, some), dec.remove_spans(own, some)):
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, own.collect()))
+
+
+def test_items_without_id_hit_but_have_no_name(spark, table):
+    passage = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, passage), (4, " ".join(passage.split()[:13]))], "item_id int, text string")
+    got = found(dec.find_contamination(table([(1, "a " + passage), (2, passage[3:])]), bench))
+    assert got == [(1, 21, 20, ["4"]), (2, 19, 19, [])]
 
 
 def test_documents_and_spans_are_removed(spark, table):

@@ -38,6 +38,13 @@ def test_held_out_accuracy(spark):
     assert len(held) > 100 and (held.lang_pred == held.lang).mean() >= 0.97
 
 
+def test_sample_is_the_lowest_hashes_of_all_tasks(table):
+    docs = table([(i, f"text {i % 300} of words") for i in range(900)], parts=7)
+    got = sorted(r.piece for r in langid.training_windows(docs, "text", "lang", 50, 1).collect())
+    every = docs.select(F.xxhash64("text").alias("h"), "text").collect()
+    assert got == sorted(t for _, t in sorted(map(tuple, every))[:50])
+
+
 def test_defined_results(spark, table):
     docs = table([(i, t) for i, t in enumerate(["the and of that", "und der die das"] * 30)])
     docs = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))

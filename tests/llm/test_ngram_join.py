@@ -102,3 +102,10 @@ def test_a_group_is_dealt_by_its_blocks(spark, table, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32m")
     assert got == {d: (n, c, k) for d, n, c, k in jaccard(docs)}
     assert "Exchange hashpartitioning(grp#" in plans[0] and ", low#" in plans[0].split("FlatMapGroupsInArrow")[1].split("Exchange")[1]
+
+
+def test_columns_of_the_same_names_keep_their_values(table):
+    docs = table([(1, "a b c d"), (2, "a b c d"), (3, "x y z")]).withColumnsRenamed({"lang": "node", "source": "N_shingles", "n_chars": "_again"})
+    kept = ng.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id != 2)
