@@ -297,3 +297,26 @@ def test_facts_are_reduced_by_hash(facts, sets):
 
     plan = best_rows(facts, "ord")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_treatments_without_an_allowed_set_are_dropped_before_ranking(spark, monkeypatch):
+    """A set of each treatment is too large, too small or allowed; null keys stay, with their results."""
+    sizes = {("big", "c"): 30, ("small", "c"): 2, ("right", "c"): 6, (None, "c"): 6, ("none", None): 30}
+    rows = [
+        (f"g{g}", float(g % 7 - 3), (g % 9 + 1) / 10, drug, 5.0, line, g, 0)
+        for (drug, line), n in sizes.items()
+        for g in [*range(n), *range(100, 110)]
+    ]
+    facts = spark.createDataFrame(rows, DE)
+    sets = spark.createDataFrame([("s", f"G{g}") for g in range(30)] + [(None, "G100")], "pathway string, gene string")
+    whole = E.significance(N.null_tails(E.scored_members(E.with_sets(E.ranked_genes(facts, "ord"), sets, 3, 12)), 30))
+    seen = set()
+
+    def watched(scored, *args):
+        seen.update((r.drug, r.cell_line) for r in scored.select("drug", "cell_line").distinct().collect())
+        return N.null_tails(scored, *args)
+
+    monkeypatch.setattr("doseframe.plans.enrich.null_tails", watched)
+    found = results(prerank(facts, sets, "ord", PARAMS))
+    assert seen == {("right", "c"), (None, "c"), ("none", None)}
+    assert found == results(E.public(whole)) and len(found) == 2
