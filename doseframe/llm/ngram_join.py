@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from doseframe.llm.common import add_columns, filter_of, raw_texts, set_aside, slices, stored
 from doseframe.llm.components import components
@@ -266,10 +267,10 @@ def block_links(threshold: int):
 
 def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(node, root, n_links) of every node that links with a different one; ``copies`` has the documents (weight) of each node."""
-    # Read twice below, to find the hubs and to tie nodes to them.
-    rows = stored(segment_rows(docs, text, shingle, threshold), "ngram-segments")
-    stars = rows.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("sig", "hub")
-    ties = rows.join(stars, "sig").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    # Segments are by far the most rows: they are shuffled once, not stored, and leave the task only as ties.
+    hub = F.min("node").over(Window.partitionBy("sig"))
+    rows = segment_rows(docs, text, shingle, threshold).withColumn("hub", hub)
+    ties = rows.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(ties, "ngram-ties")
     member = stored(
         groups.select(F.col("a").alias("node"), F.col("b").alias("grp")).unionByName(groups.select(F.col("b").alias("node"), F.col("b").alias("grp")).distinct()),
