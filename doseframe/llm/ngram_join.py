@@ -266,7 +266,7 @@ def block_links(threshold: int):
 
 
 def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(node, root, n_links) of every node that links with a different one; ``copies`` has the documents (weight) of each node."""
+    """(node, root, n_links) of every node that links with a different one; ``copies`` has the documents (weight) and shingles (n_shingles) of each node."""
     # Segments are by far the most rows: they are shuffled once, not stored, and leave the task only as ties.
     hub = F.min("node").over(Window.partitionBy("sig"))
     rows = segment_rows(docs, text, shingle, threshold).withColumn("hub", hub)
@@ -276,11 +276,12 @@ def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shi
         groups.select(F.col("a").alias("node"), F.col("b").alias("grp")).unionByName(groups.select(F.col("b").alias("node"), F.col("b").alias("grp")).distinct()),
         "ngram-groups",
     )
-    sets = stored(tied_sets(docs, text, shingle, member).join(member, "node").join(copies, "node"), "ngram-sets")
-
-    sizes = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    # Blocks follow from the numbers of shingles, so that the sets themselves are shuffled by node and by blocks only, and not stored.
+    sized = member.join(copies, "node")
+    sizes = sized.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    placed = sets.join(sizes.select("grp", blocks.alias("blocks")), "grp")
+    dealt = sized.join(sizes.select("grp", blocks.alias("blocks")), "grp").select("node", "grp", "weight", "blocks")
+    placed = tied_sets(docs, text, shingle, member).join(dealt, "node")
     placed = placed.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Every pair of blocks is one group, so a group of copies of any size is many tasks of bounded size.
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -315,8 +316,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     slim = stored(add_nodes(texts, "text", options.get("shingle", SHINGLE)).select("doc_id", "n_shingles", "node"), "ngram-docs")
-    copies = slim.where("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    links = jaccard_links(texts, copies.select("node", F.col("copies").alias("weight")), **options)
+    copies = slim.where("n_shingles > 0").groupBy("node").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles")
+    )
+    links = jaccard_links(texts, copies.select("node", F.col("copies").alias("weight"), "n_shingles"), **options)
     # One row per distinct set; hot sets are combined before they are joined.
     named = copies.join(links, "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("group"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")

@@ -111,8 +111,8 @@ def test_columns_of_the_same_names_keep_their_values(table):
     assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id != 2)
 
 
-def test_segments_are_shuffled_once_and_not_stored(table, monkeypatch):
-    """Segments are most of the join's rows; what is stored and shuffled beside them decides its disk use."""
+def test_segments_and_sets_are_not_stored_and_segments_shuffled_once(table, monkeypatch):
+    """Segments and sets are most of the join's bytes; how often they are written decides its disk use."""
     plans, kept = {}, ng.components
     monkeypatch.setattr(ng, "components", lambda edges, label: plans.setdefault(label, edges) and kept(edges, label))
     labels, write = [], ng.stored
@@ -120,6 +120,6 @@ def test_segments_are_shuffled_once_and_not_stored(table, monkeypatch):
     docs = corpus(4)
     want = [(doc, n, doc if n == 0 else component, links) for doc, n, component, links in jaccard(docs)]
     assert found(ng.jaccard_components(table(docs))) == sorted(want, key=str)
-    assert "ngram-segments" not in labels
+    assert not {"ngram-segments", "ngram-sets"} & set(labels)
     plan = plans["ngram-ties"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(sig") == 1, plan
