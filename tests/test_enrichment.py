@@ -320,3 +320,13 @@ def test_treatments_without_an_allowed_set_are_dropped_before_ranking(spark, mon
     found = results(prerank(facts, sets, "ord", PARAMS))
     assert seen == {("right", "c"), (None, "c"), ("none", None)}
     assert found == results(E.public(whole)) and len(found) == 2
+
+
+def test_facts_of_treatments_without_an_allowed_set_are_not_shuffled(facts, sets):
+    """The treatments to rank are broadcast and meet the facts below the aggregate, so before any shuffle of them."""
+    lines = E.rankable_genes(E.best_rows(facts, "ord"), sets, 3, 12)._jdf.queryExecution().executedPlan().toString().splitlines()
+    (join,) = [i for i, line in enumerate(lines) if "LeftSemi" in line]
+    assert "BroadcastHashJoin" in lines[join]
+    first = next(i for i, line in enumerate(lines) if "partial_min_by" in line)
+    shuffles = [i for i, line in enumerate(lines[:join]) if "Exchange" in line]
+    assert first < join and shuffles and max(shuffles) < first
