@@ -30,6 +30,21 @@ def test_no_input_is_cut(spark):
     assert t.external_names().count() == t.raw("part").count()
 
 
+def test_facts_are_not_shuffled_for_customers(spark):
+    """Customers are joined with the orders, whatever their number."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Tables(spark, SF)
+        lines = t.de_from(t.raw("lineitem"))._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    (at,) = [i for i, line in enumerate(lines) if "SortMergeJoin [o_custkey" in line]
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+    assert not any("l_extendedprice" in line for line in lines[at:below])
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     assert differences(actual(QUERIES[name](spark, SF)), expected(duck, ORACLES[name])) == []
