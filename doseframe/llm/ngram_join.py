@@ -9,8 +9,8 @@ more than D fragments, at least one pair of their segments is equal. The steps:
 2. Every node emits a hash of each segment. Nodes that share one are tied to the
    smallest of them: a star, not all pairs. The connected components of these
    ties hold all links, and nodes outside of them have none.
-3. Nodes of a component meet in tasks, in blocks of bounded size, every pair of
-   blocks once. There the order, rarest shingle first, is cut into fragments
+3. Nodes of a component meet in tasks, in blocks of bounded size and like numbers of
+   shingles, every pair of blocks whose sizes allow a link once. There the order, rarest shingle first, is cut into fragments
    again; for each node the partial overlaps with all others are counted fragment
    by fragment and summed per pair, and pairs that can no longer reach the
    threshold drop out. Only links' counts and a spanning root per node leave a task.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -265,6 +265,42 @@ def block_links(threshold: int):
     return run
 
 
+def size_band(size: str, threshold: int) -> Column:
+    """Sizes of two linked sets are of one band or of neighbouring ones, as their ratio is at most 100 / threshold.
+
+    Bands are a little wider than that, so that rounding does no harm.
+    """
+    return F.floor(F.log(F.col(size)) / max(1.001 * math.log(100 / threshold), 0.01)).cast("int")
+
+
+def banded_blocks(sized: DataFrame) -> DataFrame:
+    """(grp, band, start, blocks, below, above): blocks of each band of a group, numbered by band, and how many the neighbouring bands have.
+
+    A group of one block in all has no bands.
+    """
+
+    def count(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    whole = Window.partitionBy("grp")
+    ordered = whole.orderBy("band")
+    bands = sized.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+    bands = bands.withColumn("single", count(F.sum("n").over(whole), F.sum("bytes").over(whole)) == 1)
+    bands = bands.withColumn("blocks", count(F.col("n"), F.col("bytes")))
+    columns = {
+        "start": F.sum("blocks").over(ordered).cast("int") - F.col("blocks"),
+        "below": F.when(F.lag("band").over(ordered) == F.col("band") - 1, F.lag("blocks").over(ordered)),
+        "above": F.when(F.lead("band").over(ordered) == F.col("band") + 1, F.lead("blocks").over(ordered)),
+    }
+    bands = bands.withColumns(columns)
+    return bands.select(
+        "grp",
+        "band",
+        *[F.when(F.col("single"), 0).otherwise(F.coalesce(c, F.lit(0))).alias(c) for c in ("start", "below", "above")],
+        F.when(F.col("single"), 1).otherwise(F.col("blocks")).alias("blocks"),
+    )
+
+
 def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(node, root, n_links) of every node that links with a different one; ``copies`` has the documents (weight) and shingles (n_shingles) of each node."""
     # Segments are by far the most rows: they are shuffled once, not stored, and leave the task only as ties.
@@ -277,14 +313,13 @@ def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shi
         "ngram-groups",
     )
     # Blocks follow from the numbers of shingles, so that the sets themselves are shuffled by node and by blocks only, and not stored.
-    sized = member.join(copies, "node")
-    sizes = sized.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = sized.join(sizes.select("grp", blocks.alias("blocks")), "grp").select("node", "grp", "weight", "blocks")
+    sized = member.join(copies, "node").withColumn("band", size_band("n_shingles", threshold))
+    dealt = sized.join(banded_blocks(sized), ["grp", "band"]).select("node", "grp", "weight", "start", "blocks", "below", "above")
     placed = tied_sets(docs, text, shingle, member).join(dealt, "node")
-    placed = placed.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Every pair of blocks is one group, so a group of copies of any size is many tasks of bounded size.
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("blk", F.col("start") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Every pair of blocks of like sizes is one group, so a group of copies of any size is many tasks of bounded size.
+    reach = F.sequence(F.col("start") - F.col("below"), F.col("start") + F.col("blocks") + F.col("above") - 1)
+    met = placed.withColumn("other", F.explode(reach))
     met = met.withColumns({"low": F.least("blk", "other"), "high": F.greatest("blk", "other")}).withColumn(
         "own", F.when(F.col("low") == F.col("high"), WITHIN).otherwise((F.col("blk") == F.col("high")).cast("int"))
     )

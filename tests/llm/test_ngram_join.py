@@ -46,6 +46,25 @@ def test_blocks_give_the_same_components(table, monkeypatch):
     assert found(ng.jaccard_components(table(docs))) == sorted(want, key=str)
 
 
+def test_sets_meet_only_blocks_of_like_sizes(spark, monkeypatch):
+    """Bands of sizes 10 to 10,240 with two blocks each: a set goes to those of its band and of neighbouring ones."""
+    monkeypatch.setattr(ng, "BLOCK_NODES", 3)
+    rows = [(1, number, 10 * 2**k) for k in range(11) for number in range(6)] + [(2, 0, 7), (2, 1, 900)]
+    sized = spark.createDataFrame(rows, "grp long, node long, n_shingles long").withColumn("band", ng.size_band("n_shingles", 50))
+    found = sorted(tuple(r) for r in ng.banded_blocks(sized).select("grp", "band", "start", "below", "blocks", "above").collect())
+    large, small = [r[2:] for r in found if r[0] == 1], {r[2:] for r in found if r[0] == 2}
+    assert small == {(0, 0, 1, 0)} and sum(blocks for _, _, blocks, _ in large) == 22
+    assert all(below + blocks + above <= 6 for _, below, blocks, above in large)
+
+
+@pytest.mark.parametrize("threshold", [75, 80, 90, 95, 99])
+def test_linked_sizes_are_in_neighbouring_bands(spark, threshold):
+    sizes = [(-(-b * threshold // 100), b) for b in range(1, 6000)]
+    pairs = spark.createDataFrame(sizes, "a long, b long")
+    gap = ng.size_band("b", threshold) - ng.size_band("a", threshold)
+    assert pairs.where(~gap.between(0, 1)).count() == 0
+
+
 @pytest.mark.parametrize("threshold", [75, 80, 90, 95, 100])
 def test_other_thresholds_and_shingles(table, threshold):
     docs = corpus(threshold)[:110]
