@@ -330,3 +330,26 @@ def test_facts_of_treatments_without_an_allowed_set_are_not_shuffled(facts, sets
     first = next(i for i, line in enumerate(lines) if "partial_min_by" in line)
     shuffles = [i for i, line in enumerate(lines[:join]) if "Exchange" in line]
     assert first < join and shuffles and max(shuffles) < first
+
+
+class Rows:
+    """Just the inputs that the enrichment queries ask for."""
+
+    def __init__(self, facts, sets):
+        self.facts, self.library = facts, sets
+
+    def de(self):
+        return self.facts.withColumnRenamed("ord", "row_key")
+
+    def sets(self):
+        return self.library
+
+
+def test_significance_queries_make_no_row_per_permutation(facts, sets, monkeypatch):
+    """The tails of ``nes_pvalue`` and ``fdr_qvalue`` come from the grouped map, with the results of the null's rows."""
+    from bindings import queries as B
+
+    monkeypatch.setattr(B, "PARAMS", PARAMS)
+    tails = B.tails(Rows(facts, sets))
+    assert "FlatMapGroupsInArrow" in plan_of(tails) and "permutation#" not in plan_of(tails)
+    assert results(E.public(E.significance(tails))) == results(prerank_relational(facts, sets, "ord", PARAMS))
