@@ -10,7 +10,7 @@ more than D fragments, at least one pair of their segments is equal. The steps:
    smallest of them: a star, not all pairs. The connected components of these
    ties hold all links, and nodes outside of them have none.
 3. Nodes of a component meet in tasks, in blocks of bounded size and like numbers of
-   shingles, every pair of blocks whose sizes allow a link once. There the order, rarest shingle first, is cut into fragments
+   shingles, every pair of blocks whose sizes allow a link once. There two parts of blocks at a time are compared: the order, rarest shingle first, is cut into fragments
    again; for each node the partial overlaps with all others are counted fragment
    by fragment and summed per pair, and pairs that can no longer reach the
    threshold drop out. Only links' counts and a spanning root per node leave a task.
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,14 @@ THRESHOLD = 90
 LEAST_THRESHOLD = 75
 #: Upper ends of neighbouring size classes differ by this factor; it exceeds 100 / THRESHOLD.
 CLASS_RATIO = 1.4
-#: Nodes and bytes of shingles in a block.
-BLOCK_NODES = 1024
-BLOCK_BYTES = 8 << 20
+#: Nodes and bytes of shingles in a block. A set is sent to every block that its own meets, so few large blocks spare the shuffle.
+BLOCK_NODES = 3072
+BLOCK_BYTES = 24 << 20
+#: Nodes and bytes of a part of a block; what is compared at once is two parts.
+PART_NODES = 1024
+PART_BYTES = 8 << 20
 FRAGMENTS = 8
-#: Marks nodes that meet their own block; otherwise they are of block 0 or 1 of a pair, either of which may be empty.
+#: Marks nodes that meet their own part; otherwise they are of part 0 or 1 of a pair.
 WITHIN = 2
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -190,7 +194,7 @@ def tied_sets(docs: DataFrame, text: str, shingle: int, tied: DataFrame) -> Data
 
 
 def linked(sets: list[np.ndarray], own: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, the later ones it links with. ``own`` is 0 or 1 by block, and pairs are of unlike blocks, or WITHIN."""
+    """For each set, the later ones it links with. ``own`` is 0 or 1 by part, and pairs are of unlike parts, or WITHIN."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
     tokens, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -230,14 +234,27 @@ def linked(sets: list[np.ndarray], own: np.ndarray, threshold: int) -> Iterator[
                 yield x, others
 
 
+def parts_of(rows: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The rows of a block in parts that are compared at once."""
+    count = max(-(-len(rows) // PART_NODES), -(-int(sizes[rows].sum()) * 8 // PART_BYTES))
+    return [p for p in np.array_split(rows, max(count, 1)) if len(p)]
+
+
 def block_links(threshold: int):
-    """Links inside one pair of blocks: for each node with a link the weight of its partners and a root."""
+    """Links of one pair of blocks, and inside of those marked ``inner``: for each node with a link the weight of its partners and a root."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_pylist()
         weight = np.array(table.column("weight").to_pylist(), np.int64)
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         own = np.array(table.column("own").to_pylist(), np.int64)
+        inner = np.array(table.column("inner").to_pylist(), bool)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        blocks = [parts_of(np.flatnonzero(own == b), sizes) for b in (0, 1)]
+        pairs = [(p, q) for p in blocks[0] for q in blocks[1]]
+        for parts in blocks:
+            if parts and inner[parts[0][0]]:
+                pairs += [*((p, p[:0]) for p in parts), *combinations(parts, 2)]
         parent, degree = list(range(len(nodes))), np.zeros(len(nodes), np.int64)
 
         def top(i: int) -> int:
@@ -246,13 +263,17 @@ def block_links(threshold: int):
                 i = parent[i]
             return i
 
-        for x, others in linked(sets, own, threshold) if len(sets) > 1 else ():
-            degree[x] += weight[others].sum()
-            degree[others] += weight[x]
-            for y in others.tolist():
-                a, b = top(x), top(y)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+        for p, q in pairs:
+            rows = np.concatenate([p, q])
+            side = np.repeat([0, 1], [len(p), len(q)]) if len(q) else np.full(len(p), WITHIN)
+            for at, partners in linked([sets[i] for i in rows], side, threshold) if len(rows) > 1 else ():
+                x, others = int(rows[at]), rows[partners]
+                degree[x] += weight[others].sum()
+                degree[others] += weight[x]
+                for y in others.tolist():
+                    a, b = top(x), top(y)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
         found = np.flatnonzero(degree).tolist()
         return pa.table(
             {
@@ -318,13 +339,20 @@ def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shi
     placed = tied_sets(docs, text, shingle, member).join(dealt, "node")
     placed = placed.withColumn("blk", F.col("start") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Every pair of blocks of like sizes is one group, so a group of copies of any size is many tasks of bounded size.
-    reach = F.sequence(F.col("start") - F.col("below"), F.col("start") + F.col("blocks") + F.col("above") - 1)
-    met = placed.withColumn("other", F.explode(reach))
-    met = met.withColumns({"low": F.least("blk", "other"), "high": F.greatest("blk", "other")}).withColumn(
-        "own", F.when(F.col("low") == F.col("high"), WITHIN).otherwise((F.col("blk") == F.col("high")).cast("int"))
+    # The sets of a block meet each other where they meet the next block (of the last block: the one before), so they are not sent once more for that.
+    first, last = F.col("start") - F.col("below"), F.col("start") + F.col("blocks") + F.col("above") - 1
+    home = F.when(F.col("blk") < last, F.col("blk") + 1).when(F.col("blk") > first, F.col("blk") - 1).otherwise(F.col("blk"))
+    reach = F.filter(F.sequence(first, last), lambda other: (other != F.col("blk")) | (first == last))
+    met = placed.withColumn("other", F.explode(reach)).withColumns(
+        {
+            "low": F.least("blk", "other"),
+            "high": F.greatest("blk", "other"),
+            "own": (F.col("blk") > F.col("other")).cast("int"),
+            "inner": F.col("other") == home,
+        }
     )
     # Said outright: rows that a join has dealt by group already would else stay so, a whole group in one task.
-    parts = met.select("grp", "low", "high", "own", "node", "weight", "shingles").repartition("grp", "low", "high")
+    parts = met.select("grp", "low", "high", "own", "inner", "node", "weight", "shingles").repartition("grp", "low", "high")
     found = parts.groupBy("grp", "low", "high").applyInArrow(block_links(threshold), "node bigint, root bigint, n_links bigint")
     found = stored(found, "ngram-links")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "ngram-roots")

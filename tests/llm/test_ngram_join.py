@@ -142,3 +142,69 @@ def test_segments_and_sets_are_not_stored_and_segments_shuffled_once(table, monk
     assert not {"ngram-segments", "ngram-sets"} & set(labels)
     plan = plans["ngram-ties"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(sig") == 1, plan
+
+
+@pytest.mark.parametrize("nodes, part", [(4, 2), (3, 5), (40, 3)])
+def test_blocks_meet_in_parts_and_sets_are_not_sent_to_their_own_block(table, monkeypatch, nodes, part):
+    """A set goes to the other blocks in reach only; its own block's sets meet in one of these tasks, a few parts at a time."""
+    seen, plain = [], ng.block_links
+
+    def spied(df, label):
+        if label == "ngram-links":
+            seen.append(df)
+        return kept(df, label)
+
+    kept = ng.stored
+    monkeypatch.setattr(ng, "stored", spied)
+    monkeypatch.setattr(ng, "BLOCK_NODES", nodes)
+
+    def small(threshold):
+        def run(found):
+            ng.PART_NODES = part
+            return plain(threshold)(found)
+
+        return run
+
+    monkeypatch.setattr(ng, "block_links", small)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(w if rng.random() > 0.006 else f"x{rng.randint(0, 9)}" for w in base)) for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ng.jaccard_components(table(docs)).collect()}
+    assert got == {d: (n, c, k) for d, n, c, k in jaccard(docs)}
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "inner#" in plan
+
+
+def test_every_pair_of_a_pair_of_blocks_is_compared_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 400, np.uint64)
+    sets = [np.unique(np.where(rng.random(400) < 0.03, rng.integers(0, 1 << 60, 400, np.uint64), base)) for _ in range(23)]
+
+    def overlap(a, b):
+        both = len(np.intersect1d(a, b))
+        return 100 * both >= 90 * (len(a) + len(b) - both)
+
+    own = [i % 2 for i in range(23)]
+    for inner in ((False, False), (True, False), (False, True), (True, True)):
+        old, ng.PART_NODES = ng.PART_NODES, 4
+        try:
+            table = pa.table(
+                {
+                    "node": pa.array(range(23), pa.int64()),
+                    "weight": pa.array([1] * 23, pa.int64()),
+                    "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+                    "own": pa.array(own),
+                    "inner": pa.array([inner[o] for o in own]),
+                }
+            )
+            found = ng.block_links(90)(table).to_pydict()
+        finally:
+            ng.PART_NODES = old
+        want = {
+            i: n
+            for i in range(23)
+            if (n := sum(i != j and (own[i] != own[j] or inner[own[i]]) and overlap(sets[i], sets[j]) for j in range(23)))
+        }
+        assert dict(zip(found["node"], found["n_links"])) == want and want
