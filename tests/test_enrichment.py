@@ -353,3 +353,28 @@ def test_significance_queries_make_no_row_per_permutation(facts, sets, monkeypat
     tails = B.tails(Rows(facts, sets))
     assert "FlatMapGroupsInArrow" in plan_of(tails) and "permutation#" not in plan_of(tails)
     assert results(E.public(E.significance(tails))) == results(prerank_relational(facts, sets, "ord", PARAMS))
+
+
+def test_rows_stay_with_their_treatment_without_broadcasts(spark, facts, sets):
+    """However large the library, sets meet genes before these are dealt by treatment; two sorts follow, and no shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = E.rankable_genes(E.best_rows(facts, "ord"), sets, 3, 12)
+        plan = plan_of(N.null_tails(E.scored_members(E.with_sets(ranked, sets, 3, 12)), 5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32m")
+    stage, dealt = plan.split("FlatMapGroupsInArrow")[1].split("Exchange", 1)
+    assert dealt.lstrip().startswith("hashpartitioning(cell_line") and "pathway" not in dealt.split(")")[0]
+    assert "Join" not in stage and stage.count("Sort [") == 2, stage
+
+
+def test_buckets_hold_the_sets_of_their_genes(spark, facts, sets, tmp_path):
+    """Without broadcasts, too, ranking and scores read the buckets as they are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, found = index_and_enrich(facts, sets, "ord", str(tmp_path / "genes"), PARAMS, buckets=3)
+        above = plan_of(found).split("FlatMapGroupsInArrow")[1].split("BroadcastExchange")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32m")
+    assert "Exchange" not in above and "SortMergeJoin" not in above, above
+    assert results(found) == results(prerank(facts, sets, "ord", PARAMS))
