@@ -37,8 +37,11 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from doseframe.llm.common import partitions_for, quoted, raw_texts, slices, without
 
-#: Bytes of text in one group of documents.
-GROUP_BYTES = 6 << 20
+#: Bytes of text in one group of documents. A worker holds the words of one group at a time, some ten times that with their ids.
+GROUP_BYTES = 2 << 20
+#: Groups to a range of the word table, as most words repeat from group to group; and how many ranges a small corpus has.
+GROUPS_A_RANGE = 16
+LEAST_RANGES = 32
 #: Characters below this have no combining forms, and lower-case alike in Python and in the library.
 PLAIN_END = 0x250
 BEYOND = re.compile(f"[{chr(PLAIN_END)}-{chr(sys.maxunicode)}]")
@@ -109,6 +112,10 @@ class Encoder:
         found = self.single.encode_batch(words, add_special_tokens=False)
         return [[self.special[w]] if w in self.special else e.ids for w, e in zip(words, found)]
 
+    def encode_packed(self, words: list[str]) -> list[bytes]:
+        """As 32-bit numbers, which take a fraction of the memory of lists."""
+        return [np.array(ids, np.uint32).tobytes() for ids in self.encode(words)]
+
 
 class Pieces:
     """The id-to-piece table."""
@@ -153,10 +160,10 @@ def unpacked_words(block: bytes) -> list[str]:
     return zstandard.decompress(block).decode().split("\n")
 
 
-def packed_ids(ids: list[list[int]]) -> bytes:
+def packed_ids(ids: list[bytes]) -> bytes:
     """The number of ids of each word, then all ids, as one block of 32-bit numbers."""
-    counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-    return squeezed(counts.tobytes() + np.fromiter((i for each in ids for i in each), np.uint32, int(counts.sum())).tobytes())
+    counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+    return squeezed(b"".join([counts.tobytes(), *ids]))
 
 
 def unpacked_ids(block: bytes, n: int) -> list[bytes]:
@@ -195,7 +202,8 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[
     rest = without(docs, [f.name for f in FIELDS])
     columns = rest.columns
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    groups = ranges = partitions_for(docs, F.octet_length(raw), GROUP_BYTES)
+    groups = partitions_for(docs, F.octet_length(raw), GROUP_BYTES)
+    ranges = max(min(groups, LEAST_RANGES), -(-groups // GROUPS_A_RANGE))
     hashed = F.pmod(F.xxhash64(*[quoted(k) for k in keys], quoted(text)), F.lit(groups)).cast("int")
     dealt = rest.withColumn("_group", hashed)
 
@@ -221,14 +229,18 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(vocabulary)
-        found: dict[int, set[str]] = {}
+        # Blocks are collected as they came, compressed, so that the words of one group at a time are held.
+        blocks: dict[int, list[bytes]] = {}
         for batch in batches:
-            for group, block in zip(batch.column("_group").to_pylist(), batch.column("_rows")):
-                for _, lists in words_of(split, block.as_py()):
+            for group, block in zip(batch.column("_group").to_pylist(), batch.column("_rows").to_pylist()):
+                blocks.setdefault(group, []).append(block)
+        for group in sorted(blocks):
+            found: set[str] = set()
+            for block in blocks.pop(group):
+                for _, lists in words_of(split, block):
                     for words in lists:
-                        found.setdefault(group, set()).update(words)
-        for group in sorted(found):
-            sent = by_range(found.pop(group), ranges)
+                        found.update(words)
+            sent = by_range(found, ranges)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([group] * ranges, pa.int32()),
@@ -243,15 +255,20 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A range of the word table: every distinct word is encoded once."""
-        encoder, known = encoder_of(vocabulary), {}
+        encoder = encoder_of(vocabulary)
+        # As with groups, the words of one range at a time.
+        blocks: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
             for group, r, block in zip(*(batch.column(c).to_pylist() for c in ("_group", "_range", "_words"))):
+                blocks.setdefault(r, []).append((group, block))
+        for r in sorted(blocks):
+            known: dict[str, bytes] = {}
+            for group, block in blocks.pop(r):
                 asked = unpacked_words(block)
                 new = [w for w in asked if w not in known]
                 for i in range(0, len(new), ENCODED):
                     part = new[i : i + ENCODED]
-                    for w, ids in zip(part, encoder.encode(part)):
-                        known[w] = ids
+                    known.update(zip(part, encoder.encode_packed(part)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([group], pa.int32()), pa.array([r], pa.int32()), pa.array([packed_ids([known[w] for w in asked])], pa.binary())],
                     names=["_group", "_range", "_ids"],

@@ -92,12 +92,14 @@ def add_columns(
     fields: Sequence[T.StructField],
     function: Callable[[], Callable[[list[bytes], pa.RecordBatch], list]],
     drop: Sequence[str] = (),
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """Rows with added columns computed from the whole text of each row.
 
     ``function`` is called once per task and returns a function from texts and
     their batch to one list of values per field. Columns of ``df`` whose names
-    clash with a new one are replaced; those in ``drop`` are left out.
+    clash with a new one are replaced; those in ``drop`` are left out. ``most`` is
+    the bytes of text that the function gets at once.
     """
     names = [f.name for f in fields]
     taken = {n.lower() for n in [*names, *drop]}
@@ -108,7 +110,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values_of = function()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, most):
             columns = values_of(raw_texts(batch.column(text)), batch)
             arrays = [batch.column(c) for c in keep]
             arrays += [pa.array(v, type=t) for v, t in zip(columns, arrow)]

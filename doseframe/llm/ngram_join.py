@@ -59,6 +59,8 @@ BLOCK_BYTES = 24 << 20
 PART_NODES = 1024
 PART_BYTES = 8 << 20
 FRAGMENTS = 8
+#: Bytes of text that are cut into shingles at once; its hashes take some fifteen times that.
+CUT_BYTES = 2 << 20
 #: Marks nodes that meet their own part; otherwise they are of part 0 or 1 of a pair.
 WITHIN = 2
 
@@ -158,7 +160,7 @@ def segment_rows(docs: DataFrame, text: str, shingle: int, threshold: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = Classes(threshold), set()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, CUT_BYTES):
             sigs, nodes = [], []
             for found in shingle_sets(raw_texts(batch.column(text)), shingle):
                 node = node_of(found)
@@ -180,7 +182,7 @@ def tied_sets(docs: DataFrame, text: str, shingle: int, tied: DataFrame) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = held.value, set()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, CUT_BYTES):
             nodes, sets = [], []
             for found in shingle_sets(raw_texts(batch.column(text)), shingle):
                 node = node_of(found)
@@ -197,19 +199,31 @@ def linked(sets: list[np.ndarray], own: np.ndarray, threshold: int) -> Iterator[
     """For each set, the later ones it links with. ``own`` is 0 or 1 by part, and pairs are of unlike parts, or WITHIN."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets])
-    tokens, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(count), sizes)
+    # The arrays by shingle are the memory of the task: 32 bits where they do, and none is kept longer than it is read.
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number, tokens = number.astype(np.int32), len(times)
+    owner = np.repeat(np.arange(count, dtype=np.int32), sizes)
     # Rarest shingles first; equal ranks are told apart by their place in the hash order.
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.argsort(times, kind="stable")] = np.arange(len(tokens))
+    rarest = np.argsort(times, kind="stable")
+    rank = np.empty(tokens, np.int32)
+    rank[rarest] = np.arange(tokens, dtype=np.int32)
+    begin = np.concatenate([[0], np.cumsum(times[rarest])])
+    alone = np.bincount(owner, weights=times[number] == 1, minlength=count)
     by = rank[number]
-    order = np.argsort(by, kind="stable")
-    posting, begin = owner[order], np.concatenate([[0], np.cumsum(times[np.argsort(rank)])])
-    ordered = np.sort(owner * len(tokens) + by) % len(tokens)
+    del number, times, rarest, rank
+    posting = owner[np.argsort(by, kind="stable")]
+    key = owner.astype(np.int64)
+    del owner
+    key *= tokens
+    key += by
+    del by
+    key.sort()
+    key %= tokens
+    ordered = key.astype(np.int32)
+    del key
     starts = np.concatenate([[0], np.cumsum(sizes)])
     cross = own[0] != WITHIN
     need_of = threshold / (100 + threshold)
-    alone = np.bincount(owner, weights=times[number] == 1, minlength=count)
     for x in range(count - 1):
         mine = ordered[starts[x] : starts[x + 1]]
         need = np.ceil(need_of * (sizes + sizes[x]) - 1e-9)
@@ -246,7 +260,8 @@ def block_links(threshold: int):
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_pylist()
         weight = np.array(table.column("weight").to_pylist(), np.int64)
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        # Views of the table's own bytes, so that two blocks are held once.
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
         own = np.array(table.column("own").to_pylist(), np.int64)
         inner = np.array(table.column("inner").to_pylist(), bool)
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -364,12 +379,13 @@ def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shi
 def add_nodes(docs: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame:
     def start():
         def run(raws: list[bytes], batch: pa.RecordBatch) -> list:
-            sets = list(shingle_sets(raws, shingle))
-            return [[len(s) for s in sets], [node_of(s) for s in sets]]
+            found = [(len(s), node_of(s)) for s in shingle_sets(raws, shingle)]
+            return [[n for n, _ in found], [node for _, node in found]]
 
         return run
 
-    return add_columns(docs, text, [T.StructField("n_shingles", T.LongType(), False), T.StructField("node", T.LongType(), False)], start)
+    fields = [T.StructField("n_shingles", T.LongType(), False), T.StructField("node", T.LongType(), False)]
+    return add_columns(docs, text, fields, start, most=CUT_BYTES)
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
