@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -51,3 +52,15 @@ def test_no_rows_and_clashing_columns(table):
     out = bpe.encode(table([(1, "a b")]).withColumnRenamed("lang", "IDS").withColumnRenamed("source", "_rows"), PATH)
     assert out.columns == ["doc_id", "text", "_rows", "n_chars", "ids", "decoded"]
     assert out.first()["decoded"] == "a</w> b</w>"
+
+
+def test_ids_of_a_range_are_held_packed():
+    encoder, words = bpe.Encoder(PATH), [f"word{i}x" for i in range(20_000)]
+    encoder.encode_packed(words[:10])
+    tracemalloc.start()
+    known = dict(zip(words, encoder.encode_packed(words)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert bpe.unpacked_ids(bpe.packed_ids([*known.values()]), len(words)) == [*known.values()]
+    assert [np.frombuffer(b, np.uint32).tolist() for b in known.values()] == encoder.encode(words)
+    assert held / len(words) < 150
