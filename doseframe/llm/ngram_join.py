@@ -6,9 +6,10 @@ fragment. Two sets with the wanted similarity differ in at most D shingles; with
 more than D fragments, at least one pair of their segments is equal. The steps:
 
 1. Equal sets are one node from here on, however many documents have them.
-2. Every node emits a hash of each segment. Nodes that share one are tied to the
-   smallest of them: a star, not all pairs. The connected components of these
-   ties hold all links, and nodes outside of them have none.
+2. Every node emits a hash of each segment. Nodes that share one are tied to a
+   label, that of the smallest of them: a star, not all pairs. Linked sets share several
+   segments, and a node keeps only the ties that a link cannot do without. The connected
+   components of the kept ties hold all links, and nodes outside of them have none.
 3. Nodes of a component meet in tasks, in blocks of bounded size and like numbers of
    shingles, every pair of blocks whose sizes allow a link once. There two parts of blocks at a time are compared: the order, rarest shingle first, is cut into fragments
    again; for each node the partial overlaps with all others are counted fragment
@@ -61,6 +62,10 @@ PART_BYTES = 8 << 20
 FRAGMENTS = 8
 #: Bytes of text that are cut into shingles at once; its hashes take some fifteen times that.
 CUT_BYTES = 2 << 20
+#: The lowest bits of a segment's hash are its size class.
+CLASS_BITS = 6
+#: Of the shingles in which linked sets may differ, a share of one in so many fragments comes on top, so that every link shares several segments; they are shorter for it.
+MORE_FRAGMENTS = 8
 #: Marks nodes that meet their own part; otherwise they are of part 0 or 1 of a pair.
 WITHIN = 2
 
@@ -102,13 +107,18 @@ class Classes:
         if not different:
             return 0, 0  # linked sets are equal, so they are one node
         low = self.tops[k - 1] + 1 if k else 1
-        spare = 1 + different // 50
-        while (count := different + 1 + spare) * math.exp(-low / count) * 1.25 > spare:
+        spare, more = 1 + different // 50, different // MORE_FRAGMENTS
+        while (count := different + 1 + more + spare) * math.exp(-low / count) * 1.25 > spare:
             spare += 1 + spare // 8
             if count >= low:
                 return low, 0
         return count, spare
 
+    def shared(self, k: int) -> int | None:
+        """Segments with content that sets of this class would share if they were equal, at least; None where segments are single shingles."""
+        count, spare = self.fragments(k)
+        return count - spare if spare else None
+
     def most_different(self, top: int) -> int:
         """Shingles in which two linked sets differ at most, if the smaller has ``top`` shingles or fewer."""
         both = top + top * 100 // self.threshold
@@ -128,13 +138,17 @@ class Classes:
 def signatures(shingles: np.ndarray, classes: Classes) -> np.ndarray:
     """Hashes of the segments of one set, for each class it belongs to."""
     out = []
+
+    def marked(hashes: np.ndarray, k: int) -> np.ndarray:
+        return hashes >> np.uint64(CLASS_BITS) << np.uint64(CLASS_BITS) | np.uint64(k)
+
     for k in classes.of(len(shingles)):
         fragments, spare = classes.fragments(k)
         name = np.uint64((k << 20) * 0x9E3779B1 & 0xFFFFFFFFFFFF)
         if not fragments:
             continue
         if not spare:
-            out.append(mixed(shingles + name))
+            out.append(marked(mixed(shingles + name), k))
             continue
         # The first shingle hash of each fragment; the products stay below 2^64.
         edges = (np.arange(fragments + 1, dtype=np.float64) / fragments * 2.0**63).astype(np.uint64)
@@ -147,7 +161,7 @@ def signatures(shingles: np.ndarray, classes: Classes) -> np.ndarray:
             there = ends[1:] > ends[:-1]
             name = np.uint64((k << 20 | salt) * 0x9E3779B1 & 0xFFFFFFFFFFFF)
             place = np.arange(fragments, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            out.append(mixed(mixed(sums + place) + name)[there])
+            out.append(marked(mixed(mixed(sums + place) + name)[there], k))
             # At least spare + 1 segments of linked sets are equal; fewer empty ones than that leave one with content.
             if fragments - int(there.sum()) <= spare:
                 break
@@ -176,6 +190,55 @@ def segment_rows(docs: DataFrame, text: str, shingle: int, threshold: int) -> Da
     return docs.select(text).mapInArrow(run, "sig bigint, node bigint")
 
 
+def least_shared(size: Column, k: Column, threshold: int) -> Column:
+    """Segments of class ``k`` that a set of this size shares with any one it links with there, at least.
+
+    A link's class is that of the smaller set. Of equal sets all segments are equal, and every shingle in
+    which two sets differ changes one at most.
+    """
+    classes = Classes(threshold)
+    while len(classes.tops) < 1 << CLASS_BITS:
+        classes.number(classes.tops[-1] + 1)
+    numbers = range(1 << CLASS_BITS)
+
+    def of_class(values: list[int | None]) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), (k + 1).cast("int"))
+
+    top = of_class(classes.tops[: len(numbers)])
+    low = of_class([classes.tops[i - 1] + 1 if i else 1 for i in numbers])
+    shared = of_class([classes.shared(i) for i in numbers])
+    largest = F.when(size <= top, F.floor(size * 100 / threshold)).otherwise(top)
+    smallest = F.greatest(low, F.ceil(size * threshold / 100))
+    different = F.floor((size + largest) * (100 - threshold) / (100 + threshold))
+    overlap = F.ceil((size + smallest) * threshold / (100 + threshold))
+    return F.greatest(F.coalesce(shared - different, overlap), F.lit(1))
+
+
+def needed_ties(rows: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): nodes with the labels of their segments, without ties that no link depends on.
+
+    All segments whose smallest node is the same have one label in a class. A node that has n segments under a label holds
+    its levels 0 to log2(n), which count for 1, 2, 4 .. and the rest; what two nodes share under it is no more than the levels
+    that both hold. With high levels first, linked nodes hold the first one they have in common before the last ones of
+    each that together fall short of what a link shares. So a few segments are no tie to the near copies of another text.
+    """
+    of_sig = Window.partitionBy("sig").orderBy("node")
+    whole = of_sig.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = rows.withColumns({"hub": F.min("node").over(whole), "last": F.max("node").over(whole), "before": F.lag("node").over(of_sig)})
+    # A set has its segments once for every task that read it.
+    shared = seen.where("hub <> last AND (before IS NULL OR before <> node)").withColumn("k", F.col("sig").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)))
+    ties = shared.groupBy("node", "k", "hub").agg(F.count(F.lit(1)).alias("n")).join(sizes, "node")
+    ties = ties.select("node", "k", F.xxhash64("hub", "k").alias("label"), "n", least_shared(F.col("n_shingles"), F.col("k"), threshold).alias("need"))
+    by_label = Window.partitionBy("label").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Two nodes share no more under a label than the second most that any has.
+    ties = ties.withColumn("n", F.least("n", F.nth_value("n", 2).over(by_label))).withColumn("top", F.length(F.bin("n")) - 1)
+    levels = ties.withColumn("level", F.explode(F.sequence(F.lit(0), "top"))).withColumn("_size", F.pow(F.lit(2.0), "level").cast("bigint"))
+    levels = levels.withColumn("counts", F.when(F.col("level") < F.col("top"), F.col("_size")).otherwise(F.col("n") - F.col("_size") + 1))
+    last_first = Window.partitionBy("node", "k").orderBy("level", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = levels.withColumn("_upto", F.sum("counts").over(last_first)).where("_upto >= need")
+    return kept.select(F.col("node").alias("a"), F.xxhash64("label", "level").alias("b"))
+
+
 def tied_sets(docs: DataFrame, text: str, shingle: int, tied: DataFrame) -> DataFrame:
     """(node, shingles) of the sets that have ties, once each."""
     held = docs.sparkSession.sparkContext.broadcast(filter_of(tied, "node"))
@@ -340,18 +403,14 @@ def banded_blocks(sized: DataFrame) -> DataFrame:
 def jaccard_links(docs: DataFrame, copies: DataFrame, *, text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(node, root, n_links) of every node that links with a different one; ``copies`` has the documents (weight) and shingles (n_shingles) of each node."""
     # Segments are by far the most rows: they are shuffled once, not stored, and leave the task only as ties.
-    hub = F.min("node").over(Window.partitionBy("sig"))
-    rows = segment_rows(docs, text, shingle, threshold).withColumn("hub", hub)
-    ties = rows.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    ties = needed_ties(segment_rows(docs, text, shingle, threshold), copies.select("node", "n_shingles"), threshold)
     groups = components(ties, "ngram-ties")
-    member = stored(
-        groups.select(F.col("a").alias("node"), F.col("b").alias("grp")).unionByName(groups.select(F.col("b").alias("node"), F.col("b").alias("grp")).distinct()),
-        "ngram-groups",
-    )
+    # The labels among them are no nodes, and go.
+    member = groups.select(F.col("a").alias("node"), F.col("b").alias("grp")).unionByName(groups.select(F.col("b").alias("node"), F.col("b").alias("grp")).distinct())
     # Blocks follow from the numbers of shingles, so that the sets themselves are shuffled by node and by blocks only, and not stored.
-    sized = member.join(copies, "node").withColumn("band", size_band("n_shingles", threshold))
+    sized = stored(member.join(copies, "node").withColumn("band", size_band("n_shingles", threshold)), "ngram-groups")
     dealt = sized.join(banded_blocks(sized), ["grp", "band"]).select("node", "grp", "weight", "start", "blocks", "below", "above")
-    placed = tied_sets(docs, text, shingle, member).join(dealt, "node")
+    placed = tied_sets(docs, text, shingle, sized).join(dealt, "node")
     placed = placed.withColumn("blk", F.col("start") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Every pair of blocks of like sizes is one group, so a group of copies of any size is many tasks of bounded size.
     # The sets of a block meet each other where they meet the next block (of the last block: the one before), so they are not sent once more for that.

@@ -208,3 +208,49 @@ def test_every_pair_of_a_pair_of_blocks_is_compared_once():
             if (n := sum(i != j and (own[i] != own[j] or inner[own[i]]) and overlap(sets[i], sets[j]) for j in range(23)))
         }
         assert dict(zip(found["node"], found["n_links"])) == want and want
+
+
+def test_texts_tied_by_a_passage_are_not_in_one_group(table, monkeypatch):
+    """Each text has a passage of the next one and one near copy: a few equal segments are no tie, so groups are pairs."""
+    rng = random.Random(8)
+    passages = [[f"w{rng.randrange(9000)}" for _ in range(130)] for _ in range(41)]
+    docs = []
+    for i in range(40):
+        words = passages[i] + [f"v{rng.randrange(9000)}" for _ in range(100)] + passages[i + 1]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-6], *[f"x{n}" for n in range(6)]]))]
+    groups, write = [], ng.stored
+
+    def spied(df, label):
+        kept = write(df, label)
+        if label == "ngram-groups":
+            groups.append(kept)
+        return kept
+
+    monkeypatch.setattr(ng, "stored", spied)
+    want = [(doc, n, doc if n == 0 else component, links) for doc, n, component, links in jaccard(docs, 80)]
+    assert found(ng.jaccard_components(table(docs), threshold=80)) == sorted(want, key=str)
+    sizes = sorted(r["count"] for r in groups[0].groupBy("grp").count().collect())
+    assert sizes == [2] * 40, sizes
+
+
+@pytest.mark.parametrize("threshold", [75, 80, 90, 95])
+def test_linked_sets_share_as_many_segments_as_is_asked_of_them(spark, threshold):
+    rng = np.random.default_rng(threshold)
+    classes, rows = ng.Classes(threshold), []
+    for size in (5, 12, 23, 60, 131, 400, 1500):
+        for _ in range(12):
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * size, np.uint64) * np.uint64(2))
+            rng.shuffle(pool)
+            a, both = np.sort(pool[:size]), size * 100 // threshold
+            # Partners that are larger by new shingles, smaller, and that differ by as many on each side.
+            swapped = size * (100 - threshold) // (100 + threshold)
+            for b in (pool[:both], pool[: -(-size * threshold // 100)], pool[swapped : size + swapped]):
+                least = min(len(a), len(b))
+                k = classes.number(least)
+                shared = np.intersect1d(ng.signatures(a, classes), ng.signatures(np.sort(b), classes))
+                n = int((shared & np.uint64((1 << ng.CLASS_BITS) - 1) == np.uint64(k)).sum())
+                if classes.most_different(classes.tops[k]):
+                    rows += [(len(a), k, n), (len(b), k, n)]
+    pairs = spark.createDataFrame(rows, "n long, k long, shared long")
+    short = pairs.where(pairs.shared < ng.least_shared(pairs.n, pairs.k, threshold))
+    assert short.count() == 0 and pairs.count() > 100
