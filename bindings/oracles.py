@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from bindings.tables import BUDGET, CELL_LINES, LEAST_FILES, PARAMS, ROWS_IN_FILE, SIGNATURES, THRESHOLD
+from bindings.tables import ALL_SETS, BUDGET, CELL_LINES, LEAST_FILES, PARAMS, ROWS_IN_FILE, SIGNATURES, THRESHOLD
 from doseframe.functions.columns import MIX_A, MIX_B, MIX_PRIME, MIX_STEP
 from doseframe.operators.enrichment import permutation_base
 from doseframe.operators.episodes import default_turns
@@ -230,21 +230,28 @@ VIEWS = {
 }
 RECURSIVE = {"played"}
 
+# The queries that score sets of any size, and their view of the members.
+ANY_SIZE = {"prerank_scale"}
+ANY_MEMBERS = f"""
+        SELECT r.*, s.pathway, count(*) OVER (PARTITION BY r.cell_line, r.drug, r.concentration, s.pathway) AS size
+        FROM ranked r JOIN sets s USING (gene)
+        QUALIFY size >= {ALL_SETS.min_size}"""
+
 
-def sql(body: str) -> str:
+def sql(body: str, given: dict[str, str] = VIEWS) -> str:
     """Prefix ``body`` with the views it uses, directly or through others."""
     needed: list[str] = []
 
     def visit(text: str) -> None:
         for name in re.findall(r"[A-Za-z_]+", text):
-            if name in VIEWS and name not in needed and name not in open_views:
+            if name in given and name not in needed and name not in open_views:
                 open_views.append(name)
-                visit(VIEWS[name])
+                visit(given[name])
                 needed.append(name)
 
     open_views: list[str] = []
     visit(body)
-    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    views = ",\n".join(f"{n} AS ({given[n]})" for n in needed)
     recursive = "RECURSIVE " if RECURSIVE & set(needed) else ""
     return f"WITH {recursive}{views}\n{body}" if views else body
 
@@ -548,4 +555,4 @@ BODIES = {
     "stream_replay": "SELECT episode, event_id, action, accepted, reason, step, experiments_run, done, found FROM replay",
 }
 
-ORACLES = {name: sql(body) for name, body in BODIES.items()}
+ORACLES = {name: sql(body, VIEWS | {"members": ANY_MEMBERS} if name in ANY_SIZE else VIEWS) for name, body in BODIES.items()}
