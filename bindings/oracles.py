@@ -231,7 +231,7 @@ VIEWS = {
 RECURSIVE = {"played"}
 
 # The queries that score sets of any size, and their view of the members.
-ANY_SIZE = {"nes_pvalue", "prerank_scale"}
+ANY_SIZE = {"index_and_enrich", "nes_pvalue", "prerank_scale"}
 ANY_MEMBERS = f"""
         SELECT r.*, s.pathway, count(*) OVER (PARTITION BY r.cell_line, r.drug, r.concentration, s.pathway) AS size
         FROM ranked r JOIN sets s USING (gene)

@@ -33,7 +33,7 @@ def large_sets(tmp_path_factory):
     return path, views
 
 
-@pytest.mark.parametrize("name, least", [("nes_pvalue", 12), ("prerank_scale", 12)])
+@pytest.mark.parametrize("name, least", [("nes_pvalue", 12), ("prerank_scale", 12), ("index_and_enrich", 2)])
 def test_sets_beyond_500_genes_are_scored(spark, large_sets, name, least):
     path, views = large_sets
     got = actual(QUERIES[name](spark, path))
